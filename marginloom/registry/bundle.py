@@ -1 +1,325 @@
-"""Placeholder."""
+"""A territorial bundle counted from the star schema: yearly line counts by place, sex and age."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marginloom.operators import gates
+from marginloom.plans import coverage, releases, star
+from marginloom.registry import query
+from marginloom.session import materialize
+
+COUNTED = """counted AS (
+  SELECT year(o_orderdate) AS y, lpad(CAST(c_nationkey AS VARCHAR), 6, '0') AS m,
+         lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS r,
+         CASE WHEN l_linestatus = 'O' THEN 'M' ELSE 'F' END AS sex,
+         CAST(least(CAST(l_quantity AS INTEGER) * 2 // 10 * 10, 90) AS INTEGER) AS lo,
+         count(*) AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)"""
+TERRITORIES = COUNTED + """,
+territories AS (
+  SELECT concat(y, '-01-01:', code) AS key, concat('STAR:', y, '-01-01') AS scheme, code, level,
+         make_date(y, 1, 1) AS snapshot,
+         CASE WHEN parent IS NOT NULL THEN concat(y, '-01-01:', parent) END AS parent_key
+  FROM (SELECT DISTINCT y, m AS code, 'municipality' AS level, r AS parent FROM counted
+        UNION SELECT DISTINCT y, r, 'region', 'ALL' FROM counted
+        UNION SELECT DISTINCT y, 'ALL', 'country', NULL FROM counted))"""
+BUNDLE = "WITH " + TERRITORIES + """,
+spread AS (
+  SELECT y, unnest([m, r, 'ALL']) AS code, sex, lo, n FROM counted),
+sexes AS (SELECT y, code, unnest([sex, 'TOTAL']) AS sex, lo, n FROM spread),
+ages AS (
+  SELECT y, code, sex, unnest([CASE WHEN lo = 90 THEN '90:1000' ELSE concat(lo, ':', lo + 10) END,
+                               'TOTAL']) AS age, n FROM sexes),
+observations AS (
+  SELECT concat(y, '-01-01:', code) AS territory_key,
+         concat_ws('_', 'lines', lower(sex), replace(lower(age), ':', '_')) AS series_code,
+         make_date(y, 1, 1) AS period, CAST(sum(n) AS DECIMAL(20, 6)) AS value, sex, age
+  FROM ages GROUP BY ALL)"""
+
+
+def bundle(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Territories, series and observations, stored because every check reads them again."""
+    item = star.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.when(F.col("l_linestatus") == "O", "M").otherwise("F").alias("sex"),
+        F.least(F.floor(F.col("l_quantity").cast("int") * 2 / 10) * 10, F.lit(90)).cast("int")
+        .alias("lo"))
+    orders = star.table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
+    customer = star.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    nation = star.table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("c_nationkey"), star.place("n_nationkey").alias("m"),
+        F.lpad(F.col("n_regionkey").cast("string"), 2, "0").alias("r"))
+    counted = materialize(
+        item.join(orders, "o_orderkey").join(customer, "o_custkey").join(nation, "c_nationkey")
+        .groupBy("y", "m", "r", "sex", "lo").agg(F.count(F.lit(1)).alias("n")), "counted")
+    # Every cell belongs to three places, two sexes and two age classes.
+    sides = counted.withColumn("code", F.explode(F.array("m", "r", F.lit("ALL"))))
+    sides = sides.withColumn("sex", F.explode(F.array("sex", F.lit("TOTAL"))))
+    label = F.when(F.col("lo") == 90, "90:1000").otherwise(
+        F.concat_ws(":", F.col("lo").cast("string"), (F.col("lo") + 10).cast("string")))
+    sides = sides.withColumn("age", F.explode(F.array(label, F.lit("TOTAL"))))
+    day = F.make_date(F.col("y"), F.lit(1), F.lit(1))
+    key = F.concat_ws(":", day.cast("string"), "code")
+    series_code = F.concat_ws("_", F.lit("lines"), F.lower("sex"),
+                              F.replace(F.lower("age"), F.lit(":"), F.lit("_")))
+    cells = materialize(sides.groupBy("y", "code", "sex", "age").agg(F.sum("n").alias("n")).select(
+        key.alias("territory_key"), series_code.alias("series_code"), day.alias("period"),
+        F.col("n").cast("decimal(20,6)").alias("value"), F.lit("unflagged_upstream").alias("status"),
+        *[F.lit("").alias(c) for c in ("upstream_status", "upstream_note", "upstream_unit",
+                                       "upstream_unit_multiplier")], "sex", "age"), "observations")
+    places = counted.select("y", F.explode(F.array(
+        F.struct(F.col("m").alias("code"), F.lit("municipality").alias("level"),
+                 F.col("r").alias("parent")),
+        F.struct(F.col("r").alias("code"), F.lit("region").alias("level"),
+                 F.lit("ALL").alias("parent")),
+        F.struct(F.lit("ALL").alias("code"), F.lit("country").alias("level"),
+                 F.lit(None).cast("string").alias("parent")))).alias("p")).select(
+        "y", "p.*").distinct()
+    parent = F.when(F.col("parent").isNotNull(), F.concat_ws(":", day.cast("string"), "parent"))
+    territories = materialize(places.select(
+        key.alias("key"), F.concat(F.lit("STAR:"), day.cast("string")).alias("scheme"), "code",
+        F.col("code").alias("name"), "level", day.alias("valid_from"),
+        F.date_add(day, 1).alias("valid_to"), day.alias("snapshot"), parent.alias("parent_key")),
+        "territories")
+    series = cells.select("series_code", "sex", "age").distinct().select(
+        F.col("series_code").alias("code"), F.col("series_code").alias("title"),
+        F.lit("persons").alias("unit"), F.create_map(
+            F.lit("measure"), F.lit("lines"), F.lit("sex"), F.col("sex"), F.lit("age"),
+            F.col("age")).alias("dimensions"))
+    return territories, series, cells.drop("sex", "age")
+
+
+@query(BUNDLE + """ SELECT territory_key, series_code, period, value FROM observations""")
+def bundle_observations(spark: SparkSession, folder: str) -> DataFrame:
+    return releases.observation_cells(bundle(spark, folder)[2])
+
+
+GEO = """, geo AS (
+  SELECT concat('geo:', c.series_code, ':', t.parent_key) AS name, 'territory' AS dimension,
+         t.parent_key AS t_key, c.series_code AS t_series, c.period,
+         c.territory_key AS p_key, c.series_code AS p_series, c.value AS p_value,
+         p.value AS t_value
+  FROM observations c JOIN territories t ON t.key = c.territory_key
+  JOIN observations p ON p.territory_key = t.parent_key AND p.series_code = c.series_code
+   AND p.period = c.period)"""
+DIMS = GEO + """, dims AS (
+  SELECT concat('sex:', t.territory_key, ':', t.series_code) AS name, 'sex' AS dimension,
+         t.territory_key AS t_key, t.series_code AS t_series, t.period, p.territory_key AS p_key,
+         p.series_code AS p_series, p.value AS p_value, t.value AS t_value
+  FROM observations t JOIN observations p USING (territory_key, period)
+  WHERE t.sex = 'TOTAL' AND p.sex <> 'TOTAL' AND p.age = t.age
+  UNION ALL
+  SELECT concat('age:', t.territory_key, ':', t.series_code), 'age', t.territory_key,
+         t.series_code, t.period, p.territory_key, p.series_code, p.value, t.value
+  FROM observations t JOIN observations p USING (territory_key, period)
+  WHERE t.age = 'TOTAL' AND p.age <> 'TOTAL' AND p.sex = t.sex),
+terms AS (SELECT * FROM geo UNION ALL SELECT * FROM dims)"""
+
+
+@query(BUNDLE + GEO + """ SELECT name, t_key AS territory_key, t_series AS series_code, period,
+  count(*) AS parts FROM geo GROUP BY ALL HAVING count(*) >= 2""")
+def derived_equations(spark: SparkSession, folder: str) -> DataFrame:
+    territories, _, observations = bundle(spark, folder)
+    headers, parts = coverage.territory_equations(observations, territories)
+    counts = parts.groupBy("name").agg(F.count(F.lit(1)).alias("parts"))
+    return headers.join(counts, "name").select("name", *coverage.CELL, "parts")
+
+
+@query(BUNDLE + DIMS + """ SELECT name, p_key AS territory_key, p_series AS series_code, period
+  FROM dims WHERE name IN (SELECT name FROM dims GROUP BY name HAVING count(*) >= 2)""")
+def dimension_equations(spark: SparkSession, folder: str) -> DataFrame:
+    territories, series, observations = bundle(spark, folder)
+    return coverage.dimension_equations(observations, territories, series)[1]
+
+
+def _equations(territories: DataFrame, series: DataFrame,
+               observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    first = coverage.territory_equations(observations, territories)
+    second = coverage.dimension_equations(observations, territories, series)
+    return (materialize(first[0].unionByName(second[0]), "equations"),
+            materialize(first[1].unionByName(second[1]), "parts"))
+
+
+@query(BUNDLE + DIMS + """ SELECT name, dimension, count(*) AS parts, any_value(t_value) AS total,
+    CAST(sum(p_value) AS DECIMAL(26, 6)) AS parts_sum,
+    CAST(sum(p_value) - any_value(t_value) AS DECIMAL(26, 6)) AS difference,
+    abs(sum(p_value) - any_value(t_value)) <= 0 AS reconciled
+  FROM terms GROUP BY name, dimension HAVING count(*) >= 2""")
+def equation_check(spark: SparkSession, folder: str) -> DataFrame:
+    territories, series, observations = bundle(spark, folder)
+    equations, parts = _equations(territories, series, observations)
+    terms = coverage.equation_terms(equations, parts, observations, territories, series)
+    return coverage.equation_check(terms).drop("tolerance")
+
+
+@query(BUNDLE + """ SELECT series_code, period, concat('STAR:', period) AS scheme,
+  period AS snapshot, count(*) AS row_count FROM observations GROUP BY ALL""")
+def coverage_rows(spark: SparkSession, folder: str) -> DataFrame:
+    territories, _, observations = bundle(spark, folder)
+    return coverage.coverage_rows(coverage.coverage_members(observations, territories))
+
+
+@query("WITH " + TERRITORIES + """, known AS (SELECT * FROM territories WHERE year(snapshot) < 1998),
+  ids AS (SELECT key, row_number() OVER (ORDER BY scheme, code) AS territory_id FROM known),
+  fresh AS (SELECT key, (SELECT max(territory_id) FROM ids) + row_number() OVER (
+      ORDER BY scheme, code) AS territory_id FROM territories WHERE year(snapshot) >= 1998)
+  SELECT key, territory_id FROM ids UNION ALL SELECT key, territory_id FROM fresh""")
+def territory_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions before 1998 are stored with ids; the later ones are numbered after them."""
+    territories = bundle(spark, folder)[0]
+    known = territories.filter(F.year("snapshot") < 1998)
+    nothing = known.limit(0).withColumn("territory_id", F.lit(0).cast("long"))
+    stored = releases.assign_territory_ids(known, nothing)
+    return releases.assign_territory_ids(territories, stored).select("key", "territory_id")
+
+
+@query(BUNDLE + """, ids AS (SELECT *, row_number() OVER (ORDER BY scheme, code) AS territory_id
+    FROM territories)
+  SELECT 'r1' AS release_id, o.series_code, 'persons' AS unit, t.territory_id,
+    t.code AS territory_code, t.code AS territory_name, t.scheme, o.period, o.value,
+    'unflagged_upstream' AS status, t.level, p.code AS parent_code, '' AS upstream_status,
+    '' AS upstream_note, '' AS upstream_unit, '' AS upstream_unit_multiplier
+  FROM observations o JOIN ids t ON t.key = o.territory_key
+  LEFT JOIN ids p ON p.key = t.parent_key""")
+def load_observations(spark: SparkSession, folder: str) -> DataFrame:
+    territories, series, observations = bundle(spark, folder)
+    nothing = territories.limit(0).withColumn("territory_id", F.lit(0).cast("long"))
+    placed = releases.assign_territory_ids(territories, nothing)
+    return releases.load_observations(observations, placed, series, "r1")
+
+
+@query(BUNDLE + """ SELECT series_code, series_code AS title, 'persons' AS unit,
+  concat('{"age":"', age, '","measure":"lines","sex":"', sex, '"}') AS dimensions, period,
+  count(*) AS row_count FROM observations GROUP BY ALL""")
+def coverage_table(spark: SparkSession, folder: str) -> DataFrame:
+    territories, series, observations = bundle(spark, folder)
+    rows = coverage.coverage_rows(coverage.coverage_members(observations, territories))
+    return releases.coverage_table(rows, series, "r1").select(
+        "series_code", "title", "unit", "dimensions", "period", "row_count")
+
+
+@query(BUNDLE + """, cut AS (SELECT territory_key, sex, age, CAST(split_part(age, ':', 1) AS INTEGER)
+      AS lo, CAST(split_part(age, ':', 2) AS INTEGER) AS hi FROM observations
+    WHERE age <> 'TOTAL'),
+  n AS (SELECT *, lead(lo) OVER (PARTITION BY territory_key, sex ORDER BY lo, hi) AS nxt FROM cut)
+  SELECT territory_key, sex, count(*) FILTER (NOT (lo < hi AND (nxt IS NULL OR nxt = hi)))
+      AS breaks, min(lo) AS first, max(hi) AS last
+  FROM n GROUP BY ALL HAVING count(*) FILTER (NOT (lo < hi AND (nxt IS NULL OR nxt = hi))) > 0
+    OR min(lo) <> 0 OR max(hi) <> 1000""")
+def range_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Places whose observed age classes leave a gap."""
+    _, series, observations = bundle(spark, folder)
+    kinds = series.select(F.col("code").alias("series_code"),
+                          F.element_at("dimensions", "sex").alias("sex"),
+                          F.element_at("dimensions", "age").alias("age"))
+    cut = observations.join(kinds, "series_code").filter("age <> 'TOTAL'")
+    return coverage.range_tiling(cut, ["territory_key", "sex"], "age", F.lit(0)).drop(
+        "required_first")
+
+
+# Events: at the end of 1997 the nations of each region merge into the first nation of the region.
+EVENTS = BUNDLE + """, olds AS (SELECT * FROM territories WHERE level = 'municipality'
+    AND year(snapshot) = 1997),
+  news AS (SELECT parent_key, min(key) AS to_key FROM territories WHERE level = 'municipality'
+    AND year(snapshot) = 1998 GROUP BY ALL),
+  pairs AS (SELECT concat('merge-', split_part(o.parent_key, ':', 2)) AS event_id,
+      o.key AS from_key, n.to_key FROM olds o JOIN news n
+      ON split_part(o.parent_key, ':', 2) = split_part(n.parent_key, ':', 2))"""
+
+
+def events(territories: DataFrame) -> DataFrame:
+    """One merger per region; an event document lists the codes of one region."""
+    region = F.element_at(F.split("parent_key", ":"), 2)
+    municipal = territories.filter("level = 'municipality'").withColumn("region", region)
+    old = municipal.filter(F.year("snapshot") == 1997).groupBy("region").agg(
+        F.array_sort(F.collect_list("key")).alias("from_keys"))
+    new = municipal.filter(F.year("snapshot") == 1998).groupBy("region").agg(
+        F.array(F.min("key")).alias("to_keys"))
+    return old.join(new, "region").select(
+        F.concat(F.lit("merge-"), "region").alias("event_id"), F.lit("merger").alias("kind"),
+        F.lit("1998-01-01").cast("date").alias("effective_date"), F.lit("urn:e").alias("source_url"),
+        F.lit("0" * 64).alias("evidence_sha256"), F.col("region").alias("description"),
+        "from_keys", "to_keys", F.lit("exact").alias("weight_basis"))
+
+
+@query(EVENTS + """ SELECT row_number() OVER (ORDER BY event_id, from_key, to_key) AS id, event_id,
+    f.code AS from_code, f.scheme AS from_scheme, t.code AS to_code, t.scheme AS to_scheme,
+    CAST(1 AS DECIMAL(20, 12)) AS allocation_weight
+  FROM pairs JOIN territories f ON f.key = from_key JOIN territories t ON t.key = to_key""")
+def crosswalk_rows(spark: SparkSession, folder: str) -> DataFrame:
+    territories = bundle(spark, folder)[0]
+    rows = coverage.crosswalk_pairs(events(territories), territories)
+    return rows.select("id", "event_id", "from_code", "from_scheme", "to_code", "to_scheme",
+                       "allocation_weight")
+
+
+@query(EVENTS + """ SELECT to_key AS key, CAST(sum(value) AS DECIMAL(20, 6)) AS value
+  FROM pairs JOIN observations ON territory_key = from_key
+  WHERE series_code = 'lines_total_total' GROUP BY ALL""")
+def reaggregate_exact(spark: SparkSession, folder: str) -> DataFrame:
+    territories, _, observations = bundle(spark, folder)
+    municipal = territories.filter("level = 'municipality' and year(snapshot) = 1997").select(
+        F.col("key").alias("territory_key"))
+    values = observations.filter("series_code = 'lines_total_total'").join(
+        municipal, "territory_key").select(F.col("territory_key").alias("key"), "value")
+    return coverage.reaggregate_exact(values, events(territories))
+
+
+CUSTOMER_CODES = """WITH codes AS (SELECT DISTINCT make_date(year(o_orderdate), 1, 1) AS snapshot,
+    CAST(o_custkey AS VARCHAR) AS code, c_mktsegment AS segment
+    FROM orders JOIN customer ON o_custkey = c_custkey),
+  days AS (SELECT snapshot AS before, lead(snapshot) OVER (ORDER BY snapshot) AS after
+    FROM (SELECT DISTINCT snapshot FROM codes)),
+  old AS (SELECT before, after, code, segment FROM codes JOIN days ON snapshot = before
+          WHERE after IS NOT NULL),
+  new AS (SELECT before, after, code, segment FROM codes JOIN days ON snapshot = after),
+  firsts AS (SELECT snapshot, min(code) AS first_code FROM codes GROUP BY ALL),
+  changed AS (SELECT *, 'removed' AS change FROM old ANTI JOIN new USING (before, after, code)
+    UNION ALL SELECT *, 'added' FROM new ANTI JOIN old USING (before, after, code))"""
+
+
+@query(CUSTOMER_CODES + """ SELECT before, after, code, change FROM changed c
+  WHERE NOT (change = 'removed' AND segment = 'BUILDING')
+    AND NOT (change = 'added' AND code = (SELECT first_code FROM firsts f WHERE f.snapshot = c.after)
+      AND EXISTS (SELECT 1 FROM changed b WHERE b.after = c.after AND b.change = 'removed'
+                  AND b.segment = 'BUILDING'))""")
+def unexplained_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers that start or stop ordering; events explain the ones of one segment only."""
+    orders = star.table(spark, folder, "orders").select(
+        "o_custkey", F.make_date(F.year("o_orderdate"), F.lit(1), F.lit(1)).alias("snapshot"))
+    customer = star.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    places = orders.distinct().join(customer, "o_custkey").select(
+        F.concat_ws(":", F.col("snapshot").cast("string"), F.col("o_custkey").cast("string"))
+        .alias("key"), "snapshot", F.col("o_custkey").cast("string").alias("code"), "segment",
+        F.lit("municipality").alias("level"))
+    places = materialize(places, "customers")
+    firsts = places.groupBy("snapshot").agg(F.min("code").alias("first"))
+    by_day = Window.partitionBy(F.lit(0)).orderBy("snapshot")
+    following = firsts.select("snapshot", F.lead("snapshot").over(by_day).alias("after"))
+    stopped = places.filter("segment = 'BUILDING'").join(following, "snapshot").join(
+        places.select("code", F.col("snapshot").alias("after")), ["code", "after"], "left_anti")
+    changes = stopped.join(firsts.withColumnRenamed("snapshot", "after"), "after").select(
+        F.array("key").alias("from_keys"),
+        F.array(F.concat_ws(":", F.col("after").cast("string"), "first")).alias("to_keys"))
+    return coverage.unexplained_changes(places, changes)
+
+
+@query()
+def bundle_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """All rules of a bundle; the size bounds are those of one reviewed national bundle."""
+    territories, series, observations = bundle(spark, folder)
+    equations, parts = _equations(territories, series, observations)
+    evidence = territories.select(
+        F.lit("e").alias("name"), F.lit("p").alias("path"), F.lit("0" * 64).alias("sha256"),
+        F.lit("urn:e").alias("url"), F.lit("").alias("retrieved_at")).distinct()
+    members = coverage.coverage_members(observations, territories)
+    found: gates.Gates = coverage.bundle_gates(
+        territories, series, observations, members, equations, parts, events(territories),
+        evidence, False, ("lines_total_total", "1998-01-01"))
+    return found.frame()
