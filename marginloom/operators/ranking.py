@@ -21,17 +21,21 @@ def with_group_size(df: DataFrame, group: Sequence[str], size: str = "group_size
 def rank_within(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[str] = (),
                 size: str = "group_size", rank: str = "rank",
                 rows_per_piece: int = ROWS_PER_PIECE,
-                counts_from: DataFrame | None = None) -> DataFrame:
+                counts_from: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """`row_number` by (key, ties) inside each group, without putting a large group in one task.
 
     `key` is a hex hash and `size` the number of rows of the group. A group above `rows_per_piece`
     is cut into hash-range pieces; since pieces follow the order of the key, rank = rows in earlier
     pieces + row number inside the piece. Only groups that are cut are counted, and that filter on
     `size` reaches the source, so ordinary groups cost one shuffle and one sort. `counts_from` may
-    give a cheaper frame with the same group, key and size columns to count from.
-    Group columns must not be NULL.
+    give a cheaper frame with the same group, key and size columns to count from. `largest` is the
+    size of the largest group when the caller knows it: if no group has to be cut, the plan is a
+    plain window. Group columns must not be NULL.
     """
     group = list(group)
+    if largest is not None and largest <= rows_per_piece:
+        whole = Window.partitionBy(*group).orderBy(key, *ties)
+        return df.withColumn(rank, F.row_number().over(whole).cast("long"))
     pieces = F.ceil(F.col(size) / F.lit(rows_per_piece)).cast("long")
     piece = F.when(F.col(size) > rows_per_piece, hash_piece(F.col(key), pieces)).otherwise(
         F.lit(0).cast("long"))

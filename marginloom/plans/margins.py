@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginloom.functions.demography import ADULT_AGE
 from marginloom.operators import expand, gates, reconcile
-from marginloom.session import materialize
+from marginloom.session import materialize_all
 
 DOMESTIC = "100"
 STATELESS = "999"
@@ -94,20 +94,34 @@ class Cells:
     persons: DataFrame
     households: DataFrame
     countries: DataFrame | None
+    largest: dict[str, int] | None = None
 
     @classmethod
-    def build(cls, margins: Margins, domestic: str = DOMESTIC, store: bool = True) -> Cells:
-        """`store` writes the cells to the shared folder: later plans start from a scan of known
-        size instead of repeating the whole derivation of the margins."""
-        countries = None
+    def build(cls, margins: Margins, domestic: str = DOMESTIC) -> Cells:
+        """Write the cells to the shared folder: later plans start from scans of known size
+        instead of repeating the derivation, and the size of every group is known up front."""
+        frames = {"persons": _person_cells(margins), "households": _household_cells(margins)}
         if margins.foreigners is not None and margins.countries is not None:
-            countries = _country_cells(margins, domestic)
-        frames = (_person_cells(margins), _household_cells(margins), countries)
-        if store:
-            frames = tuple(
-                None if df is None else materialize(df, f"cells-{name}")
-                for name, df in zip(("persons", "households", "countries"), frames))
-        return cls(*frames)
+            frames["countries"] = _country_cells(margins, domestic)
+        stored = materialize_all(**frames)
+        return cls(stored["persons"], stored["households"], stored.get("countries"),
+                   _largest_groups(stored["persons"], stored["households"]))
+
+
+# Column that holds the size of the groups a stage ranks in.
+_GROUP_SIZES = {"persons": ("n", "stage_size", "foreign_pool"),
+                "households": ("household_total", "slot_total")}
+
+
+def _largest_groups(persons: DataFrame, households: DataFrame) -> dict[str, int]:
+    """Largest group per size column: one small row per table."""
+    found: dict[str, int] = {}
+    for df, columns in ((persons, _GROUP_SIZES["persons"]),
+                        (households, _GROUP_SIZES["households"])):
+        present = [c for c in columns if c in df.columns]
+        row = df.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in present]).first()
+        found.update(row.asDict())
+    return found
 
 
 def _person_cells(margins: Margins) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginloom.plans.margins import Margins
-from marginloom.session import materialize
+from marginloom.session import materialize_all
 
 REFERENCE = "2024-01-01"
 
@@ -26,25 +26,42 @@ def place(nation: str) -> F.Column:
     return F.lpad(F.col(nation).cast("string"), 6, "0")
 
 
-def lines(spark: SparkSession, folder: str, with_supplier: bool = True) -> DataFrame:
-    """One row per line item: municipality, sex, age, o_orderkey and, if asked for, code."""
+def line_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items by (municipality, sex, age, code), the finest margin.
+
+    Counted on the plain numeric columns; labels are made from the few counted rows.
+    """
     item = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"), "l_suppkey",
-        F.when(F.col("l_linestatus") == "O", "M").otherwise("F").alias("sex"),
-        F.least(F.col("l_quantity").cast("int") * 2, F.lit(100)).alias("age"))
+        F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linestatus", "l_quantity")
     order = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    rows = item.join(order, "o_orderkey").join(customer, "o_custkey").withColumn(
-        "municipality", place("c_nationkey"))
-    if not with_supplier:
-        return rows.select("municipality", "sex", "age", "o_orderkey")
     supplier = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    counted = (
+        item.join(order, "o_orderkey").join(customer, "o_custkey").join(supplier, "l_suppkey")
+        .groupBy("c_nationkey", "s_nationkey", "l_linestatus", "l_quantity")
+        .agg(F.count(F.lit(1)).alias("n")))
     code = F.when(F.col("s_nationkey") == F.col("c_nationkey"), "100").otherwise(
         (F.col("s_nationkey") + 200).cast("string"))
-    return rows.join(supplier, "l_suppkey").select(
-        "municipality", "sex", "age", "o_orderkey", code.alias("code"))
+    return counted.groupBy(
+        place("c_nationkey").alias("municipality"),
+        F.when(F.col("l_linestatus") == "O", "M").otherwise("F").alias("sex"),
+        F.least(F.col("l_quantity").cast("int") * 2, F.lit(100)).alias("age"),
+        code.alias("code")).agg(F.sum("n").alias("n"))
+
+
+def order_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with line items by (municipality, size); lines are counted before any join."""
+    counts = table(spark, folder, "lineitem").groupBy(
+        F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
+    order = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    customer = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    size = F.least("lines", F.lit(6)).cast("int").alias("size")
+    counted = counts.join(order, "o_orderkey").join(customer, "o_custkey").groupBy(
+        "c_nationkey", size).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(place("c_nationkey").alias("municipality"), "size", "n")
 
 
 def locality(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,18 +74,12 @@ def locality(spark: SparkSession, folder: str) -> DataFrame:
 def margins(spark: SparkSession, folder: str, citizenship: bool = True) -> Margins:
     """Positive cells only; a missing cell is a zero that was never published.
 
-    The joint counts are written once to the shared folder and every margin is a roll-up of them.
+    The counts are written once to the shared folder and every margin is a roll-up of them.
     """
-    count = F.count(F.lit(1)).alias("n")
-    keys = ["municipality", "sex", "age"] + (["code"] if citizenship else [])
-    joint = materialize(lines(spark, folder, citizenship).groupBy(*keys).agg(count), "joint")
-    sizes = materialize(
-        lines(spark, folder, False).groupBy("municipality", "o_orderkey")
-        .agg(F.least(F.count(F.lit(1)), F.lit(6)).cast("int").alias("size"))
-        .groupBy("municipality", "size").agg(count), "sizes")
-    total = F.sum("n").alias("n")
-    result = Margins(locality(spark, folder), joint.groupBy("municipality", "sex", "age").agg(total),
-                     sizes)
+    stored = materialize_all(joint=line_counts(spark, folder), sizes=order_sizes(spark, folder))
+    joint, total = stored["joint"], F.sum("n").alias("n")
+    demography = joint.groupBy("municipality", "sex", "age").agg(total)
+    result = Margins(locality(spark, folder), demography, stored["sizes"])
     if not citizenship:
         return result
     return replace(

@@ -40,7 +40,7 @@ def people(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
     return rows.withColumn("person_id", F.col("person_offset") + F.col("i") + 1)
 
 
-def assign_citizenship(persons: DataFrame, countries: DataFrame, domestic: str = DOMESTIC,
+def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTIC,
                        sizing: Sizing = Sizing()) -> DataFrame:
     """Stage 3: add `citizenship_code` to persons that carry their cell attributes.
 
@@ -50,30 +50,46 @@ def assign_citizenship(persons: DataFrame, countries: DataFrame, domestic: str =
     Persons that are not drawn keep the domestic code without being joined.
     """
     columns = persons.columns
-    drawn = rank_within(
-        persons.filter("foreign > 0").withColumn(
-            "_key", hash_key("selection/1", "municipality", "person_id")),
-        ["municipality", "sex", "age"], "_key", ["person_id"], "n", "_draw",
-        sizing.rows_per_piece)
+    largest = cells.largest or {}
+
+    def draw(people_: DataFrame) -> DataFrame:
+        # The slot join below implies these NULL tests for one branch only; stated for both, they
+        # keep the branches alike as well.
+        known = people_.filter("foreign > 0 AND municipality IS NOT NULL AND sex IS NOT NULL")
+        keyed = known.withColumn("_key", hash_key("selection/1", "municipality", "person_id"))
+        return rank_within(keyed, ["municipality", "sex", "age"], "_key", ["person_id"], "n",
+                           "_draw", sizing.rows_per_piece, largest=largest.get("n"))
+
+    def keyed_winners(drawn_: DataFrame) -> DataFrame:
+        return drawn_.filter("_draw <= foreign").withColumn(
+            "_key", hash_key("assignment/1", "person_id"))
+
+    # The pool is never smaller than the quota. Stated here it keeps the columns of both branches
+    # below equal, so the shuffle of the draw is made once and reused.
+    drawn = draw(persons).filter("foreign_pool >= foreign")
+    # Large pools are counted from their own persons: a filter above the window would not reach
+    # the source, and every pool would be drawn again.
+    large = persons.filter(F.col("foreign_pool") > sizing.rows_per_piece)
     chosen = rank_within(
-        drawn.filter("_draw <= foreign").withColumn("_key", hash_key("assignment/1", "person_id")),
-        ["municipality", "sex"], "_key", ["person_id"], "foreign_pool", "_rank",
-        sizing.rows_per_piece)
+        keyed_winners(drawn), ["municipality", "sex"], "_key", ["person_id"], "foreign_pool",
+        "_rank", sizing.rows_per_piece, keyed_winners(draw(large)), largest.get("foreign_pool"))
     kept = drawn.filter("_draw > foreign").select(*columns).unionByName(
         persons.filter("foreign = 0").select(*columns))
-    slots = citizenship_slots(countries, sizing).select(
+    slots = citizenship_slots(cells, sizing).select(
         "municipality", "sex", F.col("rank").alias("_rank"), F.col("code").alias("_code"))
     matched = match_by_rank(chosen, slots, ["municipality", "sex"], "_rank").select(
         *columns, F.col("_code").alias("citizenship_code"))
     return matched.unionByName(kept.withColumn("citizenship_code", F.lit(domestic)))
 
 
-def citizenship_slots(countries: DataFrame, sizing: Sizing = Sizing()) -> DataFrame:
+def citizenship_slots(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
     """One slot per counted foreign citizenship, shuffled within (municipality, sex)."""
-    slots = expand_counts(countries, "n", "i", sizing.chunk_rows).withColumn(
+    slots = expand_counts(cells.countries, "n", "i", sizing.chunk_rows).withColumn(
         "_key", hash_key("countries/1", "municipality", "code", "i"))
-    return rank_within(slots, ["municipality", "sex"], "_key", ["code", "i"], "foreign_pool",
-                       "rank", sizing.rows_per_piece).select("municipality", "sex", "code", "rank")
+    ranked = rank_within(slots, ["municipality", "sex"], "_key", ["code", "i"], "foreign_pool",
+                         "rank", sizing.rows_per_piece,
+                         largest=(cells.largest or {}).get("foreign_pool"))
+    return ranked.select("municipality", "sex", "code", "rank")
 
 
 def individuals(cells: Cells, reference: str, domestic: str = DOMESTIC,
@@ -85,7 +101,7 @@ def individuals(cells: Cells, reference: str, domestic: str = DOMESTIC,
     extra = []
     if cells.countries is not None:
         rows = assign_citizenship(rows.select(*columns, "n", "foreign", "foreign_pool"),
-                                  cells.countries, domestic, sizing)
+                                  cells, domestic, sizing)
         extra = ["citizenship_code"]
     return rows.select(
         "person_id", "municipality", "province", "region",
@@ -110,9 +126,11 @@ def households(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
 def seats(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
     """(municipality, seat, household_id): shuffled reference seats 1..H, then the other members."""
     rows = household_rows(cells, sizing)
+    largest = cells.largest or {}
     first = rank_within(
         rows.withColumn("_key", hash_key("fam/1", "municipality", "size", "i")),
-        ["municipality"], "_key", ["size", "i"], "household_total", "seat", sizing.rows_per_piece)
+        ["municipality"], "_key", ["size", "i"], "household_total", "seat", sizing.rows_per_piece,
+        largest=largest.get("household_total"))
     members = (
         rows.filter("size > 1")
         .withColumn("local_id", F.col("household_id") - F.col("place_offset"))
@@ -120,7 +138,7 @@ def seats(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
         .withColumn("_key", hash_key("slot/1", "municipality", "local_id", "j"))
     )
     others = rank_within(members, ["municipality"], "_key", ["local_id", "j"], "slot_total",
-                         "_rank", sizing.rows_per_piece)
+                         "_rank", sizing.rows_per_piece, largest=largest.get("slot_total"))
     others = others.withColumn("seat", F.col("household_total") + F.col("_rank"))
     return first.select("municipality", "seat", "household_id").unionByName(
         others.select("municipality", "seat", "household_id"))
@@ -153,7 +171,7 @@ def allocation_ranks(persons: DataFrame, cells: Cells, reference: str,
     counted = expand_counts(large, "n", "i", sizing.chunk_rows).withColumn("_key", key)
     return rank_within(rows, ["municipality", "is_minor"], "_key", ["sex", "age", "i"],
                        "stage_size", "allocation_rank", sizing.rows_per_piece,
-                       counts_from=counted).drop("_key")
+                       counted, (cells.largest or {}).get("stage_size")).drop("_key")
 
 
 def assign_households(persons: DataFrame, cells: Cells, reference: str,
@@ -184,5 +202,5 @@ def enrich(persons: DataFrame, cells: Cells, reference: str, domestic: str = DOM
     if cells.countries is None:
         raise ValueError("Citizenship margins are required")
     aged = with_cells(persons, cells, reference, "n", "foreign", "foreign_pool")
-    done = assign_citizenship(aged, cells.countries, domestic, sizing)
+    done = assign_citizenship(aged, cells, domestic, sizing)
     return done.select(*persons.columns, "citizenship_code")

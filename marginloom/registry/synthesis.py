@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,7 +181,7 @@ def synth_three_stages(spark: SparkSession, folder: str) -> DataFrame:
 def enrich_citizenship(spark: SparkSession, folder: str) -> DataFrame:
     """Adds citizenship to finished persons; equals the ordered pipeline."""
     cells = cells_of(spark, folder)
-    base = M.Cells(cells.persons, cells.households, None)
+    base = replace(cells, countries=None)
     people = synthesize.individuals(base, star.REFERENCE)
     persons = materialize(synthesize.assign_households(people, base, star.REFERENCE), "base")
     return synthesize.enrich(persons, cells, star.REFERENCE)

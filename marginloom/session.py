@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +29,22 @@ def build_session(app: str = "marginloom", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_ROOT_LOCK = Lock()
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables below the shared `spark.checkpoint.dir`.
 
     A machine-local folder is used only where the setting is absent *and* the master is local, so a
     cluster without a shared folder fails here instead of losing data with an executor later.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    with _ROOT_LOCK:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+            root = tempfile.mkdtemp(prefix="spark-")
+            spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
@@ -48,3 +54,12 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(**frames: DataFrame) -> dict[str, DataFrame]:
+    """Write independent frames at the same time, so small jobs do not wait for each other."""
+    if not frames:
+        return {}
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        jobs = {name: pool.submit(materialize, df, name) for name, df in frames.items()}
+        return {name: job.result() for name, job in jobs.items()}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marginloom.operators.gates import Gates, duplicates
 
@@ -12,24 +11,24 @@ from marginloom.operators.gates import Gates, duplicates
 _NAME = "struct<_VALUE:string,`_xml:lang`:string>"
 _REF = "struct<_id:string,_agencyID:string,_version:string>"
 _CODE = f"struct<_id:string,`c:Name`:array<{_NAME}>,`s:Parent`:struct<Ref:struct<_id:string>>>"
-CODELIST = T.StructType.fromDDL(
+CODELIST = (
     f"_id string, _agencyID string, _version string, `s:Code` array<{_CODE}>")
 _COMPONENT = ("struct<_id:string,_position:string,"
               f"`s:LocalRepresentation`:struct<`s:Enumeration`:struct<Ref:{_REF}>>>")
-DATA_STRUCTURE = T.StructType.fromDDL(
+DATA_STRUCTURE = (
     "_id string, _agencyID string, _version string, "
     "`s:DataStructureComponents` struct<"
     f"`s:DimensionList`:struct<`s:Dimension`:array<{_COMPONENT}>,`s:TimeDimension`:array<{_COMPONENT}>>,"
     f"`s:AttributeList`:struct<`s:Attribute`:array<{_COMPONENT}>>,"
     f"`s:MeasureList`:struct<`s:PrimaryMeasure`:array<{_COMPONENT}>>>")
 _ANNOTATION = "struct<_id:string,`c:AnnotationTitle`:string>"
-DATAFLOW = T.StructType.fromDDL(
+DATAFLOW = (
     "_id string, _agencyID string, _version string, "
     f"`c:Annotations` struct<`c:Annotation`:array<{_ANNOTATION}>>, "
     f"`s:Structure` struct<Ref:{_REF}>")
 
 
-def _xml(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST").schema(
         schema).load(path)
 
