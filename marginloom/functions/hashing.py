@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 
 def hash_key(label: str, *parts: Column | str) -> Column:
-    """Text ordering key. The label carries a version: a changed rule changes the output."""
+    """Ordering key: the first 60 bits of the md5 of the label and the parts, as a long.
+
+    A long sorts several times faster than 32 hex digits and moves a quarter of the bytes; equal
+    keys are told apart by the natural keys that follow in every ordering. The label carries a
+    version: a changed rule changes the output on purpose.
+    """
     columns = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
-    return F.md5(F.concat_ws("|", F.lit(label), *columns))
+    digest = F.md5(F.concat_ws("|", F.lit(label), *columns))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def hash_piece(key: Column, pieces: Column) -> Column:
-    """Map a hex key onto 0..pieces-1 monotonically, so pieces keep the order of their keys."""
-    leading = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
-    return F.shiftright(leading * pieces.cast("long"), 32)
+    """Map a 60-bit key onto 0..pieces-1 monotonically, so pieces keep the order of their keys."""
+    return F.shiftright(F.shiftright(key, 28) * pieces.cast("long"), 32)
 
 
 def territorial_seed(code: Column, namespace: str, seed: int = 1701) -> Column:

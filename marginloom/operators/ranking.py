@@ -24,7 +24,7 @@ def rank_within(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[st
                 counts_from: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """`row_number` by (key, ties) inside each group, without putting a large group in one task.
 
-    `key` is a hex hash and `size` the number of rows of the group. A group above `rows_per_piece`
+    `key` is a `hash_key` and `size` the number of rows of the group. A group above `rows_per_piece`
     is cut into hash-range pieces; since pieces follow the order of the key, rank = rows in earlier
     pieces + row number inside the piece. Only groups that are cut are counted, and that filter on
     `size` reaches the source, so ordinary groups cost one shuffle and one sort. `counts_from` may
@@ -69,8 +69,9 @@ def match_by_rank(units: DataFrame, slots: DataFrame, group: Sequence[str],
                   rank: str = "rank", how: str = "inner") -> DataFrame:
     """Pair the k-th unit with the k-th slot of its group.
 
-    Joining on the rank as well as the group spreads even a dominant group over all tasks. The merge
+    Joining on the rank as well as the group spreads even a dominant group over all tasks, and with
+    the rank first the merge sort is decided by that one long almost everywhere. The merge
     hint is needed: both sides usually come from `expand_counts`, whose size estimate is that of
     the unexpanded cells, so the planner would broadcast a side that is far too large for it.
     """
-    return units.join(slots.hint("merge"), [*group, rank], how)
+    return units.join(slots.hint("merge"), [rank, *group], how)

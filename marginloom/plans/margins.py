@@ -140,6 +140,11 @@ def _person_cells(margins: Margins) -> DataFrame:
         .withColumn("stage_size", F.when(minor, F.col("minor_total")).otherwise(
             F.col("_all") - F.col("minor_total")))
         .drop("_all")
+        # One long per ranking group: cheaper to shuffle and sort by than the labels it stands for.
+        .withColumn("stage_id", F.min("person_offset").over(
+            Window.partitionBy("municipality", "is_minor")))
+        .withColumn("pool_id", F.min("person_offset").over(
+            Window.partitionBy("municipality", "sex")))
         .join(homes, "municipality", "left")
         .fillna(0, ["household_total"])
     )

@@ -21,6 +21,7 @@ from marginloom.plans.margins import DOMESTIC, Cells
 
 PRIORITY_ORDER = ("sex_age", "geography", "citizenship", "households")
 DATA_KIND = "synthetic"
+CITIZENSHIP_ATTRIBUTES = ("n", "person_offset", "foreign", "pool_id", "foreign_pool")
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,9 @@ def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTI
                        sizing: Sizing = Sizing()) -> DataFrame:
     """Stage 3: add `citizenship_code` to persons that carry their cell attributes.
 
-    Needs person_id, municipality, sex, age, n (size of the cell), foreign (how many of the cell to
-    draw) and foreign_pool (how many in all of the municipality and sex). Exactly the published
+    Needs person_id, municipality, sex, n (size of the demographic cell), person_offset (identity of
+    the cell), foreign (how many of the cell to draw), pool_id and foreign_pool (identity of the
+    municipality and sex, and how many are drawn in it). Exactly the published
     number of foreigners is drawn per cell, and the published citizenships are shuffled over them.
     Persons that are not drawn keep the domestic code without being joined.
     """
@@ -57,22 +59,23 @@ def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTI
         # keep the branches alike as well.
         known = people_.filter("foreign > 0 AND municipality IS NOT NULL AND sex IS NOT NULL")
         keyed = known.withColumn("_key", hash_key("selection/1", "municipality", "person_id"))
-        return rank_within(keyed, ["municipality", "sex", "age"], "_key", ["person_id"], "n",
-                           "_draw", sizing.rows_per_piece, largest=largest.get("n"))
+        return rank_within(keyed, ["person_offset"], "_key", ["person_id"], "n", "_draw",
+                           sizing.rows_per_piece, largest=largest.get("n"))
 
     def keyed_winners(drawn_: DataFrame) -> DataFrame:
         return drawn_.filter("_draw <= foreign").withColumn(
             "_key", hash_key("assignment/1", "person_id"))
 
-    # The pool is never smaller than the quota. Stated here it keeps the columns of both branches
-    # below equal, so the shuffle of the draw is made once and reused.
-    drawn = draw(persons).filter("foreign_pool >= foreign")
+    # Both comparisons hold for every row: the pool counts the quota, and is named after its first
+    # cell. Stated here they keep the columns of both branches below equal, so the shuffle of the
+    # draw is made once and reused.
+    drawn = draw(persons).filter("foreign_pool >= foreign AND pool_id <= person_offset")
     # Large pools are counted from their own persons: a filter above the window would not reach
     # the source, and every pool would be drawn again.
     large = persons.filter(F.col("foreign_pool") > sizing.rows_per_piece)
     chosen = rank_within(
-        keyed_winners(drawn), ["municipality", "sex"], "_key", ["person_id"], "foreign_pool",
-        "_rank", sizing.rows_per_piece, keyed_winners(draw(large)), largest.get("foreign_pool"))
+        keyed_winners(drawn), ["pool_id"], "_key", ["person_id"], "foreign_pool", "_rank",
+        sizing.rows_per_piece, keyed_winners(draw(large)), largest.get("foreign_pool"))
     kept = drawn.filter("_draw > foreign").select(*columns).unionByName(
         persons.filter("foreign = 0").select(*columns))
     slots = citizenship_slots(cells, sizing).select(
@@ -100,8 +103,8 @@ def individuals(cells: Cells, reference: str, domestic: str = DOMESTIC,
     columns = ["person_id", "municipality", "province", "region", "sex", "age"]
     extra = []
     if cells.countries is not None:
-        rows = assign_citizenship(rows.select(*columns, "n", "foreign", "foreign_pool"),
-                                  cells, domestic, sizing)
+        rows = assign_citizenship(rows.select(*columns, *CITIZENSHIP_ATTRIBUTES), cells, domestic,
+                                  sizing)
         extra = ["citizenship_code"]
     return rows.select(
         "person_id", "municipality", "province", "region",
@@ -129,7 +132,7 @@ def seats(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
     largest = cells.largest or {}
     first = rank_within(
         rows.withColumn("_key", hash_key("fam/1", "municipality", "size", "i")),
-        ["municipality"], "_key", ["size", "i"], "household_total", "seat", sizing.rows_per_piece,
+        ["place_offset"], "_key", ["size", "i"], "household_total", "seat", sizing.rows_per_piece,
         largest=largest.get("household_total"))
     members = (
         rows.filter("size > 1")
@@ -137,7 +140,7 @@ def seats(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("size") - 2)))
         .withColumn("_key", hash_key("slot/1", "municipality", "local_id", "j"))
     )
-    others = rank_within(members, ["municipality"], "_key", ["local_id", "j"], "slot_total",
+    others = rank_within(members, ["place_offset"], "_key", ["local_id", "j"], "slot_total",
                          "_rank", sizing.rows_per_piece, largest=largest.get("slot_total"))
     others = others.withColumn("seat", F.col("household_total") + F.col("_rank"))
     return first.select("municipality", "seat", "household_id").unionByName(
@@ -162,14 +165,14 @@ def allocation_ranks(persons: DataFrame, cells: Cells, reference: str,
     """
     key = hash_key("alloc/1", "municipality", "sex", "age", "i")
     rows = (
-        with_cells(persons, cells, reference, "person_offset", "is_minor", "minor_total",
+        with_cells(persons, cells, reference, "person_offset", "stage_id", "minor_total",
                    "stage_size", "household_total")
         .withColumn("i", F.col("person_id") - F.col("person_offset") - 1)
         .withColumn("_key", key)
     )
     large = cells.persons.filter(F.col("stage_size") > sizing.rows_per_piece)
     counted = expand_counts(large, "n", "i", sizing.chunk_rows).withColumn("_key", key)
-    return rank_within(rows, ["municipality", "is_minor"], "_key", ["sex", "age", "i"],
+    return rank_within(rows, ["stage_id"], "_key", ["sex", "age", "i"],
                        "stage_size", "allocation_rank", sizing.rows_per_piece,
                        counted, (cells.largest or {}).get("stage_size")).drop("_key")
 
@@ -201,6 +204,6 @@ def enrich(persons: DataFrame, cells: Cells, reference: str, domestic: str = DOM
     """Add citizenship to an existing persons table; every other column is left alone."""
     if cells.countries is None:
         raise ValueError("Citizenship margins are required")
-    aged = with_cells(persons, cells, reference, "n", "foreign", "foreign_pool")
+    aged = with_cells(persons, cells, reference, *CITIZENSHIP_ATTRIBUTES)
     done = assign_citizenship(aged, cells, domestic, sizing)
     return done.select(*persons.columns, "citizenship_code")

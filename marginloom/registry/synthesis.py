@@ -92,8 +92,8 @@ def stable_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 RANKED = """WITH ranked AS (
   SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate, row_number() OVER (
-    PARTITION BY l_suppkey ORDER BY md5(concat_ws('|', 'demo/1', CAST(l_orderkey AS VARCHAR),
-      CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))),
+    PARTITION BY l_suppkey ORDER BY substr(md5(concat_ws('|', 'demo/1', CAST(l_orderkey AS VARCHAR),
+      CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 15),
       l_orderkey, l_partkey, l_linenumber, l_quantity, l_shipdate) AS rank FROM lineitem)"""
 
 
@@ -125,10 +125,10 @@ def select_n_per_cell(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH units AS (SELECT c_nationkey AS nation, c_custkey, row_number() OVER (
-    PARTITION BY c_nationkey ORDER BY md5(concat_ws('|', 'units/1', CAST(c_custkey AS VARCHAR))),
+    PARTITION BY c_nationkey ORDER BY substr(md5(concat_ws('|', 'units/1', CAST(c_custkey AS VARCHAR))), 1, 15),
     c_custkey) AS rank FROM customer),
   slots AS (SELECT s_nationkey AS nation, s_suppkey, row_number() OVER (
-    PARTITION BY s_nationkey ORDER BY md5(concat_ws('|', 'slots/1', CAST(s_suppkey AS VARCHAR))),
+    PARTITION BY s_nationkey ORDER BY substr(md5(concat_ws('|', 'slots/1', CAST(s_suppkey AS VARCHAR))), 1, 15),
     s_suppkey) AS rank FROM supplier)
   SELECT nation, rank, c_custkey, s_suppkey FROM units JOIN slots USING (nation, rank)""")
 def match_by_rank(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,3 +63,8 @@ def materialize_all(**frames: DataFrame) -> dict[str, DataFrame]:
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
         jobs = {name: pool.submit(materialize, df, name) for name, df in frames.items()}
         return {name: job.result() for name, job in jobs.items()}
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

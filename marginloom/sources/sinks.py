@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from marginloom.operators.gates import Check, Gates, QualityError, schema_matches
 from marginloom.plans.releases import unpublished
+from marginloom.session import path_exists
 
 
 def write_sorted(df: DataFrame, path: str, order: Sequence[str],
@@ -35,7 +36,7 @@ def append_checked(df: DataFrame, path: str, schema: T.StructType,
     if not schema_matches(df, schema):
         raise QualityError([Check("schema", False, 1)])
     new = df
-    if identity and _exists(df.sparkSession, path):
+    if identity and path_exists(df.sparkSession, path):
         stored = df.sparkSession.read.schema(schema).parquet(path)
         new = unpublished(df, stored, list(identity))
     writer = new.write.mode("append").option("compression", "zstd")
@@ -61,8 +62,3 @@ def guarded(gates: Gates, quarantine: str, spark: SparkSession) -> list[Check]:
 def write_report(report: DataFrame, path: str) -> None:
     """A one-row report as JSON."""
     report.coalesce(1).write.mode("overwrite").json(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
