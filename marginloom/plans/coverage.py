@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginloom.operators import expand, gates
+from marginloom.session import materialize, materialize_all
 
 # Fixed values of the bundle rules.
 LEVEL_RANK = {"country": 0, "region": 1, "province": 2, "municipality": 3}
@@ -239,7 +240,10 @@ def _equations(pairs: DataFrame, dimension: str | None, territory: str,
 
 def equation_terms(equations: DataFrame, parts: DataFrame, observations: DataFrame,
                    territories: DataFrame, series: DataFrame) -> DataFrame:
-    """One row per part with the attributes of its own cell and of the total."""
+    """One row per part with the attributes of its own cell and of the total.
+
+    Store the result before passing it to several checks: each of them is a pass over it.
+    """
     place = territories.select(F.col("key").alias("territory_key"), "scheme", "parent_key")
     kind = series.select(F.col("code").alias("series_code"), "unit", "dimensions")
     values = observations.select(*CELL, "value", F.lit(True).alias("found"))
@@ -436,7 +440,10 @@ def bundle_gates(territories: DataFrame, series: DataFrame, observations: DataFr
     territory_gates(territories, found)
     observation_gates(observations, territories, series, is_demo, found)
     coverage_gates(members, observations, territories, default, found)
-    terms = equation_terms(equations, parts, observations, territories, series)
+    stored = materialize_all(equations=equations, parts=parts)
+    equations, parts = stored["equations"], stored["parts"]
+    terms = materialize(
+        equation_terms(equations, parts, observations, territories, series), "terms")
     equation_gates(equations, parts, terms, found)
     found.unique("evidence_identity", evidence, ["name"])
     change_gates(changes, territories, evidence, found)

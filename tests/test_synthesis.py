@@ -94,7 +94,7 @@ EDGES = {
 def test_edge_margins(spark, name):
     m = margins(spark, **EDGES[name])
     coherence_gates(m, fixture=True).require()
-    people, persons, homes = generate(m, TINY)
+    people, persons, homes = generate(m)
     audit.record_gates(persons, homes, m, REFERENCE, people).require()
 
 
