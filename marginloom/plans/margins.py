@@ -125,7 +125,9 @@ def _largest_groups(persons: DataFrame, households: DataFrame) -> dict[str, int]
 
 
 def _person_cells(margins: Margins) -> DataFrame:
-    cells = margins.demography.filter("n > 0").join(margins.locality, "municipality")
+    # A municipality has at most 202 cells. Partitioned by it once, every window below is local.
+    cells = margins.demography.filter("n > 0").join(
+        margins.locality, "municipality").repartition("municipality")
     cells = expand.prefix_offsets(
         cells, [["province"], ["municipality"], ["sex", "age"]], offset="person_offset")
     minor = F.col("age") < ADULT_AGE

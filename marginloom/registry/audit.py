@@ -11,18 +11,18 @@ from marginloom.plans import synthesize
 from marginloom.registry import query
 from marginloom.registry.sql import INDIVIDUALS, LINES, MARGINS, PERSONS, PUBLISHED
 from marginloom.registry.synthesis import cells_of, population
-from marginloom.session import materialize
+from marginloom.session import materialize, materialize_all
 
 
 def stored_population(spark: SparkSession, folder: str) -> tuple:
     """Margins and the stored persons and households, read back for the audit."""
     m = star.margins(spark, folder)
     cells = synthesize.Cells.build(m)
-    individuals = materialize(synthesize.individuals(cells, star.REFERENCE), "individuals")
+    first = materialize_all(individuals=synthesize.individuals(cells, star.REFERENCE),
+                            households=synthesize.households(cells))
     persons = materialize(
-        synthesize.assign_households(individuals, cells, star.REFERENCE), "persons")
-    households = materialize(synthesize.households(cells), "households")
-    return m, individuals, persons, households
+        synthesize.assign_households(first["individuals"], cells, star.REFERENCE), "persons")
+    return m, first["individuals"], persons, first["households"]
 
 
 @query(PERSONS + """ SELECT municipality, CAST(count(*) FILTER (reference_adult) AS BIGINT) AS refs,
