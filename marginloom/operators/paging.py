@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginloom.operators.expand import prefix_offsets
+
 MAX_LIMIT = 500
+TEXT_PREFIXES = (2, 6, 10, 14, 18)
 
 
 def check_page(sort_by: str, allowed: Collection[str], direction: str, limit: int,
@@ -82,15 +86,11 @@ def text_order(*columns: DataFrame) -> DataFrame:
     """(value, ordinal) of the distinct non-NULL texts in binary order.
 
     The ordinal is only a stored form of the engine's own binary text order; queries sort by the
-    text itself.
+    text itself. It is counted prefix by prefix, so no task sorts all the texts.
     """
-    from functools import reduce
-
-    from marginloom.operators.expand import prefix_offsets
-
     values = reduce(DataFrame.union, [c.toDF("value") for c in columns]).filter(
-        "value is not null").distinct().select(
-        "value", F.substring("value", 1, 1).alias("_a"), F.substring("value", 1, 3).alias("_b"),
-        F.lit(1).alias("_n"))
-    ordered = prefix_offsets(values, [["_a"], ["_b"], ["value"]], "_n", "_before")
+        "value is not null").distinct()
+    prefixes = {f"_p{size}": F.substring("value", 1, size) for size in TEXT_PREFIXES}
+    counted = values.withColumns({**prefixes, "_n": F.lit(1)})
+    ordered = prefix_offsets(counted, [*[[name] for name in prefixes], ["value"]], "_n", "_before")
     return ordered.select("value", (F.col("_before") + 1).alias("ordinal"))

@@ -51,6 +51,9 @@ def rank_within(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[st
     local = Window.partitionBy(*group, "_piece").orderBy(key, *ties)
     return (
         df.withColumn("_piece", piece)
+        # Without this, rows that arrive hashed by the group alone would satisfy the window as they
+        # are, and a large group would stay in one task although it is cut.
+        .repartition(*group, "_piece")
         .withColumn("_local", F.row_number().over(local))
         .join(starts.hint("merge"), [*group, "_piece"], "left")
         .withColumn(rank, F.col("_local") + F.coalesce("_before", F.lit(0)))

@@ -47,9 +47,25 @@ def explode_coverage(nested: DataFrame) -> DataFrame:
 
 def overlapping_intervals(df: DataFrame, keys: list[str], start: str = "valid_from",
                           end: str = "valid_to") -> DataFrame:
-    """Versions of one key whose half-open interval reaches into the next one."""
-    following = F.lead(start).over(Window.partitionBy(*keys).orderBy(start, end))
-    return df.withColumn("next_start", following).filter(F.col("next_start") < F.col(end))
+    """Versions of one key whose half-open interval reaches into the next one.
+
+    The next start is looked up inside a month first; only the last version of a month looks at the
+    first start of the key's next month. So a key with very many versions is spread over its
+    months, and no window holds all of them. `start` is a DATE.
+    """
+    by_month = [*keys, "_month"]
+    rows = df.withColumn("_month", F.trunc(start, "month"))
+    first = rows.groupBy(*by_month).agg(F.min(start).alias("_first"))
+    following = first.select(*by_month, F.lead("_first").over(
+        Window.partitionBy(*keys).orderBy("_month")).alias("_later"))
+    within = F.lead(start).over(Window.partitionBy(*by_month).orderBy(start, end))
+    return (
+        rows.repartition(*by_month).withColumn("_within", within)
+        .join(following.hint("merge"), by_month, "left")
+        .withColumn("next_start", F.coalesce("_within", "_later"))
+        .filter(F.col("next_start") < F.col(end))
+        .select(*df.columns, "next_start")
+    )
 
 
 def hierarchy_violations(territories: DataFrame) -> DataFrame:

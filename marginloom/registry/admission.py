@@ -204,8 +204,8 @@ def membership_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(MARGINS + """, found AS (SELECT DISTINCT municipality AS area, sex, CAST(age AS VARCHAR) AS age
     FROM demography),
-  places AS (SELECT municipality AS area, s.sex, CAST(2 * a.i + 2 AS VARCHAR) AS age
-    FROM locality, (SELECT unnest(['M', 'F']) AS sex) s, (SELECT unnest(range(50)) AS i) a)
+  places AS (SELECT municipality AS area, s.sex, CAST(a.i AS VARCHAR) AS age
+    FROM locality, (SELECT unnest(['M', 'F']) AS sex) s, (SELECT unnest(range(101)) AS i) a)
   SELECT area, sex, age, 'left' AS side FROM places ANTI JOIN found USING (area, sex, age)""")
 def joint_completeness(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of the municipality x sex x age joint that nobody falls into."""
@@ -213,8 +213,7 @@ def joint_completeness(spark: SparkSession, folder: str) -> DataFrame:
     cells = m.demography.select(F.col("municipality").alias("area"), "sex",
                                 F.col("age").cast("string").alias("age"))
     areas = m.locality.select(F.col("municipality").alias("area"))
-    return admission.joint_completeness(cells, areas, ["M", "F"],
-                                        [str(2 * i + 2) for i in range(50)])
+    return admission.joint_completeness(cells, areas, ["M", "F"], [str(i) for i in range(101)])
 
 
 NAMESPACES = 'xmlns:m="urn:m" xmlns:s="urn:s" xmlns:c="urn:c"'

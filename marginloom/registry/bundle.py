@@ -205,19 +205,19 @@ def coverage_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(BUNDLE + """, cut AS (SELECT territory_key, sex, age, CAST(split_part(age, ':', 1) AS INTEGER)
       AS lo, CAST(split_part(age, ':', 2) AS INTEGER) AS hi FROM observations
-    WHERE age <> 'TOTAL'),
+    WHERE age <> 'TOTAL' AND value >= 15),
   n AS (SELECT *, lead(lo) OVER (PARTITION BY territory_key, sex ORDER BY lo, hi) AS nxt FROM cut)
   SELECT territory_key, sex, count(*) FILTER (NOT (lo < hi AND (nxt IS NULL OR nxt = hi)))
       AS breaks, min(lo) AS first, max(hi) AS last
   FROM n GROUP BY ALL HAVING count(*) FILTER (NOT (lo < hi AND (nxt IS NULL OR nxt = hi))) > 0
     OR min(lo) <> 0 OR max(hi) <> 1000""")
 def range_tiling(spark: SparkSession, folder: str) -> DataFrame:
-    """Places whose observed age classes leave a gap."""
+    """Places whose age classes with fifteen lines or more leave a gap."""
     _, series, observations = bundle(spark, folder)
     kinds = series.select(F.col("code").alias("series_code"),
                           F.element_at("dimensions", "sex").alias("sex"),
                           F.element_at("dimensions", "age").alias("age"))
-    cut = observations.join(kinds, "series_code").filter("age <> 'TOTAL'")
+    cut = observations.filter("value >= 15").join(kinds, "series_code").filter("age <> 'TOTAL'")
     return coverage.range_tiling(cut, ["territory_key", "sex"], "age", F.lit(0)).drop(
         "required_first")
 
