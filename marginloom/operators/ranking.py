@@ -14,8 +14,11 @@ ROWS_PER_PIECE = 1_000_000
 
 
 def with_group_size(df: DataFrame, group: Sequence[str], size: str = "group_size") -> DataFrame:
-    """Attach the number of rows of each group (partial counts first, then a join)."""
-    return df.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias(size)), list(group))
+    """Attach the number of rows of each group (partial counts first, then a join).
+
+    Rows with a NULL in the group are kept, without a size.
+    """
+    return df.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias(size)), list(group), "left")
 
 
 def rank_within(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[str] = (),
@@ -30,7 +33,7 @@ def rank_within(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[st
     `size` reaches the source, so ordinary groups cost one shuffle and one sort. `counts_from` may
     give a cheaper frame with the same group, key and size columns to count from. `largest` is the
     size of the largest group when the caller knows it: if no group has to be cut, the plan is a
-    plain window. Group columns must not be NULL.
+    plain window. Rows without a size (a NULL in the group) form one group that is not cut.
     """
     group = list(group)
     if largest is not None and largest <= rows_per_piece:

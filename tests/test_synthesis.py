@@ -248,6 +248,14 @@ def test_cut_ranks_equal_whole_ranks(spark):
     assert ordered == sorted(ordered)
 
 
+def test_rows_without_a_group_are_ranked_too(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, id long").withColumn(
+        "key", hash_key("t", "id"))
+    ranked = ranking.rank_within(ranking.with_group_size(df, ["g"]), ["g"], "key", ["id"],
+                                 rows_per_piece=1)
+    assert rows(ranked.select("g", "rank")) == [("a", 1), (None, 1), (None, 2)]
+
+
 def test_territorial_seed_is_the_first_64_bits_of_sha256(spark):
     import hashlib
 
