@@ -22,7 +22,8 @@ Groups of any size stay linear:
 
 Unusual rows: a null text, a text without words and an empty text have an empty set, are linked
 with nothing and are a component of their own. Rows with a repeated id and equal text are one class.
-A row with a null id belongs to its class like any other, but never names a component.
+A row with a null id belongs to its class like any other, but never names a component, and a class of
+such rows only is linked with nothing.
 Sets are identified by 64-bit hashes of their shingles, as are shingles by hashes of their words.
 """
 
@@ -43,6 +44,7 @@ from marginloom.session import materialize
 BAND = 1.4
 FOLD = 8  # words of 64 bits in a folded sketch
 PIECE = 2048
+HUB_PAIRS = 1000
 ONE = np.uint64(1)
 
 
@@ -169,7 +171,7 @@ def set_rows(documents: DataFrame, width: int, text: str) -> DataFrame:
 
 
 def key_rows(documents: DataFrame, width: int, threshold: float, text: str) -> DataFrame:
-    """(key, node, other): pairs found in the task have `other`; the hub of each key has null."""
+    """(key, node, other): the hub of each key has no `other`; pairs found in the task have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, nodes = [], []
@@ -184,9 +186,10 @@ def key_rows(documents: DataFrame, width: int, threshold: float, text: str) -> D
             pairs = np.unique(np.stack([left, right]), axis=1) if len(left) else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [_signed(key), pa.array(hub), pa.nulls(len(hub), pa.int64())], ["key", "node", "other"])
+            # Equal pairs of other tasks get the same key, so all of them meet.
+            both = mix(mix(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])],
-                ["key", "node", "other"])
+                [_signed(both), pa.array(pairs[0]), pa.array(pairs[1])], ["key", "node", "other"])
 
     return documents.select(text).mapInArrow(run, "key bigint, node bigint, other bigint")
 
@@ -199,65 +202,85 @@ def shared_hubs(keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_hub = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            node = batch.column(1).to_numpy()
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            start = np.flatnonzero(first)
-            hubs = node[start]
-            if last_key is not None and key[0] == last_key:
-                hubs[0] = last_hub
-            hub = np.repeat(hubs, np.diff(np.append(start, len(key))))
-            last_key, last_hub = key[-1], hubs[-1]
-            keep = hub != node
-            if keep.any():
-                pairs = pd.DataFrame({"a": hub[keep], "b": node[keep]}).drop_duplicates()
-                yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
+            known = batch.filter(batch.column(2).is_valid())
+            pairs = [pd.DataFrame({"a": known.column(1).to_numpy(), "b": known.column(2).to_numpy()})]
+            batch = batch.filter(batch.column(2).is_null())
+            if batch.num_rows:
+                key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                first = np.ones(len(key), bool)
+                first[1:] = key[1:] != key[:-1]
+                start = np.flatnonzero(first)
+                hubs = node[start]
+                if last_key is not None and key[0] == last_key:
+                    hubs[0] = last_hub
+                hub = np.repeat(hubs, np.diff(np.append(start, len(key))))
+                last_key, last_hub = key[-1], hubs[-1]
+                keep = hub != node
+                pairs.append(pd.DataFrame({"a": hub[keep], "b": node[keep]}))
+            yield pa.RecordBatch.from_pandas(pd.concat(pairs).drop_duplicates(), preserve_index=False)
 
     # Hashed keys spread evenly; the classes of one key were reduced in the map tasks.
     return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
         run, "a bigint, b bigint").distinct()
 
 
-def member_sets(documents: DataFrame, width: int, text: str) -> DataFrame:
-    """(node, members, sketch) with one row for every distinct set."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, members, offsets in shingle_sets(batch.column(0), width):
-                node = set_id(members, offsets)
-                arrays = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _signed(members))
-                sketch = fold(members, offsets)
-                sketches = pa.FixedSizeListArray.from_arrays(_signed(sketch.reshape(-1)), FOLD).cast(
-                    pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([_signed(node), arrays, sketches],
-                                                 ["node", "members", "sketch"])
-
-    return documents.select(text).mapInArrow(
-        run, "node bigint, members array<bigint>, sketch array<bigint>")
+def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, percent: int,
+             info: bool) -> DataFrame:
+    """Compare the pairs (a, b) on the shingles of their texts.
 
+    (a, b) are the pairs with 100 * intersection >= percent * union; with `info`, a further row of
+    each class has its size, folded sketch and block keys (a is null, b the class).
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("am"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("bm"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "am", "bm")
+    The text of `a` is sent ahead of the texts compared with it; all pass as a stream. Pairs with a
+    frequent `a` are spread over several such streams. Texts are shuffled, not shingles, which are
+    larger.
+    """
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("streams"))
+    ahead = load.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(
+        F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream"), F.lit(0).alias("place"))
+    behind = pairs.join(load, "a").select(
+        F.col("b").alias("node"), F.col("a").alias("hub"),
+        F.pmod(F.xxhash64("b"), F.col("streams")).cast("int").alias("stream"), F.lit(1).alias("place"))
+    wanted = ahead.union(behind).groupBy("node").agg(
+        F.collect_list(F.struct("hub", "stream", "place")).alias("to"))
+    # One row of each class in question; its text is read again.
+    chosen = rows.join(wanted, "node").groupBy("node").agg(
+        F.min("id").alias("id"), F.first("to").alias("to")).select("id", "node", "to")
+    sent = documents.join(chosen.hint("merge"), "id").select("node", "_text", F.posexplode("to"))
+    streams = sent.select("col.hub", "col.stream", "col.place", "node", (F.col("pos") == 0).alias("first"),
+                          "_text").repartition("hub", "stream").sortWithinPartitions(
+        "hub", "stream", "place")
+    threshold = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = lead_members = None
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            ends = [np.asarray(x.offsets) for x in (a, b)]
-            values = [np.asarray(x.values) for x in (a, b)]
-            keep = []
-            for i in range(batch.num_rows):
-                x = values[0][ends[0][i]:ends[0][i + 1]]
-                y = values[1][ends[1][i]:ends[1][i + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            hub, node = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            place = batch.column(2).to_numpy()
+            first = batch.column(4).to_numpy(zero_copy_only=False)
+            out = []
+            for lo, members, offsets in shingle_sets(batch.column(5), width):
+                same = set_id(members, offsets).view(np.int64) == node[lo:lo + len(offsets) - 1]
+                for i in np.flatnonzero(same):
+                    x = members[offsets[i]:offsets[i + 1]]
+                    if place[lo + i] == 0:
+                        lead, lead_members = hub[lo + i], x
+                    elif lead == hub[lo + i]:
+                        common = len(np.intersect1d(x, lead_members, assume_unique=True))
+                        if 100 * common >= percent * (len(x) + len(lead_members) - common):
+                            out.append((lead, node[lo + i], None, None, None))
+                    if info and first[lo + i]:
+                        ends = np.array([0, len(x)])
+                        out.append((None, node[lo + i], len(x), fold(x, ends)[0].view(np.int64),
+                                    sketch_keys(x, ends, threshold)[1].view(np.int64)))
+            columns = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (
+                    pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+                ["a", "b", "n", "sketch", "keys"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return streams.mapInArrow(
+        run, "a bigint, b bigint, n bigint, sketch array<bigint>, keys array<bigint>")
 
 
 def across(rows: DataFrame, threshold: float) -> DataFrame:
@@ -290,50 +313,37 @@ def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc
     threshold = percent / 100
     documents = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text"))
     rows = materialize(set_rows(documents, width, "_text"), "sets")
-    keys = materialize(key_rows(documents, width, threshold, "_text"), "keys")
-    inside = keys.filter("key IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    hubs = keys.filter("key IS NOT NULL").select("key", "node")
-    pairs = materialize(inside.union(shared_hubs(hubs)).distinct(), "pairs")
-    near = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # One row of each class in question; its text is read again for its shingles.
-    chosen = rows.join(near, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    sets = materialize(member_sets(
-        documents.join(chosen.select("id"), "id", "left_semi"), width, "_text"
-    ).dropDuplicates(["node"]), "members")
-    links = materialize(verified(pairs, sets, percent), "verified")
+    pairs = materialize(shared_hubs(key_rows(documents, width, threshold, "_text")), "pairs")
+    result = materialize(compared(documents, rows, pairs, width, percent, True), "compared")
+    links = result.filter("a IS NOT NULL").select("a", "b")
     roots = components(links)
-    more = materialize(across(open_keys(sets, roots, threshold), threshold), "across")
+    classes = result.filter("a IS NULL").select(F.col("b").alias("node"), "n", "sketch", "keys").dropDuplicates(
+        ["node"])
+    more = materialize(across(open_keys(classes, pairs, roots), threshold).join(
+        pairs, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
-        links = materialize(links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, percent)),
-                            "verified")
-        roots = components(links)
+        again = compared(documents, rows, more, width, percent, False).select("a", "b")
+        roots = components(links.union(again))
     return named(rows, roots, doc_id)
 
 
-def open_keys(sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+def open_keys(classes: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of every block that classes of several components share.
 
-    A block of two classes is left out: its only pair has been verified.
+    The pairs of a block join all its classes, so such a block has a pair whose ends have different
+    roots, and its classes lie in one component of the pairs; only those are looked at. A block of
+    two classes is left out: its only pair has been compared.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members = np.asarray(batch.column(2).values).view(np.uint64)
-            offsets = np.asarray(batch.column(2).offsets).astype(np.int64)
-            members, offsets = members[offsets[0]:offsets[-1]], offsets - offsets[0]
-            row, key = sketch_keys(members, offsets, threshold)
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(key), batch.column(0).take(row), batch.column(1).take(row)],
-                ["key", "node", "root"])
-
-    labelled = materialize(sets.join(roots, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"), "members").mapInArrow(
-        run, "key bigint, node bigint, root bigint"), "open-keys")
-    mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"),
-                                        F.max("root").alias("hi")).filter("lo <> hi and size > 2")
-    rows = labelled.join(mixed.select("key", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")),
-                         "key").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    return rows.join(sets.select("node", "sketch", F.size("members").alias("n")), "node")
+    whole = components(pairs).withColumnRenamed("root", "whole")
+    rooted = whole.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rooted.groupBy("whole").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                        F.count("*").alias("m")).filter("lo <> hi AND m > 2")
+    inside = materialize(rooted.join(open_.select("whole"), "whole", "left_semi").join(
+        classes, "node").select("node", "root", "n", "sketch", F.explode("keys").alias("key")), "open-keys")
+    mixed = inside.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"),
+                                      F.max("root").alias("hi")).filter("lo <> hi AND size > 2")
+    return inside.join(mixed.select("key", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")),
+                       "key").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
 
 
 def named(rows: DataFrame, roots: DataFrame, doc_id: str) -> DataFrame:
