@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginloom.llm.components import components
+from marginloom.llm.packing import pack, unpack
 from marginloom.llm.textscan import lower_ascii, mix, slices, word_hashes
 from marginloom.session import materialize
 
@@ -232,8 +233,8 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
     each class has its size, folded sketch and block keys (a is null, b the class).
 
     The text of `a` is sent ahead of the texts compared with it; all pass as a stream. Pairs with a
-    frequent `a` are spread over several such streams. Texts are shuffled, not shingles, which are
-    larger.
+    frequent `a` are spread over several such streams. Compressed texts are shuffled, not
+    shingles, which are larger.
     """
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("streams"))
     ahead = load.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(
@@ -246,7 +247,7 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
     # One row of each class in question; its text is read again.
     chosen = rows.join(wanted, "node").groupBy("node").agg(
         F.min("id").alias("id"), F.first("to").alias("to")).select("id", "node", "to")
-    sent = documents.join(chosen.hint("merge"), "id").select("node", "_text", F.posexplode("to"))
+    sent = pack(documents, "_text").join(chosen.hint("merge"), "id").select("node", "_text", F.posexplode("to"))
     streams = sent.select("col.hub", "col.stream", "col.place", "node", (F.col("pos") == 0).alias("first"),
                           "_text").repartition("hub", "stream").sortWithinPartitions(
         "hub", "stream", "place")
@@ -259,7 +260,7 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
             place = batch.column(2).to_numpy()
             first = batch.column(4).to_numpy(zero_copy_only=False)
             out = []
-            for lo, members, offsets in shingle_sets(batch.column(5), width):
+            for lo, members, offsets in shingle_sets(unpack(batch.column(5)), width):
                 same = set_id(members, offsets).view(np.int64) == node[lo:lo + len(offsets) - 1]
                 for i in np.flatnonzero(same):
                     x = members[offsets[i]:offsets[i + 1]]

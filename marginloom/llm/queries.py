@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginloom.llm import bpe, jaccard, language, mixing
+from marginloom.llm import bpe, jaccard, language, mixing, suffixes
 from marginloom.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op2_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("kept_text")
+
+
 @query()
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.document_mix(table(spark, folder, "documents"))
