@@ -15,10 +15,11 @@ Groups of any size stay linear:
 * documents with the same set are one class from the start; links are between classes;
 * a block shared by many classes gives the pairs (smallest class, other class) only. Map tasks do
   this for the rows they hold before anything is shuffled, then it is done for the rest;
-* after those pairs are verified and joined to components, a block whose classes are not all in one
-  component is compared fully, but only across components and only where the Hamming distance of
-  folded 512-bit sketches allows a link. Large blocks are compared in pieces of bounded size. What
-  passes is verified. So no link between different components is lost.
+* these pairs join all classes of a block, so classes that share one are in one group. Once the
+  pairs are verified, a group that is not yet one component is compared further: what is outside its
+  largest component with all of it, where the components differ, the sizes are near and the Hamming
+  distance of folded 512-bit sketches allows a link. Large groups are compared in pieces of bounded
+  size. What passes is verified. So no link between different components is lost.
 
 Unusual rows: a null text, a text without words and an empty text have an empty set, are linked
 with nothing and are a component of their own. Rows with a repeated id and equal text are one class.
@@ -230,7 +231,7 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
     """Compare the pairs (a, b) on the shingles of their texts.
 
     (a, b) are the pairs with 100 * intersection >= percent * union; with `info`, a further row of
-    each class has its size, folded sketch and block keys (a is null, b the class).
+    each class has its size and folded sketch (a is null, b the class).
 
     The text of `a` is sent ahead of the texts compared with it; all pass as a stream. Pairs with a
     frequent `a` are spread over several such streams. Compressed texts are shuffled, not
@@ -251,7 +252,6 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
     streams = sent.select("col.hub", "col.stream", "col.place", "node", (F.col("pos") == 0).alias("first"),
                           "_text").repartition("hub", "stream").sortWithinPartitions(
         "hub", "stream", "place")
-    threshold = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = lead_members = None
@@ -269,43 +269,57 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
                     elif lead == hub[lo + i]:
                         common = len(np.intersect1d(x, lead_members, assume_unique=True))
                         if 100 * common >= percent * (len(x) + len(lead_members) - common):
-                            out.append((lead, node[lo + i], None, None, None))
+                            out.append((lead, node[lo + i], None, None))
                     if info and first[lo + i]:
-                        ends = np.array([0, len(x)])
-                        out.append((None, node[lo + i], len(x), fold(x, ends)[0].view(np.int64),
-                                    sketch_keys(x, ends, threshold)[1].view(np.int64)))
-            columns = list(zip(*out)) if out else [[]] * 5
+                        out.append((None, node[lo + i], len(x),
+                                    fold(x, np.array([0, len(x)]))[0].view(np.int64)))
+            columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
-                ["a", "b", "n", "sketch", "keys"])
+                    pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
+                ["a", "b", "n", "sketch"])
 
-    return streams.mapInArrow(
-        run, "a bigint, b bigint, n bigint, sketch array<bigint>, keys array<bigint>")
+    return streams.mapInArrow(run, "a bigint, b bigint, n bigint, sketch array<bigint>")
 
 
 def across(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in a key whose components differ and whose sketches allow a link.
+    """Pairs of one group in different components whose sketches allow a link.
 
-    `rows` has key, piece, n, node, root and sketch. All pieces of a key meet in pairs, each pair of
-    pieces in a task of its own, so a task holds two pieces.
+    `rows` has whole (the group), node, root, n and sketch. Only classes outside the largest
+    component of a group are compared with all of it. Both sides are cut into pieces, and each pair
+    of pieces is a task of its own.
     """
-    parts = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
-        "key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"),
-        "node", "root", "n", "sketch").distinct()
+    size = rows.groupBy("whole", "root").agg(F.count("*").alias("m")).groupBy("whole").agg(
+        F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"),
+        (F.sum("m") - F.max("m")).alias("rest")).select(
+        "whole", "main", F.ceil(F.col("all") / PIECE).cast("int").alias("all_pieces"),
+        F.ceil(F.col("rest") / PIECE).cast("int").alias("rest_pieces"))
+    rows = rows.join(size, "whole")
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    ours = rows.filter("root <> main").select(
+        "whole", F.pmod(place, "rest_pieces").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("all_pieces") - 1)).alias("j"), F.lit(True).alias("rest"),
+        "node", "root", "n", "sketch")
+    theirs = rows.select(
+        "whole", F.explode(F.sequence(F.lit(0), F.col("rest_pieces") - 1)).alias("i"),
+        F.pmod(place, "all_pieces").alias("j"), F.lit(False).alias("rest"), "node", "root", "n", "sketch")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        rest = group["rest"].to_numpy()
         node, root, n = (group[c].to_numpy() for c in ("node", "root", "n"))
         sketch = np.stack(group["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+        right = np.flatnonzero(~rest)
         out = []
-        for i in range(len(node)):
-            room = (n[i] + n) * (1 - threshold) / (1 + threshold) + 1e-6
-            near = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1) <= room
-            for k in np.flatnonzero(near & (root != root[i]) & (node > node[i])):
-                out.append((node[i], node[k]))
+        for i in np.flatnonzero(rest):
+            room = (n[i] + n[right]) * (1 - threshold) / (1 + threshold) + 1e-6
+            fits = (root[right] != root[i]) & (n[right] * threshold <= n[i] + 1e-6) & (
+                n[i] * threshold <= n[right] + 1e-6)
+            near = right[fits]
+            near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= room[fits]]
+            out += [(min(node[i], x), max(node[i], x)) for x in node[near]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return parts.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    return ours.union(theirs).groupBy("whole", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id",
@@ -316,35 +330,35 @@ def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc
     rows = materialize(set_rows(documents, width, "_text"), "sets")
     pairs = materialize(shared_hubs(key_rows(documents, width, threshold, "_text")), "pairs")
     result = materialize(compared(documents, rows, pairs, width, percent, True), "compared")
-    links = result.filter("a IS NOT NULL").select("a", "b")
-    roots = components(links)
-    classes = result.filter("a IS NULL").select(F.col("b").alias("node"), "n", "sketch", "keys").dropDuplicates(
-        ["node"])
-    more = materialize(across(open_keys(classes, pairs, roots), threshold).join(
+    roots = components(result.filter("a IS NOT NULL").select("a", "b"))
+    classes = result.filter("a IS NULL").select(F.col("b").alias("node"), "n", "sketch").dropDuplicates(["node"])
+    more = materialize(across(open_groups(classes, pairs, roots), threshold).join(
         pairs, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        again = compared(documents, rows, more, width, percent, False).select("a", "b")
-        roots = components(links.union(again))
+    again = compared(documents, rows, more, width, percent, False).select("a", "b")
+    joined = components(between(again, roots)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # A class without links so far is its own root and may be joined now.
+    near = classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = near.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return named(rows, roots, doc_id)
 
 
-def open_keys(classes: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of every block that classes of several components share.
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of roots that pairs of classes join."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end, "left")
+    return pairs.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter(
+        "a <> b").distinct()
+
+
+def open_groups(classes: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes that may have links not found yet, with the group in which these would be.
 
-    The pairs of a block join all its classes, so such a block has a pair whose ends have different
-    roots, and its classes lie in one component of the pairs; only those are looked at. A block of
-    two classes is left out: its only pair has been compared.
+    The pairs of a block join all its classes. So classes that share a block are in one component of
+    the pairs, a group, and a group in which all classes have one root is done.
     """
-    whole = components(pairs).withColumnRenamed("root", "whole")
-    rooted = whole.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.groupBy("whole").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                        F.count("*").alias("m")).filter("lo <> hi AND m > 2")
-    inside = materialize(rooted.join(open_.select("whole"), "whole", "left_semi").join(
-        classes, "node").select("node", "root", "n", "sketch", F.explode("keys").alias("key")), "open-keys")
-    mixed = inside.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"),
-                                      F.max("root").alias("hi")).filter("lo <> hi AND size > 2")
-    return inside.join(mixed.select("key", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")),
-                       "key").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    groups = components(between(pairs, roots)).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return materialize(rooted.join(groups, "root").select("whole", "node", "root", "n", "sketch"), "open")
 
 
 def named(rows: DataFrame, roots: DataFrame, doc_id: str) -> DataFrame:
