@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginloom.llm import bpe, jaccard, language, mixing, suffixes
+from marginloom.llm import bpe, chat, jaccard, language, mixing, sharding, suffixes
 from marginloom.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,16 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query()
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    turns = chat.format_turns(rows.withColumn("parts", chat.text_part(F.col("text"))))
+    return chat.read_back(turns, "conv_id", ["turn", "role", "text"])
+
+
 def vocabulary() -> str:
     """Place of the public vocabulary that the encoding query uses."""
     import public_tokenizers
@@ -60,6 +70,11 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
                                 vocabulary(), ids=False)
 
 
+@query()
+def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
