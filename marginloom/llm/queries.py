@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginloom.llm import bpe, chat, jaccard, language, mixing, sharding, suffixes
+from marginloom.llm import bpe, chat, jaccard, language, mixing, sharding, suffixes, topk, vectors
 from marginloom.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,22 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(turns, "conv_id", ["turn", "role", "text"])
 
 
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+   AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, x.vec_id,
+  CAST(list_dot_product(CAST(q.c AS DOUBLE[]), CAST(x.c AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.c) = len(x.c) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+
+@query(TOP_K_SQL)
+def op6_pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding")
+
+
 def vocabulary() -> str:
     """Place of the public vocabulary that the encoding query uses."""
     import public_tokenizers
@@ -78,3 +94,8 @@ def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def op10_subspace_join(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding"))
