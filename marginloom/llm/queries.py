@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginloom.llm import bpe, chat, jaccard, language, mixing, sharding, suffixes, topk, vectors
+from marginloom.llm import bpe, chat, jaccard, language, mixing, sharding, suffixes, topk, toxicity, vectors
 from marginloom.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, folder, "labels"), ~language.held_out(), "toxic")
+    return toxicity.score(documents, model).select(
+        "doc_id", language.held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query()
 def op2_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("kept_text")
