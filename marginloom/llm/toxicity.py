@@ -169,8 +169,8 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, label: str,
 
     kind = documents.schema[doc_id].dataType.simpleString()
     one = rows.mapInArrow(features, f"id {kind}, label int, terms array<int>").repartition(1)
-    return Model.from_bytes(one.sortWithinPartitions("id", "label").mapInArrow(
-        learn, "model binary").collect()[0]["model"])
+    learned = one.sortWithinPartitions("id", "label").mapInArrow(learn, "model binary").collect()
+    return Model.from_bytes(learned[0]["model"]) if learned else fit([], np.zeros(0))
 
 
 _made: dict[int, Model] = {}
