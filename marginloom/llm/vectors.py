@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginloom.llm.components import components
+from marginloom.llm.components import components, forest
 from marginloom.session import materialize
 
 BLOCK = 16
@@ -157,16 +157,8 @@ def links(rows: DataFrame, threshold: float) -> DataFrame:
             left, right, same = everything[own == i], everything[own == j], False
         a, b = compare(node, m, x, left, right, same, block, threshold)
         count = np.bincount(a, m[b], len(node)) + np.bincount(b, m[a], len(node))
-        root = node.copy()
-        while True:
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            if (before == root).all():
-                break
-        some = np.unique(np.concatenate([a, b])).astype(np.int64)
-        return pd.DataFrame({"node": node[some], "links": count[some].astype(np.int64), "root": root[some]})
+        some, root = forest(a, b)
+        return pd.DataFrame({"node": node[some], "links": count[some].astype(np.int64), "root": node[root]})
 
     return meetings.groupBy("cell", "i", "j").applyInPandas(run, "node bigint, links bigint, root bigint")
 
