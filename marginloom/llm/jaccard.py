@@ -15,11 +15,11 @@ Groups of any size stay linear:
 * documents with the same set are one class from the start; links are between classes;
 * a block shared by many classes gives the pairs (smallest class, other class) only. Map tasks do
   this for the rows they hold before anything is shuffled, then it is done for the rest;
-* these pairs join all classes of a block, so classes that share one are in one group. Once the
-  pairs are verified, a group that is not yet one component is compared further: what is outside its
-  largest component with all of it, where the components differ, the sizes are near and the Hamming
-  distance of folded 512-bit sketches allows a link. Large groups are compared in pieces of bounded
-  size. What passes is verified. So no link between different components is lost.
+* once these pairs are verified, a block whose classes are not yet one component is compared
+  further: what is outside its largest component with all of it, where the components differ, the
+  sizes are near and the Hamming distance of folded 512-bit sketches allows a link. Large blocks are
+  compared in pieces of bounded size. What passes is verified. A linked pair shares a block, so no
+  link between different components is lost.
 
 Unusual rows: a null text, a text without words and an empty text have an empty set, are linked
 with nothing and are a component of their own. Rows with a repeated id and equal text are one class.
@@ -231,7 +231,7 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
     """Compare the pairs (a, b) on the shingles of their texts.
 
     (a, b) are the pairs with 100 * intersection >= percent * union; with `info`, a further row of
-    each class has its size and folded sketch (a is null, b the class).
+    each class has its size, folded sketch and block keys (a is null, b the class).
 
     The text of `a` is sent ahead of the texts compared with it; all pass as a stream. Pairs with a
     frequent `a` are spread over several such streams. Compressed texts are shuffled, not
@@ -262,6 +262,7 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
             out = []
             for lo, members, offsets in shingle_sets(unpack(batch.column(5)), width):
                 same = set_id(members, offsets).view(np.int64) == node[lo:lo + len(offsets) - 1]
+                fresh = []
                 for i in np.flatnonzero(same):
                     x = members[offsets[i]:offsets[i + 1]]
                     if place[lo + i] == 0:
@@ -269,57 +270,57 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
                     elif lead == hub[lo + i]:
                         common = len(np.intersect1d(x, lead_members, assume_unique=True))
                         if 100 * common >= percent * (len(x) + len(lead_members) - common):
-                            out.append((lead, node[lo + i], None, None))
+                            out.append((lead, node[lo + i], None, None, None))
                     if info and first[lo + i]:
-                        out.append((None, node[lo + i], len(x),
-                                    fold(x, np.array([0, len(x)]))[0].view(np.int64)))
-            columns = list(zip(*out)) if out else [[]] * 4
+                        fresh.append((node[lo + i], x))
+                if fresh:
+                    sizes = np.array([len(x) for _, x in fresh])
+                    ends, x = np.append(0, np.cumsum(sizes)), np.concatenate([x for _, x in fresh])
+                    row, key = sketch_keys(x, ends, percent / 100)
+                    key = np.split(key[np.argsort(row, kind="stable")].view(np.int64),
+                                   np.cumsum(np.bincount(row, minlength=len(fresh)))[:-1])
+                    out += [(None, f[0], n, s, np.unique(k)) for f, n, s, k in zip(
+                        fresh, sizes, fold(x, ends).view(np.int64), key)]
+            columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
-                ["a", "b", "n", "sketch"])
+                    pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+                ["a", "b", "n", "sketch", "keys"])
 
-    return streams.mapInArrow(run, "a bigint, b bigint, n bigint, sketch array<bigint>")
+    return streams.mapInArrow(
+        run, "a bigint, b bigint, n bigint, sketch array<bigint>, keys array<bigint>")
 
 
-def across(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one group in different components whose sketches allow a link.
+def across(classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that share a block, are in different components, and whose sketches allow a link.
 
-    `rows` has whole (the group), node, root, n and sketch. Only classes outside the largest
-    component of a group are compared with all of it. Both sides are cut into pieces, and each pair
-    of pieces is a task of its own.
+    `classes` has node, n, sketch and the keys of all blocks. In a block, only classes outside its
+    largest component are compared with all of it; a block of two classes is verified already. Both
+    sides are cut into pieces of bounded size that meet in pairs.
     """
-    size = rows.groupBy("whole", "root").agg(F.count("*").alias("m")).groupBy("whole").agg(
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rooted.select("node", "root", F.explode("keys").alias("key"))
+    size = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(
         F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"),
-        (F.sum("m") - F.max("m")).alias("rest")).select(
-        "whole", "main", F.ceil(F.col("all") / PIECE).cast("int").alias("all_pieces"),
+        (F.sum("m") - F.max("m")).alias("rest")).filter("rest > 0 AND all > 2").select(
+        "key", "main", F.ceil(F.col("all") / PIECE).cast("int").alias("all_pieces"),
         F.ceil(F.col("rest") / PIECE).cast("int").alias("rest_pieces"))
-    rows = rows.join(size, "whole")
+    sketches = rooted.select("node", "n", "sketch")
+    rows = materialize(rows.join(size, "key").join(sketches, "node"), "open")
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
     ours = rows.filter("root <> main").select(
-        "whole", F.pmod(place, "rest_pieces").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("all_pieces") - 1)).alias("j"), F.lit(True).alias("rest"),
-        "node", "root", "n", "sketch")
+        "key", F.pmod(place, "rest_pieces").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("all_pieces") - 1)).alias("j"), "node", "root", "n", "sketch")
     theirs = rows.select(
-        "whole", F.explode(F.sequence(F.lit(0), F.col("rest_pieces") - 1)).alias("i"),
-        F.pmod(place, "all_pieces").alias("j"), F.lit(False).alias("rest"), "node", "root", "n", "sketch")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rest = group["rest"].to_numpy()
-        node, root, n = (group[c].to_numpy() for c in ("node", "root", "n"))
-        sketch = np.stack(group["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        right = np.flatnonzero(~rest)
-        out = []
-        for i in np.flatnonzero(rest):
-            room = (n[i] + n[right]) * (1 - threshold) / (1 + threshold) + 1e-6
-            fits = (root[right] != root[i]) & (n[right] * threshold <= n[i] + 1e-6) & (
-                n[i] * threshold <= n[right] + 1e-6)
-            near = right[fits]
-            near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= room[fits]]
-            out += [(min(node[i], x), max(node[i], x)) for x in node[near]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return ours.union(theirs).groupBy("whole", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+        "key", F.explode(F.sequence(F.lit(0), F.col("rest_pieces") - 1)).alias("i"),
+        F.pmod(place, "all_pieces").alias("j"), F.col("node").alias("node2"), F.col("root").alias("root2"),
+        F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    apart = sum(F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch2")[k])) for k in range(FOLD))
+    near = (F.col("root") != F.col("root2")) & (F.col("n2") * threshold <= F.col("n") + 1e-6) & (
+        F.col("n") * threshold <= F.col("n2") + 1e-6) & (
+        apart <= (F.col("n") + F.col("n2")) * (1 - threshold) / (1 + threshold) + 1e-6)
+    return ours.join(theirs, ["key", "i", "j"]).filter(near).select(
+        F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id",
@@ -331,13 +332,12 @@ def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc
     pairs = materialize(shared_hubs(key_rows(documents, width, threshold, "_text")), "pairs")
     result = materialize(compared(documents, rows, pairs, width, percent, True), "compared")
     roots = components(result.filter("a IS NOT NULL").select("a", "b"))
-    classes = result.filter("a IS NULL").select(F.col("b").alias("node"), "n", "sketch").dropDuplicates(["node"])
-    more = materialize(across(open_groups(classes, pairs, roots), threshold).join(
-        pairs, ["a", "b"], "left_anti"), "across")
+    classes = result.filter("a IS NULL").select(F.col("b").alias("node"), "n", "sketch", "keys")
+    more = materialize(across(classes, roots, threshold).join(pairs, ["a", "b"], "left_anti"), "across")
     again = compared(documents, rows, more, width, percent, False).select("a", "b")
     joined = components(between(again, roots)).select(F.col("node").alias("root"), F.col("root").alias("top"))
     # A class without links so far is its own root and may be joined now.
-    near = classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = classes.select("node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = near.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return named(rows, roots, doc_id)
 
@@ -350,17 +350,6 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         "a <> b").distinct()
 
 
-def open_groups(classes: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Classes that may have links not found yet, with the group in which these would be.
-
-    The pairs of a block join all its classes. So classes that share a block are in one component of
-    the pairs, a group, and a group in which all classes have one root is done.
-    """
-    groups = components(between(pairs, roots)).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return materialize(rooted.join(groups, "root").select("whole", "node", "root", "n", "sketch"), "open")
-
-
 def named(rows: DataFrame, roots: DataFrame, doc_id: str) -> DataFrame:
     """Give every row the smallest id of its component."""
     labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
