@@ -298,15 +298,16 @@ def across(classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     largest component are compared with all of it; a block of two classes is verified already. Both
     sides are cut into pieces of bounded size that meet in pairs.
     """
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = rooted.select("node", "root", F.explode("keys").alias("key"))
+    blocks = classes.select("node", F.explode("keys").alias("key"))
+    # Few blocks hold three classes or more. Stored, their size is known when the join is planned.
+    shared = materialize(blocks.groupBy("key").count().filter("count > 2").select("key"), "shared")
+    rows = blocks.join(shared, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     size = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(
         F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"),
-        (F.sum("m") - F.max("m")).alias("rest")).filter("rest > 0 AND all > 2").select(
+        (F.sum("m") - F.max("m")).alias("rest")).filter("rest > 0").select(
         "key", "main", F.ceil(F.col("all") / PIECE).cast("int").alias("all_pieces"),
         F.ceil(F.col("rest") / PIECE).cast("int").alias("rest_pieces"))
-    sketches = rooted.select("node", "n", "sketch")
-    rows = materialize(rows.join(size, "key").join(sketches, "node"), "open")
+    rows = materialize(rows.join(size, "key").join(classes.select("node", "n", "sketch"), "node"), "open")
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
     ours = rows.filter("root <> main").select(
         "key", F.pmod(place, "rest_pieces").alias("i"),
