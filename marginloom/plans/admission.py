@@ -19,18 +19,23 @@ from marginloom.operators.reconcile import compare_margins
 TOTAL_AGE = 999
 SIZES = ("N1", "N2", "N3", "N4", "N5", "N6_GE")
 TOTAL_SIZE = "TOT"
-COUNT_LIMIT = 70_000_000
 
 
-def not_count(column: str, limit: int = COUNT_LIMIT) -> F.Column:
-    value = F.when(F.col(column).rlike(r"\A[0-9]{1,18}\z"), F.col(column)).cast("long")
-    return gates.not_digits(F.col(column)) | F.coalesce(value > limit, F.lit(True))
+def count_of(column: str) -> F.Column:
+    """The plain digits of a column as a long; NULL for anything else, also beyond 18 digits."""
+    value = F.regexp_replace(column, r"\A0+(?=[0-9])", "")
+    return F.when(value.rlike(r"\A[0-9]{1,18}\z"), value).cast("long")
+
+
+def not_count(column: str, limit: int | None = None) -> F.Column:
+    """Violation predicate: `typed` would lose the value, or it exceeds the caller's limit."""
+    lost = count_of(column).isNull()
+    return lost if limit is None else lost | (count_of(column) > limit)
 
 
 def typed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Cast digit columns; anything else becomes NULL (and has been reported by the gates)."""
-    return rows.withColumns({
-        c: F.when(F.col(c).rlike(r"\A[0-9]{1,18}\z"), F.col(c)).cast("long") for c in columns})
+    return rows.withColumns({c: count_of(c) for c in columns})
 
 
 def age_table_gates(rows: DataFrame, total: bool = True,
@@ -77,7 +82,7 @@ def age_cells(rows: DataFrame) -> DataFrame:
 def household_gates(rows: DataFrame, found: gates.Gates | None = None) -> gates.Gates:
     """rows(ref_area, num_memb, obs_value) as text."""
     found = found or gates.Gates()
-    found.rows(rows, household_counts=gates.not_digits(F.col("obs_value")),
+    found.rows(rows, household_counts=not_count("obs_value"),
                household_category=~F.col("num_memb").isin(*SIZES, TOTAL_SIZE))
     found.unique("household_unique", rows, ["ref_area", "num_memb"])
     found.empty("household_totals", household_table(rows).filter(

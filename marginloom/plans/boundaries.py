@@ -77,9 +77,8 @@ def parent_area_difference(children: DataFrame, parents: DataFrame, parent: str,
 
 
 def display_boundaries(boundaries: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Shapes within the vertex budget, rounded, as compact GeoJSON."""
-    return boundaries.filter(P.vertex_count(F.col(geometry)) <= P.VERTEX_BUDGET).withColumn(
-        geometry, P.to_geojson(P.rounded(F.col(geometry))))
+    """Every shape, rounded, as compact GeoJSON; `measures` tells which exceed the budget."""
+    return boundaries.withColumn(geometry, P.to_geojson(P.rounded(F.col(geometry))))
 
 
 def flag_boundaries(territories: DataFrame, boundaries: DataFrame,

@@ -200,12 +200,12 @@ def expected_margins(margins: Margins) -> DataFrame:
 
 
 def coherence_gates(margins: Margins, fixture: bool | None = None,
-                    max_population: int | None = 70_000_000,
+                    max_population: int | None = None,
                     domestic: str = DOMESTIC) -> gates.Gates:
     """Everything that must hold between margins before a person is generated.
 
     `fixture` states whether the codes must lie in the namespace of invented data (True), outside
-    of it (False) or are not checked (None). `max_population` is the reviewed national ceiling.
+    of it (False) or are not checked (None). `max_population` is a reviewed ceiling, if there is one.
     """
     place = margins.locality
     found = gates.Gates()

@@ -48,7 +48,7 @@ def run_identity(margins: Margins, parameters: dict[str, object]) -> str:
 
 def run(spark: SparkSession, margins: Margins, reference: str, folder: str,
         domestic: str = DOMESTIC, provinces: Sequence[str] | None = None,
-        fixture: bool | None = None, max_population: int | None = 70_000_000,
+        fixture: bool | None = None, max_population: int | None = None,
         sizing: synthesize.Sizing = synthesize.Sizing()) -> Run:
     """Generate, store and audit a population below `folder`/run_id=....
 
