@@ -19,6 +19,7 @@ from marginloom.operators.reconcile import compare_margins
 TOTAL_AGE = 999
 SIZES = ("N1", "N2", "N3", "N4", "N5", "N6_GE")
 TOTAL_SIZE = "TOT"
+CITIZENS_LIMIT = 70_000_000
 
 
 def count_of(column: str) -> F.Column:
@@ -115,8 +116,12 @@ def household_cells(rows: DataFrame, area: str = "municipality") -> DataFrame:
 
 
 def citizenship_gates(rows: DataFrame, labels: DataFrame, year: str,
-                      found: gates.Gates | None = None) -> gates.Gates:
-    """rows(year, code, country_code, country_label, male, female, total) as text."""
+                      found: gates.Gates | None = None,
+                      limit: int | None = CITIZENS_LIMIT) -> gates.Gates:
+    """rows(year, code, country_code, country_label, male, female, total) as text.
+
+    Counts above `limit` are reported, not dropped; None sets no limit.
+    """
     found = found or gates.Gates()
     known = labels.select(F.col("code").alias("country_code"), F.col("label").alias("_label"))
     joined = rows.join(known, "country_code", "left")
@@ -126,7 +131,7 @@ def citizenship_gates(rows: DataFrame, labels: DataFrame, year: str,
         country_label=~F.col("country_label").eqNullSafe(F.col("_label")) | F.col(
             "_label").isNull(),
         area_code=~F.col("code").rlike(r"\A(?:[0-9]{1,6}|IT)\z"),
-        citizenship_counts=_any(not_count(c) for c in ("male", "female", "total")))
+        citizenship_counts=_any(not_count(c, limit) for c in ("male", "female", "total")))
     numbers = typed(rows, ["male", "female", "total"])
     found.rows(numbers, citizenship_sex_sum=F.col("male") + F.col("female") != F.col("total"))
     found.unique("citizenship_unique", rows, ["code", "country_code"])
