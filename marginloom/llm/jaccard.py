@@ -7,8 +7,8 @@ cancel, so the Hamming distance of two sketches is at most the size of the symme
 Two sets with similarity t or more differ in at most D = (a + b)(1 - t)/(1 + t) members. With
 m = D + 1 blocks, at least one block of a linked pair is equal (pigeonhole). m has to be the same on
 both sides, so sizes are cut into bands. A band allows for the largest D of a pair whose smaller set
-lies in it; a document writes its blocks for its own band and, if a smaller partner may lie in the
-band below, for that one too. Pairs that share a block are verified on their shingles.
+lies in it; a document writes its blocks for its own band and for every band below in which a smaller
+partner may lie. Pairs that share a block are verified on their shingles.
 
 Groups of any size stay linear:
 
@@ -23,8 +23,8 @@ Groups of any size stay linear:
 
 Unusual rows: a null text, a text without words and an empty text have an empty set, are linked
 with nothing and are a component of their own. Rows with a repeated id and equal text are one class.
-A row with a null id belongs to its class like any other, but never names a component, and a class of
-such rows only is linked with nothing.
+A row with a null id belongs to its class like any other and links as any other, but never names a
+component: `component_id` is null if no row of the component has an id.
 Sets are identified by 64-bit hashes of their shingles, as are shingles by hashes of their words.
 """
 
@@ -108,7 +108,7 @@ def sketch_keys(members: np.ndarray, offsets: np.ndarray, threshold: float
     sizes = np.diff(offsets)
     own = bands(sizes)
     rows, keys = [], []
-    for shift in (0, 1):
+    for shift in range(int(np.ceil(np.log(1 / threshold) / np.log(BAND) - 1e-9)) + 1):
         band = own - shift
         # The smaller partner has at least threshold * size members.
         use = (sizes > 0) & ((shift == 0) | (bands(np.ceil(sizes * threshold - 1e-9)) <= band))
@@ -157,19 +157,23 @@ def hub_pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[first], node[first], hub[hub != node], node[hub != node]
 
 
-def set_rows(documents: DataFrame, width: int, text: str) -> DataFrame:
-    """(id, n, node): the size and the class of every row's set."""
+def set_rows(documents: DataFrame, width: int, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n, node): the size and the class of every row's set, with the columns `keep` before them."""
+    names = [*keep, "id", "n", "node"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             node = np.zeros(batch.num_rows, np.uint64)
-            for lo, members, offsets in shingle_sets(batch.column(1), width):
+            for lo, members, offsets in shingle_sets(batch.column(len(keep) + 1), width):
                 n[lo:lo + len(offsets) - 1] = np.diff(offsets)
                 node[lo:lo + len(offsets) - 1] = set_id(members, offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), _signed(node)], ["id", "n", "node"])
+                [*batch.columns[:len(keep) + 1], pa.array(n), _signed(node)], names)
 
-    return documents.select("id", text).mapInArrow(run, "id bigint, n bigint, node bigint")
+    kept = [f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in keep]
+    return documents.select(*keep, "id", text).mapInArrow(
+        run, "".join(kept) + "id bigint, n bigint, node bigint")
 
 
 def key_rows(documents: DataFrame, width: int, threshold: float, text: str) -> DataFrame:
@@ -226,6 +230,16 @@ def shared_hubs(keys: DataFrame) -> DataFrame:
         run, "a bigint, b bigint").distinct()
 
 
+def located(documents: DataFrame) -> DataFrame:
+    """(nameless, at, _text): texts by the id, or by their hash where it is null.
+
+    Of copies without an id one is enough; they are combined before the shuffle.
+    """
+    named = documents.filter("id IS NOT NULL").select(F.lit(False).alias("nameless"), "at", "_text")
+    nameless = documents.filter("id IS NULL").groupBy("at").agg(F.first("_text").alias("_text"))
+    return named.union(nameless.select(F.lit(True).alias("nameless"), "at", "_text"))
+
+
 def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, percent: int,
              info: bool) -> DataFrame:
     """Compare the pairs (a, b) on the shingles of their texts.
@@ -247,8 +261,10 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
         F.collect_list(F.struct("hub", "stream", "place")).alias("to"))
     # One row of each class in question; its text is read again.
     chosen = rows.join(wanted, "node").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("to").alias("to")).select("id", "node", "to")
-    sent = pack(documents, "_text").join(chosen.hint("merge"), "id").select("node", "_text", F.posexplode("to"))
+        F.min(F.struct(F.col("id").isNull().alias("nameless"), "at")).alias("row"),
+        F.first("to").alias("to")).select("row.nameless", "row.at", "node", "to")
+    sent = pack(located(documents), "_text").join(chosen.hint("merge"), ["nameless", "at"]).select(
+        "node", "_text", F.posexplode("to"))
     streams = sent.select("col.hub", "col.stream", "col.place", "node", (F.col("pos") == 0).alias("first"),
                           "_text").repartition("hub", "stream").sortWithinPartitions(
         "hub", "stream", "place")
@@ -329,7 +345,8 @@ def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc
     """(doc_id, n_shingles, component_id) for every row of the documents."""
     threshold = percent / 100
     documents = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text"))
-    rows = materialize(set_rows(documents, width, "_text"), "sets")
+    documents = documents.withColumn("at", F.coalesce("id", F.xxhash64("_text")))
+    rows = materialize(set_rows(documents, width, "_text", ("at",)), "sets")
     pairs = materialize(shared_hubs(key_rows(documents, width, threshold, "_text")), "pairs")
     result = materialize(compared(documents, rows, pairs, width, percent, True), "compared")
     roots = components(result.filter("a IS NOT NULL").select("a", "b"))
