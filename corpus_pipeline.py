@@ -2,6 +2,7 @@
 
 Every stage is a function of (spark, documents, folder). `run` applies them in order; each result is
 written as Parquet to the shared work folder and read again, so a lost executor costs one stage.
+No stage finds its rows again by doc_id, which may be null or repeated.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marginloom.llm import bpe, jaccard, language, mixing, suffixes
 from marginloom.llm.queries import table, vocabulary
+from marginloom.llm.rows import emitted, row_key, single_rows
 from marginloom.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,27 +26,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates.
+    """Keep the document with the smallest id of each group of near duplicates; null is the last.
 
-    The pipeline takes five words and a similarity of 0.8.
+    Of documents with that id one stays. Documents without words are nobody's duplicates. The
+    pipeline takes five words and a similarity of 0.8.
     """
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), percent=80, width=5)
-    extra = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(extra.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(row_key(*COLUMNS).alias("row"), *COLUMNS)
+    found = jaccard.grouped(keyed, percent=80, width=5, keep=("row",))
+    kept = single_rows(keyed, "row", "_equal").join(jaccard.survivors(found, "row").hint("merge"), "row")
+    return emitted(kept, F.when(F.col("n") == 0, F.col("_equal")).otherwise(1), COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Cut byte strings that stand elsewhere too; documents of which nothing is left go."""
-    kept = suffixes.remove_repeats(docs.select("doc_id", "text"), keep_text=True).filter(
-        "kept_text <> ''").select("doc_id", F.col("kept_text").alias("text"))
-    rest = docs.select("doc_id", "lang", "source")
-    return kept.join(rest, "doc_id").select(
-        "doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    kept = suffixes.remove_repeats(docs.select("doc_id", "text", "lang", "source"), keep_text=True,
+                                   keep=("lang", "source")).filter("kept_text <> ''")
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source",
+                       F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Take documents, some of them twice, until each source has its share."""
-    return mixing.repeat_rows(docs.select(*COLUMNS), mixing.document_mix(docs.select("doc_id", "text", "source")))
+    docs = docs.select(*COLUMNS)
+    return mixing.repeat_rows(docs, mixing.document_mix(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

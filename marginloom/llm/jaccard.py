@@ -340,13 +340,17 @@ def across(classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
         F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of the documents."""
+def grouped(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id",
+            text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n, root) for every row of the documents, with the columns `keep`.
+
+    Rows with the same `root` are connected; rows without words have the root 0 and are not.
+    """
     threshold = percent / 100
-    documents = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text"))
+    documents = documents.select(*keep, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text"))
     documents = documents.withColumn("at", F.coalesce("id", F.xxhash64("_text")))
-    rows = materialize(set_rows(documents, width, "_text", ("at",)), "sets")
+    rows = materialize(set_rows(documents, width, "_text", (*keep, "at")), "sets")
+    documents = documents.select("id", "at", "_text")
     pairs = materialize(shared_hubs(key_rows(documents, width, threshold, "_text")), "pairs")
     result = materialize(compared(documents, rows, pairs, width, percent, True), "compared")
     roots = components(result.filter("a IS NOT NULL").select("a", "b"))
@@ -357,7 +361,24 @@ def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc
     # A class without links so far is its own root and may be joined now.
     near = classes.select("node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = near.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return named(rows, roots, doc_id)
+    return rows.join(roots, "node", "left").select(*keep, "id", "n", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of the documents."""
+    return named(grouped(documents, percent, width, doc_id, text), doc_id)
+
+
+def survivors(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the rows that stay: one of each component, and all without words.
+
+    `rows` is what `grouped` gives with a row key. The smallest id stays, null after all others, and
+    of rows with that id the one with the smallest key.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", key)).alias("first")
+    return rows.groupBy("root", F.when(F.col("n") == 0, F.col(key)).alias("alone")).agg(
+        first, F.max("n").alias("n")).select(f"first.{key}", "n")
 
 
 def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -368,10 +389,9 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         "a <> b").distinct()
 
 
-def named(rows: DataFrame, roots: DataFrame, doc_id: str) -> DataFrame:
+def named(labelled: DataFrame, doc_id: str) -> DataFrame:
     """Give every row the smallest id of its component."""
-    labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     out = labelled.filter("n > 0").join(smallest, "root").select("id", "n", "component_id")
-    empty = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    empty = labelled.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return out.union(empty).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")

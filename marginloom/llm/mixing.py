@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginloom.llm.rows import emitted, row_key, single_rows
 from marginloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,7 +62,7 @@ def source_targets(sizes: DataFrame, source: str, size: str, share: float,
     return levels.select(F.col(source).alias("_source"), "_size", target.alias("_target"))
 
 
-def positions(rows: DataFrame, source: str, size: str, tie: str) -> DataFrame:
+def positions(rows: DataFrame, source: str, size: str, tie: str, *ties: str) -> DataFrame:
     """Add `_position`, from 1 in each source, in ascending order of size classes and pieces."""
     fine = F.floor(F.log2(F.col(size) + 1) * CLASSES_PER_DOUBLING).cast("int")
     rows = rows.withColumn("_class", fine)
@@ -76,7 +77,7 @@ def positions(rows: DataFrame, source: str, size: str, tie: str) -> DataFrame:
     offsets = keyed.groupBy(source, "_class", "_piece").agg(F.count("*").alias("_m")).withColumn(
         "_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).select(
         F.col(source).alias("_s"), F.col("_class").alias("_c"), F.col("_piece").alias("_p"), "_before")
-    inside = Window.partitionBy(source, "_class", "_piece").orderBy(size, tie)
+    inside = Window.partitionBy(source, "_class", "_piece").orderBy(size, tie, *ties)
     numbered = keyed.withColumn("_row", F.row_number().over(inside))
     return numbered.join(
         offsets, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c"))
@@ -86,14 +87,15 @@ def positions(rows: DataFrame, source: str, size: str, tie: str) -> DataFrame:
 
 
 def mix(sizes: DataFrame, source: str, size: str, tie: str, share: float = 1.5,
-        weights: tuple[float, ...] = (3.0, 1.0, 2.0), cap: float = 2.0, seed: int = 7) -> DataFrame:
+        weights: tuple[float, ...] = (3.0, 1.0, 2.0), cap: float = 2.0, seed: int = 7,
+        ties: tuple[str, ...] = ()) -> DataFrame:
     """Add `source_size`, `target`, `copies` and `taken` to rows with a source and a size.
 
     `copies` is at most ceil(cap). The offset of a source is a hash of the seed and its name, so a
     rerun takes the same documents.
     """
     targets = source_targets(sizes, source, size, share, weights, cap)
-    placed = positions(sizes, source, size, tie)
+    placed = positions(sizes, source, size, tie, *ties)
     # One row per source; Spark broadcasts it below its own size threshold and merges beyond.
     joined = placed.join(targets, F.col(source).eqNullSafe(F.col("_source")), "left")
     expected = F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(0.0)
@@ -107,19 +109,24 @@ def mix(sizes: DataFrame, source: str, size: str, tie: str, share: float = 1.5,
         "target", F.col("_target").cast("double")).drop("_source", "_target", "_position")
 
 
-def document_mix(documents: DataFrame, **options) -> DataFrame:
+def document_mix(documents: DataFrame, keyed: bool = True, **options) -> DataFrame:
     """doc_id, source, size and what `mix` adds, for a table with doc_id, text and source.
 
-    The sizes are stored once, so the texts are read once.
+    The sizes are stored once, so the texts are read once. With `keyed` there is also `row`, the key
+    that `repeat_rows` finds the documents by; rows with one id are ordered by it.
     """
+    key = [row_key(*documents.columns).alias("row")] * keyed
     sizes = materialize(documents.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    return mix(sizes, "source", "size", "doc_id", **options)
+        *key, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return mix(sizes, "source", "size", "doc_id", ties=("row",) * keyed, **options)
 
 
-def repeat_rows(documents: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents of a mix, each as often as its copies; rows keep the documents' columns."""
-    chosen = mixed.filter("copies > 0").select(F.col(key).alias("_key"), "copies").distinct()
-    joined = documents.join(chosen.hint("merge"), F.col(key).eqNullSafe(F.col("_key")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-                             ).select(*documents.columns)
+def repeat_rows(documents: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The documents of a mix, each as often as its copies; rows keep the documents' columns.
+
+    `mixed` is what `document_mix` gives for the same documents. Rows that are equal in all columns
+    are copies of one another: they stand as often as their copies are together.
+    """
+    chosen = mixed.filter("copies > 0").groupBy("row").agg(F.sum("copies").alias("_copies"))
+    rows = single_rows(documents.withColumn("row", row_key(*documents.columns)), "row", "_equal")
+    return emitted(rows.join(chosen.hint("merge"), "row"), F.col("_copies"), documents.columns)

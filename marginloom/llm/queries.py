@@ -45,7 +45,7 @@ def op2_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.document_mix(table(spark, folder, "documents"))
+    mixed = mixing.document_mix(table(spark, folder, "documents"), keyed=False)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 

@@ -159,18 +159,20 @@ def repeated_starts(starts: DataFrame) -> DataFrame:
         run, "row bigint, start int")
 
 
-def cleaned(texts: DataFrame, marks: DataFrame, window: int, keep_text: bool) -> DataFrame:
+def cleaned(texts: DataFrame, marks: DataFrame, window: int, keep_text: bool,
+            keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove the marked starts' bytes: what is kept of each text, with counts."""
+    passed = ["id", *keep]
     lists = marks.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    joined = texts.join(lists.hint("merge"), "row", "left").select("id", "marks", "_text")
+    joined = texts.join(lists.hint("merge"), "row", "left").select(*passed, "marks", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1).fill_null([])
+            lists = batch.column(len(passed)).fill_null([])
             ends, items = np.asarray(lists.offsets), lists.values
             start, n = (items.field(i).to_numpy() for i in range(2))
             out = []
-            for lo, data, offsets in slices(unpack(batch.column(2))):
+            for lo, data, offsets in slices(unpack(batch.column(len(passed) + 1))):
                 for i in range(len(offsets) - 1):
                     own = data[offsets[i]:offsets[i + 1]]
                     mine = slice(ends[lo + i], ends[lo + i + 1])
@@ -185,26 +187,26 @@ def cleaned(texts: DataFrame, marks: DataFrame, window: int, keep_text: bool) ->
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, kinds)],
-                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                batch.columns[:len(passed)] + [pa.array(c, t) for c, t in zip(columns, kinds)],
+                [*passed, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    kind = joined.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, "
+    shape = "".join(f"`{c}` {joined.schema[c].dataType.simpleString()}, " for c in passed)
+    return joined.mapInArrow(run, shape + "n_bytes bigint, n_removed bigint, n_spans bigint, "
                                   "kept_sha256 string, kept_text string")
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                   window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+                   window: int = WINDOW, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for every row.
 
-    `window` is a multiple of 4. `kept_text` is null unless asked for; where a cut divides a
+    The columns `keep` are passed on after doc_id. `window` is a multiple of 4. `kept_text` is null unless asked for; where a cut divides a
     character, the rest of the character is left out of it.
     """
     texts = documents.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("id"),
-                             F.col(text).alias("_text"))
+                             *keep, F.col(text).alias("_text"))
     shared = materialize(shared_runs(initial_runs(texts.select("row", "_text"), window)), "runs")
     # Compressed once for each of the two shuffles; the texts themselves are read again.
     starts = refined_starts(pack(texts.select("row", "_text"), "_text"), shared.filter("kind"), window)
     single = repeated_starts(starts).select("row", "start", F.lit(1).alias("n"))
     marks = shared.filter("same").select("row", "start", "n").union(single)
-    return cleaned(pack(texts, "_text"), marks, window, keep_text).withColumnRenamed("id", doc_id)
+    return cleaned(pack(texts, "_text"), marks, window, keep_text, keep).withColumnRenamed("id", doc_id)
