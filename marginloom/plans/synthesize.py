@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginloom.functions.demography import (
@@ -42,7 +42,7 @@ def people(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
 
 
 def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTIC,
-                       sizing: Sizing = Sizing()) -> DataFrame:
+                       sizing: Sizing = Sizing(), status: str | None = None) -> DataFrame:
     """Stage 3: add `citizenship_code` to persons that carry their cell attributes.
 
     Needs person_id, municipality, sex, n (size of the demographic cell), person_offset (identity of
@@ -50,15 +50,16 @@ def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTI
     municipality and sex, and how many are drawn in it). Exactly the published
     number of foreigners is drawn per cell, and the published citizenships are shuffled over them.
     Persons that are not drawn keep the domestic code without being joined.
+
+    Every person stays: drawn persons without a slot and persons without a cell have the domestic
+    code as well. With `status`, a column of that name tells them apart: drawn, not_drawn, no_slot
+    or no_cell.
     """
     columns = persons.columns
     largest = cells.largest or {}
 
     def draw(people_: DataFrame) -> DataFrame:
-        # The slot join below implies these NULL tests for one branch only; stated for both, they
-        # keep the branches alike as well.
-        known = people_.filter("foreign > 0 AND municipality IS NOT NULL AND sex IS NOT NULL")
-        keyed = known.withColumn("_key", hash_key("selection/1", "municipality", "person_id"))
+        keyed = people_.filter("foreign > 0").withColumn("_key", hash_key("selection/1", "municipality", "person_id"))
         return rank_within(keyed, ["person_offset"], "_key", ["person_id"], "n", "_draw",
                            sizing.rows_per_piece, largest=largest.get("n"))
 
@@ -66,10 +67,9 @@ def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTI
         return drawn_.filter("_draw <= foreign").withColumn(
             "_key", hash_key("assignment/1", "person_id"))
 
-    # Both comparisons hold for every row: the pool counts the quota, and is named after its first
-    # cell. Stated here they keep the columns of both branches below equal, so the shuffle of the
-    # draw is made once and reused.
-    drawn = draw(persons).filter("foreign_pool >= foreign AND pool_id <= person_offset")
+    # The comparison holds for every row. It keeps the columns of both branches below equal, so the
+    # shuffle of the draw is made once and reused.
+    drawn = draw(persons).filter(F.hash("foreign_pool", "pool_id") >= F.lit(-(1 << 31)))
     # Large pools are counted from their own persons: a filter above the window would not reach
     # the source, and every pool would be drawn again.
     large = persons.filter(F.col("foreign_pool") > sizing.rows_per_piece)
@@ -77,12 +77,18 @@ def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTI
         keyed_winners(drawn), ["pool_id"], "_key", ["person_id"], "foreign_pool", "_rank",
         sizing.rows_per_piece, keyed_winners(draw(large)), largest.get("foreign_pool"))
     kept = drawn.filter("_draw > foreign").select(*columns).unionByName(
-        persons.filter("foreign = 0").select(*columns))
+        persons.filter("foreign IS NULL OR foreign <= 0").select(*columns))
     slots = citizenship_slots(cells, sizing).select(
         "municipality", "sex", F.col("rank").alias("_rank"), F.col("code").alias("_code"))
-    matched = match_by_rank(chosen, slots, ["municipality", "sex"], "_rank").select(
-        *columns, F.col("_code").alias("citizenship_code"))
-    return matched.unionByName(kept.withColumn("citizenship_code", F.lit(domestic)))
+    def state(value: Column) -> list[Column]:
+        return [] if status is None else [value.alias(status)]
+
+    matched = match_by_rank(chosen, slots, ["municipality", "sex"], "_rank", "left").select(
+        *columns, F.coalesce("_code", F.lit(domestic)).alias("citizenship_code"),
+        *state(F.when(F.col("_code").isNull(), "no_slot").otherwise("drawn")))
+    return matched.unionByName(kept.select(
+        *columns, F.lit(domestic).alias("citizenship_code"),
+        *state(F.when(F.col("foreign").isNull(), "no_cell").otherwise("not_drawn"))))
 
 
 def citizenship_slots(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
@@ -148,11 +154,12 @@ def seats(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
 
 
 def with_cells(persons: DataFrame, cells: Cells, reference: str, *attributes: str) -> DataFrame:
-    """Persons with their age and attributes of their demographic cell."""
+    """Persons with their age and attributes of their demographic cell, NULL if they have none."""
     cohort = cohort_reference_year(reference)
     age = age_from_cohort(F.col("birth_year"), F.col("birth_year_upper_bound"), cohort)
     keys = ["municipality", "sex", "age"]
-    return persons.withColumn("age", age).join(cells.persons.select(*keys, *attributes), keys)
+    return persons.withColumn("age", age).join(
+        cells.persons.select(*keys, *attributes), keys, "left")
 
 
 def allocation_ranks(persons: DataFrame, cells: Cells, reference: str,
@@ -161,7 +168,7 @@ def allocation_ranks(persons: DataFrame, cells: Cells, reference: str,
 
     The ordinal inside the demographic cell is arithmetic on the stable id, and the rank depends on
     demography only: citizenship never influences households. Large groups are counted from the
-    cells, not from the stored persons.
+    cells, not from the stored persons. Persons without a cell have no rank.
     """
     key = hash_key("alloc/1", "municipality", "sex", "age", "i")
     rows = (
@@ -169,12 +176,21 @@ def allocation_ranks(persons: DataFrame, cells: Cells, reference: str,
                    "stage_size", "household_total")
         .withColumn("i", F.col("person_id") - F.col("person_offset") - 1)
         .withColumn("_key", key)
+        # A group of their own for persons without a cell, so that they do not pile up in one task.
+        .withColumn("stage_id", F.coalesce("stage_id", _nowhere()))
     )
     large = cells.persons.filter(F.col("stage_size") > sizing.rows_per_piece)
     counted = expand_counts(large, "n", "i", sizing.chunk_rows).withColumn("_key", key)
-    return rank_within(rows, ["stage_id"], "_key", ["sex", "age", "i"],
-                       "stage_size", "allocation_rank", sizing.rows_per_piece,
-                       counted, (cells.largest or {}).get("stage_size")).drop("_key")
+    ranked = rank_within(rows, ["stage_id"], "_key", ["sex", "age", "i"],
+                         "stage_size", "allocation_rank", sizing.rows_per_piece,
+                         counted, (cells.largest or {}).get("stage_size")).drop("_key")
+    return ranked.withColumn("allocation_rank", F.when(
+        F.col("stage_size").isNotNull(), F.col("allocation_rank")))
+
+
+def _nowhere() -> Column:
+    """A negative number, so no group and no seat, that spreads persons without a cell."""
+    return -1 - F.pmod(F.xxhash64("person_id"), F.lit(1 << 40))
 
 
 def assign_households(persons: DataFrame, cells: Cells, reference: str,
@@ -182,13 +198,16 @@ def assign_households(persons: DataFrame, cells: Cells, reference: str,
     """Stage 4: adults 1..H become reference adults, minors and then adults fill other seats.
 
     One seat number per person replaces two joins with conditional keys: no key is NULL, so nobody
-    piles up in one partition, and the join on (municipality, seat) is spread evenly.
+    piles up in one partition, and the join on (municipality, seat) is spread evenly. Persons without a
+    seat or a cell stay, with no household.
     """
     ranked = allocation_ranks(persons, cells, reference, sizing)
     rank = F.col("allocation_rank")
-    reference_adult = (F.col("age") >= ADULT_AGE) & (rank <= F.col("household_total"))
+    reference_adult = F.coalesce(
+        (F.col("age") >= ADULT_AGE) & (rank <= F.col("household_total")), F.lit(False))
     seat = (
-        F.when(F.col("age") < ADULT_AGE, F.col("household_total") + rank)
+        F.when(rank.isNull(), _nowhere())
+        .when(F.col("age") < ADULT_AGE, F.col("household_total") + rank)
         .when(reference_adult, rank)
         .otherwise(F.col("minor_total") + rank)
     )
@@ -200,10 +219,13 @@ def assign_households(persons: DataFrame, cells: Cells, reference: str,
 
 
 def enrich(persons: DataFrame, cells: Cells, reference: str, domestic: str = DOMESTIC,
-           sizing: Sizing = Sizing()) -> DataFrame:
-    """Add citizenship to an existing persons table; every other column is left alone."""
+           sizing: Sizing = Sizing(), status: str | None = None) -> DataFrame:
+    """Add citizenship to an existing persons table; every row and every other column is left alone.
+
+    `status` names a further column, see `assign_citizenship`.
+    """
     if cells.countries is None:
         raise ValueError("Citizenship margins are required")
     aged = with_cells(persons, cells, reference, *CITIZENSHIP_ATTRIBUTES)
-    done = assign_citizenship(aged, cells, domestic, sizing)
-    return done.select(*persons.columns, "citizenship_code")
+    done = assign_citizenship(aged, cells, domestic, sizing, status)
+    return done.select(*persons.columns, "citizenship_code", *([] if status is None else [status]))
