@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginloom.llm import bpe, chat, jaccard, language, mixing, sharding, suffixes, topk, toxicity, vectors
+from marginloom.llm import (bpe, chat, jaccard, language, mixing, periods, sequences, sharding, spelling, suffixes,
+                            topk, toxicity, vectors)
 from marginloom.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,11 +83,11 @@ def op6_pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding")
 
 
-def vocabulary() -> str:
-    """Place of the public vocabulary that the encoding query uses."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query()
@@ -108,3 +109,30 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_subspace_join(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, folder, "documents"), replaced=periods.planted)
+    # Exponents are compared as fractions; the runs are in ascending order of start and period.
+    best = F.expr("""array_sort(runs, (a, b) -> CASE
+        WHEN a.length * b.period <> b.length * a.period THEN sign(b.length * a.period - a.length * b.period)
+        WHEN a.start <> b.start THEN sign(a.start - b.start) ELSE sign(a.period - b.period) END :: int)""")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", F.get(best, F.lit(0))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = sequences.pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
