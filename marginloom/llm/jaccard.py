@@ -1,25 +1,32 @@
 """Jaccard join of documents on word shingles by parity sketches.
 
-A document is the set of its distinct word shingles. A sketch counts set members by their hash in
-m blocks of 64 bits, modulo two: a member flips one bit of one block. Flips of common members
-cancel, so the Hamming distance of two sketches is at most the size of the symmetric difference.
-
-Two sets with similarity t or more differ in at most D = (a + b)(1 - t)/(1 + t) members. With
-m = D + 1 blocks, at least one block of a linked pair is equal (pigeonhole). m has to be the same on
-both sides, so sizes are cut into bands. A band allows for the largest D of a pair whose smaller set
-lies in it; a document writes its blocks for its own band and for every band below in which a smaller
-partner may lie. Pairs that share a block are verified on their shingles.
+A document is the set of its distinct word shingles. A sketch counts set members by their hash, modulo
+two: a member flips one bit. Flips of common members cancel, so the Hamming distance of two sketches is
+at most the size of the symmetric difference. There are two sketches of a set:
+
+* a wide one, cut into m blocks of 2**64 bits. It is never written out: a block is named by the XOR of
+  the numbers of its bits, and by how many there are;
+* a folded one of 1024 bits, which tells most pairs apart before any text is looked at.
+
+Two sets with similarity t or more differ in at most D = (a + b)(1 - t)/(1 + t) members, so at most D
+blocks differ. With m = D + 1 + s blocks, at least s + 1 blocks of a linked pair are equal. Every set
+leaves out the s blocks with the fewest members, in one order for all sets: of the equal blocks of a
+pair, the last in this order has s others before it, so neither side leaves it out. What is left out are
+the empty and nearly empty blocks, which unrelated sets would share. m has to be the same on both sides,
+so sizes are cut into bands. A band allows for the largest D of a pair whose smaller set lies in it; a
+document writes its blocks for its own band and for every band below in which a smaller partner may lie.
 
 Groups of any size stay linear:
 
 * documents with the same set are one class from the start; links are between classes;
 * a block shared by many classes gives the pairs (smallest class, other class) only. Map tasks do
   this for the rows they hold before anything is shuffled, then it is done for the rest;
-* once these pairs are verified, a block whose classes are not yet one component is compared
-  further: what is outside its largest component with all of it, where the components differ, the
-  sizes are near and the Hamming distance of folded 512-bit sketches allows a link. Large blocks are
-  compared in pieces of bounded size. What passes is verified. A linked pair shares a block, so no
-  link between different components is lost.
+* a pair goes on if the sizes and the folded sketches allow a link. Of each class, the pair with the
+  nearest smaller class is verified on the texts first;
+* then pairs between classes that are not in one component yet are verified: what is left of the pairs
+  above, and, in a block whose classes are in several components, what is outside its largest component
+  with all of it, where sizes and sketches allow a link. Large blocks are compared in pieces of bounded
+  size. A linked pair shares a block, so no link between different components is lost.
 
 Unusual rows: a null text, a text without words and an empty text have an empty set, are linked
 with nothing and are a component of their own. Rows with a repeated id and equal text are one class.
@@ -39,12 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginloom.llm.components import components
-from marginloom.llm.packing import pack, unpack
+from marginloom.llm.packing import pack, sieve, unpack
 from marginloom.llm.textscan import lower_ascii, mix, slices, word_hashes
 from marginloom.session import materialize
 
 BAND = 1.4
-FOLD = 8  # words of 64 bits in a folded sketch
+FOLD = 16  # words of 64 bits in a folded sketch
+SKETCH = [f"s{k}" for k in range(FOLD)]
 PIECE = 2048
 HUB_PAIRS = 1000
 ONE = np.uint64(1)
@@ -96,10 +104,15 @@ def bands(sizes: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(sizes, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
 
 
-def blocks_of(band: np.ndarray, threshold: float) -> np.ndarray:
-    """m = D + 1 for pairs whose smaller set has a size in the band."""
+def differences(band: np.ndarray, threshold: float) -> np.ndarray:
+    """D, the most members in which a linked pair whose smaller set has a size in the band may differ."""
     largest = np.ceil(BAND ** (band + 1.0)) + 1
-    return np.floor(largest * (1 - threshold) / threshold + 1e-9).astype(np.int64) + 1
+    return np.floor(largest * (1 - threshold) / threshold + 1e-9).astype(np.int64)
+
+
+def spare(most: np.ndarray) -> np.ndarray:
+    """Blocks that are left out, for each D."""
+    return most // 8 + 1
 
 
 def sketch_keys(members: np.ndarray, offsets: np.ndarray, threshold: float
@@ -112,30 +125,35 @@ def sketch_keys(members: np.ndarray, offsets: np.ndarray, threshold: float
         band = own - shift
         # The smaller partner has at least threshold * size members.
         use = (sizes > 0) & ((shift == 0) | (bands(np.ceil(sizes * threshold - 1e-9)) <= band))
-        m = np.where(use, blocks_of(band, threshold), 0)
-        # With one block nothing may differ; such sets are one class already.
-        m[m <= 1] = 0
+        most = np.where(use, differences(band, threshold), 0)
+        # Where nothing may differ, linked sets are one class already.
+        m = np.where(most > 0, most + 1 + spare(most), 0)
         start = np.cumsum(m) - m
         row = np.repeat(np.arange(len(sizes)), sizes)
         keep = m[row] > 0
         row, x = row[keep], members[keep]
         if not len(row):
             continue
-        block = (x >> np.uint64(6)) % m[row].astype(np.uint64)
+        slot = start[row] + ((x >> np.uint64(6)) % m[row].astype(np.uint64)).astype(np.int64)
         sketch = np.zeros(int(m.sum()), np.uint64)
-        np.bitwise_xor.at(sketch, start[row] + block.astype(np.int64), ONE << (x & np.uint64(63)))
+        np.bitwise_xor.at(sketch, slot, mix(x + ONE))
+        held = np.bincount(slot, minlength=len(sketch))
         owner = np.repeat(np.arange(len(sizes)), m)
         number = (np.arange(len(sketch)) - start[owner]).astype(np.uint64)
-        rows.append(owner)
-        keys.append(mix(sketch * np.uint64(0x9E3779B97F4A7C15) + mix(
-            number * np.uint64(4096) + band[owner].astype(np.uint64) + ONE)))
+        key = mix(sketch * np.uint64(0x9E3779B97F4A7C15) + mix(
+            (number * np.uint64(4096) + band[owner].astype(np.uint64) + ONE) * np.uint64(1 << 20)
+            + held.astype(np.uint64)))
+        order = np.lexsort((key, held, owner))
+        written = np.arange(len(order)) - start[owner] >= spare(most)[owner]
+        rows.append(owner[written])
+        keys.append(key[order][written])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(rows), np.concatenate(keys)
 
 
 def fold(members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Parity sketch of 512 bits for each row, as FOLD columns."""
+    """Folded parity sketch of each row, as FOLD columns."""
     out = np.zeros((len(offsets) - 1, FOLD), np.uint64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     word = ((members >> np.uint64(20)) % np.uint64(FOLD)).astype(np.int64)
@@ -148,36 +166,39 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def hub_pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, hub) of each key and the pairs (hub, node) of its other rows."""
+    """(key, hub) of each key, and (key, hub, node) of its other distinct rows."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     hub = np.repeat(node[first], np.diff(np.append(np.flatnonzero(first), len(key))))
-    return key[first], node[first], hub[hub != node], node[hub != node]
+    other = (hub != node) & np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[:len(key)]
+    return key[first], node[first], key[other], hub[other], node[other]
 
 
 def set_rows(documents: DataFrame, width: int, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n, node): the size and the class of every row's set, with the columns `keep` before them."""
-    names = [*keep, "id", "n", "node"]
+    """(id, n, node, s0, s1, ...): size, class and folded sketch of every row's set, after the columns `keep`."""
+    names = [*keep, "id", "n", "node", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             node = np.zeros(batch.num_rows, np.uint64)
+            sketch = np.zeros((batch.num_rows, FOLD), np.uint64)
             for lo, members, offsets in shingle_sets(batch.column(len(keep) + 1), width):
-                n[lo:lo + len(offsets) - 1] = np.diff(offsets)
-                node[lo:lo + len(offsets) - 1] = set_id(members, offsets)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep) + 1], pa.array(n), _signed(node)], names)
+                some = slice(lo, lo + len(offsets) - 1)
+                n[some], node[some] = np.diff(offsets), set_id(members, offsets)
+                sketch[some] = fold(members, offsets)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep) + 1], pa.array(n), _signed(node), *[
+                _signed(sketch[:, k]) for k in range(FOLD)]], names)
 
     kept = [f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in keep]
-    return documents.select(*keep, "id", text).mapInArrow(
-        run, "".join(kept) + "id bigint, n bigint, node bigint")
+    return documents.select(*keep, "id", text).mapInArrow(run, "".join(kept) + ", ".join(
+        f"{c} bigint" for c in names[len(keep):]))
 
 
 def key_rows(documents: DataFrame, width: int, threshold: float, text: str) -> DataFrame:
-    """(key, node, other): the hub of each key has no `other`; pairs found in the task have."""
+    """(key, node, other): the task's hub of each key, and each other class that the task has for it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, nodes = [], []
@@ -188,20 +209,17 @@ def key_rows(documents: DataFrame, width: int, threshold: float, text: str) -> D
             if not found:
                 continue
             key, node = np.concatenate(found), np.concatenate(nodes).view(np.int64)
-            key, hub, left, right = hub_pairs(key, node)
-            pairs = np.unique(np.stack([left, right]), axis=1) if len(left) else np.zeros((2, 0), np.int64)
+            key, hub, *rest = hub_pairs(key, node)
             yield pa.RecordBatch.from_arrays(
                 [_signed(key), pa.array(hub), pa.nulls(len(hub), pa.int64())], ["key", "node", "other"])
-            # Equal pairs of other tasks get the same key, so all of them meet.
-            both = mix(mix(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [_signed(both), pa.array(pairs[0]), pa.array(pairs[1])], ["key", "node", "other"])
+                [_signed(rest[0]), pa.array(rest[1]), pa.array(rest[2])], ["key", "node", "other"])
 
     return documents.select(text).mapInArrow(run, "key bigint, node bigint, other bigint")
 
 
-def shared_hubs(keys: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b): the smallest class of a key and each other class of it.
+def shared_blocks(keys: DataFrame) -> DataFrame:
+    """(key, a, b) for the blocks of several classes: a smaller class a and each other class b of a block.
 
     Rows arrive sorted by key and are read as a stream; a group is never held.
     """
@@ -209,7 +227,8 @@ def shared_hubs(keys: DataFrame) -> DataFrame:
         last_key = last_hub = None
         for batch in batches:
             known = batch.filter(batch.column(2).is_valid())
-            pairs = [pd.DataFrame({"a": known.column(1).to_numpy(), "b": known.column(2).to_numpy()})]
+            rows = [pd.DataFrame({"key": known.column(0).to_numpy(), "a": known.column(1).to_numpy(),
+                                  "b": known.column(2).to_numpy()})]
             batch = batch.filter(batch.column(2).is_null())
             if batch.num_rows:
                 key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -222,30 +241,48 @@ def shared_hubs(keys: DataFrame) -> DataFrame:
                 hub = np.repeat(hubs, np.diff(np.append(start, len(key))))
                 last_key, last_hub = key[-1], hubs[-1]
                 keep = hub != node
-                pairs.append(pd.DataFrame({"a": hub[keep], "b": node[keep]}))
-            yield pa.RecordBatch.from_pandas(pd.concat(pairs).drop_duplicates(), preserve_index=False)
+                rows.append(pd.DataFrame({"key": key[keep], "a": hub[keep], "b": node[keep]}))
+            yield pa.RecordBatch.from_pandas(pd.concat(rows).drop_duplicates(), preserve_index=False)
 
-    # Hashed keys spread evenly; the classes of one key were reduced in the map tasks.
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
-        run, "a bigint, b bigint").distinct()
+    # Hashed keys spread evenly: of each key a task writes its hub only, the others go where there is room.
+    spread = F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("key", "other"))
+    return keys.repartition(spread).sortWithinPartitions("key", "node").mapInArrow(
+        run, "key bigint, a bigint, b bigint")
 
 
-def located(documents: DataFrame) -> DataFrame:
-    """(nameless, at, _text): texts by the id, or by their hash where it is null.
+def class_rows(rows: DataFrame) -> DataFrame:
+    """(node, n, at, s0, s1, ...): one row of each class; `at` tells where its text stands."""
+    return rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("at").alias("at"), *[
+        F.max(c).alias(c) for c in SKETCH])
 
-    Of copies without an id one is enough; they are combined before the shuffle.
-    """
-    named = documents.filter("id IS NOT NULL").select(F.lit(False).alias("nameless"), "at", "_text")
-    nameless = documents.filter("id IS NULL").groupBy("at").agg(F.first("_text").alias("_text"))
-    return named.union(nameless.select(F.lit(True).alias("nameless"), "at", "_text"))
+
+def sides(pair: str) -> list:
+    return [F.col(c).alias(f"{c}_{pair}") for c in ("n", *SKETCH)]
+
+
+def apart() -> tuple:
+    """(Hamming distance of the folded sketches, sum of the sizes) of a pair with both `sides`."""
+    distance = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH)
+    return distance, F.col("n_a") + F.col("n_b")
 
 
-def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, percent: int,
-             info: bool) -> DataFrame:
-    """Compare the pairs (a, b) on the shingles of their texts.
+def may_link(threshold: float):
+    """Whether sizes and folded sketches allow a link."""
+    distance, total = apart()
+    return (F.col("n_b") * threshold <= F.col("n_a") + 1e-6) & (F.col("n_a") * threshold <= F.col("n_b") + 1e-6) & (
+        distance <= total * (1 - threshold) / (1 + threshold) + 1e-6)
 
-    (a, b) are the pairs with 100 * intersection >= percent * union; with `info`, a further row of
-    each class has its size, folded sketch and block keys (a is null, b the class).
+
+def near_pairs(blocks: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, distance) for the pairs of the blocks that may be linked."""
+    out = blocks.select("a", "b").distinct()
+    for end in ("a", "b"):
+        out = out.join(classes.select(F.col("node").alias(end), *sides(end)), end)
+    return out.filter(may_link(threshold)).select("a", "b", apart()[0].alias("distance"))
+
+
+def compared(documents: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, by the shingles of their texts.
 
     The text of `a` is sent ahead of the texts compared with it; all pass as a stream. Pairs with a
     frequent `a` are spread over several such streams. Compressed texts are shuffled, not
@@ -257,28 +294,19 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
     behind = pairs.join(load, "a").select(
         F.col("b").alias("node"), F.col("a").alias("hub"),
         F.pmod(F.xxhash64("b"), F.col("streams")).cast("int").alias("stream"), F.lit(1).alias("place"))
-    wanted = ahead.union(behind).groupBy("node").agg(
-        F.collect_list(F.struct("hub", "stream", "place")).alias("to"))
-    # One row of each class in question; its text is read again.
-    chosen = rows.join(wanted, "node").groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("nameless"), "at")).alias("row"),
-        F.first("to").alias("to")).select("row.nameless", "row.at", "node", "to")
-    sent = pack(located(documents), "_text").join(chosen.hint("merge"), ["nameless", "at"]).select(
-        "node", "_text", F.posexplode("to"))
-    streams = sent.select("col.hub", "col.stream", "col.place", "node", (F.col("pos") == 0).alias("first"),
-                          "_text").repartition("hub", "stream").sortWithinPartitions(
-        "hub", "stream", "place")
+    wanted = materialize(ahead.union(behind).join(classes.select("node", "at"), "node"), "wanted")
+    # Most texts are not wanted by anyone; few of them pass.
+    texts = pack(documents.select("at", "_text"), "_text", key="at", wanted=sieve(wanted, "at"))
+    streams = wanted.join(texts.hint("merge"), "at").select("hub", "stream", "place", "node", "_text").repartition(
+        "hub", "stream").sortWithinPartitions("hub", "stream", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = lead_members = None
         for batch in batches:
-            hub, node = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            place = batch.column(2).to_numpy()
-            first = batch.column(4).to_numpy(zero_copy_only=False)
+            hub, place, node = (batch.column(i).to_numpy() for i in (0, 2, 3))
             out = []
-            for lo, members, offsets in shingle_sets(unpack(batch.column(5)), width):
+            for lo, members, offsets in shingle_sets(unpack(batch.column(4)), width):
                 same = set_id(members, offsets).view(np.int64) == node[lo:lo + len(offsets) - 1]
-                fresh = []
                 for i in np.flatnonzero(same):
                     x = members[offsets[i]:offsets[i + 1]]
                     if place[lo + i] == 0:
@@ -286,58 +314,42 @@ def compared(documents: DataFrame, rows: DataFrame, pairs: DataFrame, width: int
                     elif lead == hub[lo + i]:
                         common = len(np.intersect1d(x, lead_members, assume_unique=True))
                         if 100 * common >= percent * (len(x) + len(lead_members) - common):
-                            out.append((lead, node[lo + i], None, None, None))
-                    if info and first[lo + i]:
-                        fresh.append((node[lo + i], x))
-                if fresh:
-                    sizes = np.array([len(x) for _, x in fresh])
-                    ends, x = np.append(0, np.cumsum(sizes)), np.concatenate([x for _, x in fresh])
-                    row, key = sketch_keys(x, ends, percent / 100)
-                    key = np.split(key[np.argsort(row, kind="stable")].view(np.int64),
-                                   np.cumsum(np.bincount(row, minlength=len(fresh)))[:-1])
-                    out += [(None, f[0], n, s, np.unique(k)) for f, n, s, k in zip(
-                        fresh, sizes, fold(x, ends).view(np.int64), key)]
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
-                ["a", "b", "n", "sketch", "keys"])
+                            out.append((lead, node[lo + i]))
+            columns = list(zip(*out)) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return streams.mapInArrow(run, "a bigint, b bigint")
 
-    return streams.mapInArrow(
-        run, "a bigint, b bigint, n bigint, sketch array<bigint>, keys array<bigint>")
 
+def rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    """With the root of a node as a column; a node without links is its own root."""
+    found = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    return df.join(found, node, "left").withColumn(root, F.coalesce(root, node))
 
-def across(classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+
+def across(blocks: DataFrame, classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that share a block, are in different components, and whose sketches allow a link.
 
-    `classes` has node, n, sketch and the keys of all blocks. In a block, only classes outside its
-    largest component are compared with all of it; a block of two classes is verified already. Both
-    sides are cut into pieces of bounded size that meet in pairs.
+    In a block, only classes outside its largest component are compared with all of it; a block of two
+    classes is one pair, which is known. Both sides are cut into pieces of bounded size that meet in pairs.
     """
-    blocks = classes.select("node", F.explode("keys").alias("key"))
-    # Few blocks hold three classes or more. Stored, their size is known when the join is planned.
-    shared = materialize(blocks.groupBy("key").count().filter("count > 2").select("key"), "shared")
-    rows = blocks.join(shared, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = blocks.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = rooted(members, roots, "node", "root")
     size = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(
         F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"),
-        (F.sum("m") - F.max("m")).alias("rest")).filter("rest > 0").select(
+        (F.sum("m") - F.max("m")).alias("rest")).filter("rest > 0 AND all > 2").select(
         "key", "main", F.ceil(F.col("all") / PIECE).cast("int").alias("all_pieces"),
         F.ceil(F.col("rest") / PIECE).cast("int").alias("rest_pieces"))
-    rows = materialize(rows.join(size, "key").join(classes.select("node", "n", "sketch"), "node"), "open")
+    rows = materialize(rows.join(size, "key").join(classes.drop("at"), "node"), "open")
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
     ours = rows.filter("root <> main").select(
-        "key", F.pmod(place, "rest_pieces").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("all_pieces") - 1)).alias("j"), "node", "root", "n", "sketch")
+        "key", F.pmod(place, "rest_pieces").alias("i"), F.explode(F.sequence(
+            F.lit(0), F.col("all_pieces") - 1)).alias("j"), F.col("node").alias("a"), "root", *sides("a"))
     theirs = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("rest_pieces") - 1)).alias("i"),
-        F.pmod(place, "all_pieces").alias("j"), F.col("node").alias("node2"), F.col("root").alias("root2"),
-        F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
-    apart = sum(F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch2")[k])) for k in range(FOLD))
-    near = (F.col("root") != F.col("root2")) & (F.col("n2") * threshold <= F.col("n") + 1e-6) & (
-        F.col("n") * threshold <= F.col("n2") + 1e-6) & (
-        apart <= (F.col("n") + F.col("n2")) * (1 - threshold) / (1 + threshold) + 1e-6)
-    return ours.join(theirs, ["key", "i", "j"]).filter(near).select(
-        F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        "key", F.explode(F.sequence(F.lit(0), F.col("rest_pieces") - 1)).alias("i"), F.pmod(
+            place, "all_pieces").alias("j"), F.col("node").alias("b"), F.col("root").alias("root2"), *sides("b"))
+    return ours.join(theirs, ["key", "i", "j"]).filter((F.col("root") != F.col("root2")) & may_link(threshold)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def grouped(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id",
@@ -348,20 +360,23 @@ def grouped(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str
     """
     threshold = percent / 100
     documents = documents.select(*keep, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text"))
-    documents = documents.withColumn("at", F.coalesce("id", F.xxhash64("_text")))
+    documents = documents.withColumn("at", F.xxhash64("id", "_text"))
     rows = materialize(set_rows(documents, width, "_text", (*keep, "at")), "sets")
-    documents = documents.select("id", "at", "_text")
-    pairs = materialize(shared_hubs(key_rows(documents, width, threshold, "_text")), "pairs")
-    result = materialize(compared(documents, rows, pairs, width, percent, True), "compared")
-    roots = components(result.filter("a IS NOT NULL").select("a", "b"))
-    classes = result.filter("a IS NULL").select(F.col("b").alias("node"), "n", "sketch", "keys")
-    more = materialize(across(classes, roots, threshold).join(pairs, ["a", "b"], "left_anti"), "across")
-    again = compared(documents, rows, more, width, percent, False).select("a", "b")
+    blocks = materialize(shared_blocks(key_rows(documents, width, threshold, "_text")), "blocks")
+    classes = materialize(class_rows(rows), "classes")
+    near = materialize(near_pairs(blocks, classes, threshold), "near")
+    best = materialize(near.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("first")).select(
+        "first.a", "b"), "nearest")
+    links = compared(documents, classes, best, width, percent)
+    roots = components(links)
+    more = near.select("a", "b").union(across(blocks, classes, roots, threshold)).distinct().join(
+        best, ["a", "b"], "left_anti")
+    more = rooted(rooted(more, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
+    again = compared(documents, classes, materialize(more, "across"), width, percent)
     joined = components(between(again, roots)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    # A class without links so far is its own root and may be joined now.
-    near = classes.select("node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = near.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return rows.join(roots, "node", "left").select(*keep, "id", "n", F.coalesce("root", "node").alias("root"))
+    labels = rooted(classes.select("node"), roots, "node", "root").join(joined, "root", "left").select(
+        "node", F.coalesce("top", "root").alias("root"))
+    return rows.join(labels, "node", "left").select(*keep, "id", "n", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id",
@@ -383,10 +398,8 @@ def survivors(rows: DataFrame, key: str) -> DataFrame:
 
 def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (a, b) of roots that pairs of classes join."""
-    for end in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end, "left")
-    return pairs.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter(
-        "a <> b").distinct()
+    out = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb")
+    return out.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
 def named(labelled: DataFrame, doc_id: str) -> DataFrame:

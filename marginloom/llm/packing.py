@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+SIEVE_BITS = 24
 
-def pack(df: DataFrame, text: str) -> DataFrame:
-    """Replace a text column by its compressed UTF-8 bytes; null stays null."""
+
+def sieve(df: DataFrame, key: str):
+    """Broadcast bit set of the lowest bits of a column of hashes, 2 MB at most, to leave rows out by."""
+    low = F.col(key).bitwiseAND((1 << SIEVE_BITS) - 1)
+    words = df.select(F.shiftright(low, 5).cast("int").alias("word"), F.expr(
+        f"shiftleft(1L, cast({key} & 31 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table = words.toArrow()
+    bits = np.zeros(1 << (SIEVE_BITS - 5), np.uint32)
+    bits[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
+    return df.sparkSession.sparkContext.broadcast(bits)
+
+
+def pack(df: DataFrame, text: str, key: str | None = None, wanted=None) -> DataFrame:
+    """Replace a text column by its compressed UTF-8 bytes; null stays null.
+
+    With `key` and `wanted`, a sieve of keys, rows that the sieve leaves out are dropped, and so are rows
+    of a batch with a key that stood before.
+    """
     names = [c for c in df.columns if c != text] + [text]
     at = len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
+            if wanted is not None:
+                keys = batch.column(names.index(key)).to_numpy()
+                low = keys & ((1 << SIEVE_BITS) - 1)
+                some = np.flatnonzero(wanted.value[low >> 5] >> (low & 31).astype(np.uint32) & 1)
+                batch = batch.take(pa.array(some[np.unique(keys[some], return_index=True)[1]]))
             packed = [None if t is None else press(t.encode()) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(packed, pa.binary())], names)
 
