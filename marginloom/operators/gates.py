@@ -48,6 +48,17 @@ class Gates:
             self.frames.append(df.agg(F.array(*pairs).alias("g")).selectExpr("inline(g)"))
         return self
 
+    def counted(self, df: DataFrame, *names: str) -> Gates:
+        """Violations that were counted before, in columns with the names of their checks."""
+        pairs = [F.struct(F.lit(name).alias("check_name"), F.coalesce(F.sum(name), F.lit(0)).cast(
+            "long").alias("violations")) for name in names]
+        self.frames.append(df.agg(F.array(*pairs).alias("g")).selectExpr("inline(g)"))
+        return self
+
+    def sums(self, name: str, df: DataFrame, column: str) -> Gates:
+        """Passes when the sum of a column of counts is zero."""
+        return self.counted(df.select(F.col(column).alias(name)), name)
+
     def empty(self, name: str, df: DataFrame) -> Gates:
         """Passes when the frame of violating rows is empty."""
         self.frames.append(df.agg(F.count(F.lit(1)).alias("violations")).select(
@@ -77,9 +88,7 @@ class Gates:
         return union.select("check_name", (F.col("violations") == 0).alias("passed"), "violations")
 
     def evaluate(self) -> list[Check]:
-        found = {r.check_name: Check(r.check_name, r.passed, r.violations)
-                 for r in self.frame().collect()}
-        return list(found.values())
+        return [Check(r.check_name, r.passed, r.violations) for r in self.frame().collect()]
 
     def require(self) -> list[Check]:
         """All checks, or a QualityError that holds all of them."""

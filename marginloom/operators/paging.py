@@ -8,10 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginloom.operators.expand import prefix_offsets
+from marginloom.operators.ordering import with_ordinal
 
 MAX_LIMIT = 500
-TEXT_PREFIXES = (2, 6, 10, 14, 18)
 
 
 def check_page(sort_by: str, allowed: Collection[str], direction: str, limit: int,
@@ -82,15 +81,12 @@ def next_cursor(rows: list, limit: int, identity: str) -> tuple[list, int | None
     return page, (page[-1][identity] if len(rows) > limit else None)
 
 
-def text_order(*columns: DataFrame) -> DataFrame:
+def text_order(*columns: DataFrame, pieces: int | None = None) -> DataFrame:
     """(value, ordinal) of the distinct non-NULL texts in binary order.
 
     The ordinal is only a stored form of the engine's own binary text order; queries sort by the
-    text itself. It is counted prefix by prefix, so no task sorts all the texts.
+    text itself.
     """
     values = reduce(DataFrame.union, [c.toDF("value") for c in columns]).filter(
         "value is not null").distinct()
-    prefixes = {f"_p{size}": F.substring("value", 1, size) for size in TEXT_PREFIXES}
-    counted = values.withColumns({**prefixes, "_n": F.lit(1)})
-    ordered = prefix_offsets(counted, [*[[name] for name in prefixes], ["value"]], "_n", "_before")
-    return ordered.select("value", (F.col("_before") + 1).alias("ordinal"))
+    return with_ordinal(values, ["value"], pieces=pieces)

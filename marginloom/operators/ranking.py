@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +14,19 @@ from marginloom.functions.hashing import hash_piece
 ROWS_PER_PIECE = 1_000_000
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on the keys where NULL equals NULL."""
+    right = groups.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(right, match, "left").drop(*[f"_of_{k}" for k in keys])
+
+
 def with_group_size(df: DataFrame, group: Sequence[str], size: str = "group_size") -> DataFrame:
     """Attach the number of rows of each group (partial counts first, then a join).
 
-    Rows with a NULL in the group are kept, without a size.
+    Rows with a NULL in the group form a group like any other.
     """
-    return df.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias(size)), list(group), "left")
+    return join_groups(df, df.groupBy(*group).agg(F.count(F.lit(1)).alias(size)), group)
 
 
 def rank_within(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[str] = (),
@@ -33,7 +41,7 @@ def rank_within(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[st
     `size` reaches the source, so ordinary groups cost one shuffle and one sort. `counts_from` may
     give a cheaper frame with the same group, key and size columns to count from. `largest` is the
     size of the largest group when the caller knows it: if no group has to be cut, the plan is a
-    plain window. Rows without a size (a NULL in the group) form one group that is not cut.
+    plain window. A NULL in the group is a value like any other; only rows without a size are not cut.
     """
     group = list(group)
     if largest is not None and largest <= rows_per_piece:
@@ -52,16 +60,12 @@ def rank_within(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[st
         Window.unboundedPreceding, -1)
     starts = counts.select(*group, "_piece", F.sum("_rows").over(earlier).alias("_before"))
     local = Window.partitionBy(*group, "_piece").orderBy(key, *ties)
-    return (
-        df.withColumn("_piece", piece)
-        # Without this, rows that arrive hashed by the group alone would satisfy the window as they
-        # are, and a large group would stay in one task although it is cut.
-        .repartition(*group, "_piece")
-        .withColumn("_local", F.row_number().over(local))
-        .join(starts.hint("merge"), [*group, "_piece"], "left")
-        .withColumn(rank, F.col("_local") + F.coalesce("_before", F.lit(0)))
-        .drop("_piece", "_local", "_before")
-    )
+    # Without the repartition, rows that arrive hashed by the group alone would satisfy the window as
+    # they are, and a large group would stay in one task although it is cut.
+    numbered = df.withColumn("_piece", piece).repartition(*group, "_piece").withColumn(
+        "_local", F.row_number().over(local))
+    return join_groups(numbered, starts.hint("merge"), [*group, "_piece"]).withColumn(
+        rank, F.col("_local") + F.coalesce("_before", F.lit(0))).drop("_piece", "_local", "_before")
 
 
 def select_n_per_cell(df: DataFrame, group: Sequence[str], key: str, quota: str,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,12 @@ from marginloom.functions.demography import (
 )
 from marginloom.operators import gates, reconcile
 from marginloom.plans.margins import DOMESTIC, STATELESS, Margins, totals
+from marginloom.session import materialize
 
 RARE_CELL = 5
 PACKAGE_CELL = 10
 SENIOR_AGE = 65
+PLACE = ["municipality", "province", "region"]
 
 
 def aged(persons: DataFrame, reference: str) -> DataFrame:
@@ -112,7 +115,7 @@ def release_package(cells: DataFrame, minimum: int = PACKAGE_CELL,
     return table.filter((smallest >= minimum) & F.lit(official))
 
 
-def margin_frames(persons: DataFrame, reference: str) -> dict[str, DataFrame]:
+def margin_frames(persons: DataFrame, reference: str, domestic: str = DOMESTIC) -> dict[str, DataFrame]:
     """Counted margins of a persons or individuals table."""
     rows = aged(persons, reference)
     count = F.count(F.lit(1)).alias("n")
@@ -120,7 +123,7 @@ def margin_frames(persons: DataFrame, reference: str) -> dict[str, DataFrame]:
     if "citizenship_code" in persons.columns:
         frames["countries"] = rows.groupBy("municipality", "sex", "citizenship_code").agg(
             count).withColumnRenamed("citizenship_code", "code")
-        frames["foreigners"] = rows.filter(F.col("citizenship_code") != DOMESTIC).groupBy(
+        frames["foreigners"] = rows.filter(F.col("citizenship_code") != domestic).groupBy(
             "municipality", "sex", "age").agg(count)
     return frames
 
@@ -131,21 +134,107 @@ def _equal(found: gates.Gates, name: str, expected: DataFrame, actual: DataFrame
     found.empty(name, cells.filter("expected <> actual"))
 
 
+def profiled(records: DataFrame, reference: str, rules: dict[str, F.Column] | None = None) -> DataFrame:
+    """One stored pass over persons or individuals that all margins and row rules are read from.
+
+    Two grouping sets: the cells (geography, sex, age, citizenship) and, where there are households,
+    the members of a household in one place. Counters only, so both are combined before they are
+    shuffled. `rules` describe violations (NULL is one); their counters have the same names.
+    """
+    rows = aged(records, reference)
+    cell = [*PLACE, "sex", "age", *[c for c in ("citizenship_code",) if c in records.columns]]
+    sets, columns = [cell], list(cell)
+    counters = [F.count(F.lit(1)).alias("n"), F.min("person_id").alias("min_id"), F.max("person_id").alias("max_id")]
+    if "household_id" in records.columns:
+        sets.append([*PLACE, "household_id"])
+        columns.append("household_id")
+        counters += [F.count_if(F.col("household_id").isNull()).alias("unassigned"),
+                     F.count_if("reference_adult").alias("refs"),
+                     F.count_if(F.col("age") >= ADULT_AGE).alias("adults")]
+    counters += [F.count_if(F.coalesce(bad, F.lit(True))).alias(name) for name, bad in (rules or {}).items()]
+    home = F.grouping("sex") == 1 if len(sets) > 1 else F.lit(False)
+    return materialize(rows.groupingSets(sets, *columns).agg(*counters, home.alias("of_household")), "profile")
+
+
+def person_rules(reference: str, with_codes: bool) -> dict[str, F.Column]:
+    """Violations that one row of persons shows by itself; `age` is derived first."""
+    cohort = cohort_reference_year(reference)
+    exact = F.col("birth_year").between(cohort - OPEN_AGE + 1, cohort) & F.col(
+        "birth_year_upper_bound").isNull()
+    open_class = F.col("birth_year").isNull() & (
+        F.col("birth_year_upper_bound") == cohort - OPEN_AGE)
+    minor = F.coalesce(F.col("age") < ADULT_AGE, F.lit(False))
+    homeless = F.col("household_id").isNull()
+    domains = (
+        F.col("sex").isNull() | ~F.col("sex").isin("M", "F") | F.col("reference_adult").isNull()
+        | ~F.col("data_kind").eqNullSafe("synthetic")
+        | (F.coalesce("reference_adult", F.lit(False)) & (minor | homeless))
+        | (minor & homeless))
+    rules = {"birth_domains": ~F.coalesce(exact | open_class, F.lit(False)), "person_domains": domains}
+    if with_codes:
+        rules["citizenship_domain"] = F.col("citizenship_code").isNull()
+    return rules
+
+
+def profile_margins(cells: DataFrame, domestic: str = DOMESTIC) -> dict[str, DataFrame]:
+    """Counted margins from the cells of a profile."""
+    total = F.sum("n").alias("n")
+    frames = {"sex_age": cells.groupBy("municipality", "sex", "age").agg(total)}
+    if "citizenship_code" in cells.columns:
+        frames["countries"] = cells.groupBy("municipality", "sex", F.col("citizenship_code").alias("code")).agg(total)
+        frames["foreigners"] = cells.filter(F.col("citizenship_code") != domestic).groupBy(
+            "municipality", "sex", "age").agg(total)
+    return frames
+
+
+def paired(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """One stored row: distinct ids of both sides and the rows in which a later stage changed one.
+
+    Rows meet by id once; duplicates are seen in the same partitioning.
+    """
+    if before is None:
+        ids = after.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n"))
+        return materialize(ids.agg(F.count(F.lit(1)).alias("distinct_after")), "paired")
+    attributes = [c for c in before.columns if c != "person_id"]
+    left = before.select("person_id", F.struct(*attributes).alias("before"))
+    right = after.select("person_id", F.struct(*attributes).alias("after"))
+    per = left.join(right, "person_id", "full").groupBy("person_id").agg(
+        F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"),
+        F.count("before").alias("_b"), F.count("after").alias("_a"))
+    return materialize(per.agg(
+        F.coalesce(F.sum("changed"), F.lit(0)).cast("long").alias("changed"),
+        F.count_if(F.col("_b") > 0).alias("distinct_before"), F.count_if(F.col("_a") > 0).alias("distinct_after")), "paired")
+
+
+def _identity(found: gates.Gates, name: str, cells: DataFrame, distinct: DataFrame, expected: DataFrame) -> None:
+    """The ids are 1 to the expected number of records, each once."""
+    profile = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.min("min_id").alias("min_id"),
+                        F.max("max_id").alias("max_id"))
+    profile = reconcile.attach_scalars(reconcile.attach_scalars(profile, distinct.toDF("distinct_ids")), expected)
+    found.aggregate(name, profile, F.bool_and(
+        (F.col("records") == F.col("distinct_ids")) & (F.col("records") == F.coalesce("expected", F.lit(0)))
+        & (F.coalesce("min_id", F.lit(1)) == 1) & (F.coalesce("max_id", F.lit(0)) == F.col("records"))))
+
+
 def individual_gates(individuals: DataFrame, margins: Margins, reference: str,
-                     found: gates.Gates | None = None) -> gates.Gates:
-    """Stages 1 to 3, before any household exists."""
+                     found: gates.Gates | None = None, domestic: str = DOMESTIC,
+                     distinct: DataFrame | None = None) -> gates.Gates:
+    """Stages 1 to 3, before any household exists. `distinct` is the number of ids, if it is known."""
     found = found or gates.Gates()
     with_codes = margins.countries is not None
     expected = schemas.INDIVIDUALS if with_codes else without_citizenship(schemas.INDIVIDUALS)
     found.schema("pre_household_schema", individuals, expected)
-    found.aggregate(
-        "pre_household_identity",
-        identity_profile(individuals, "person_id"), F.bool_and("dense"))
-    frames = margin_frames(individuals, reference)
+    rules = {"citizenship_present": F.col("citizenship_code").isNull()} if with_codes else {}
+    cells = profiled(individuals, reference, rules)
+    if distinct is None:
+        distinct = paired(None, individuals).select("distinct_after")
+    population = margins.demography.agg(F.sum("n").alias("expected"))
+    _identity(found, "pre_household_identity", cells, distinct, population)
+    frames = profile_margins(cells, domestic)
     _equal(found, "pre_household_sex_age", margins.demography, frames["sex_age"],
            ["municipality", "sex", "age"])
     if with_codes:
-        found.rows(individuals, citizenship_present=F.col("citizenship_code").isNull())
+        found.counted(cells, "citizenship_present")
         _equal(found, "pre_household_countries", margins.countries, frames["countries"],
                ["municipality", "sex", "code"])
         _equal(found, "pre_household_foreigners", margins.foreigners, frames["foreigners"],
@@ -153,67 +242,67 @@ def individual_gates(individuals: DataFrame, margins: Margins, reference: str,
     return found
 
 
+def counted_families(homes: DataFrame, households: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(households that break a family rule, members without a household) from a profile's members."""
+    place = [F.col(c).alias(f"_{c}") for c in PLACE]
+    members = homes.filter(F.col("household_id").isNotNull()).select("household_id", *place, "n", "refs", "adults")
+    own = households.select("household_id", "size", *PLACE)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE])
+    per = own.join(members, "household_id", "left").groupBy("household_id", "size", *PLACE).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "refs", "adults")],
+        F.count_if(F.col("n").isNotNull() & ~same).alias("elsewhere"))
+    broken = per.filter((F.col("n") != F.col("size")) | (F.col("refs") != 1) | (F.col("adults") < 1)
+                        | (F.col("elsewhere") > 0) | F.col("size").isNull())
+    return broken, gates.orphans(members, households, {"household_id": "household_id"})
+
+
 def record_gates(persons: DataFrame, households: DataFrame, margins: Margins, reference: str,
-                 individuals: DataFrame | None = None) -> gates.Gates:
-    """All checks of a finished run. Pass the stored tables, read back."""
-    cohort = cohort_reference_year(reference)
+                 individuals: DataFrame | None = None, domestic: str = DOMESTIC) -> gates.Gates:
+    """All checks of a finished run. Pass the stored tables, read back.
+
+    Persons are read twice: once for their profile and once by id. Everything else is read from
+    these stored aggregates, and from one pass over the households.
+    """
     found = gates.Gates()
     with_codes = margins.countries is not None
     found.schema("persons_schema", persons,
                  schemas.PERSONS if with_codes else without_citizenship(schemas.PERSONS))
     found.schema("households_schema", households, schemas.HOUSEHOLDS)
-    population = margins.demography.agg(F.sum("n").alias("expected"))
-    homes = margins.households.agg(F.sum("n").alias("expected"))
-    for name, df, key, expected in (("person", persons, "person_id", population),
-                                    ("household", households, "household_id", homes)):
-        profile = reconcile.attach_scalars(identity_profile(df, key), expected)
-        found.aggregate(f"{name}_identity", profile, F.bool_and(
-            F.col("dense") & (F.col("records") == F.coalesce("expected", F.lit(0)))
-            & (F.coalesce("min_id", F.lit(1)) == 1)))
-    exact = F.col("birth_year").between(cohort - OPEN_AGE + 1, cohort) & F.col(
-        "birth_year_upper_bound").isNull()
-    open_class = F.col("birth_year").isNull() & (
-        F.col("birth_year_upper_bound") == cohort - OPEN_AGE)
-    minor = F.coalesce(F.col("age") < ADULT_AGE, F.lit(False))
-    homeless = F.col("household_id").isNull()
-    domains = (
-        F.col("sex").isNull() | ~F.col("sex").isin("M", "F") | F.col("reference_adult").isNull()
-        | ~F.col("data_kind").eqNullSafe("synthetic")
-        | (F.coalesce("reference_adult", F.lit(False)) & (minor | homeless))
-        | (minor & homeless))
-    checks = {"birth_domains": ~F.coalesce(exact | open_class, F.lit(False)),
-              "person_domains": domains}
-    if with_codes:
-        checks["citizenship_domain"] = F.col("citizenship_code").isNull()
-    found.rows(aged(persons, reference), **checks)
-    found.rows(households, household_domains=F.col("size").isNull()
-               | ~F.col("size").between(1, 6) | ~F.col("data_kind").eqNullSafe("synthetic"))
-    found.empty("family_integrity", family_violations(persons, households, reference))
-    found.empty("foreign_keys", gates.orphans(persons, households,
-                                              {"household_id": "household_id"}))
-    frames = margin_frames(persons, reference)
-    _equal(found, "sex_age_joint", margins.demography, frames["sex_age"],
-           ["municipality", "sex", "age"])
-    sizes = households.groupBy("municipality", F.col("size").cast("int").alias("size")).agg(
-        F.count(F.lit(1)).alias("n"))
-    _equal(found, "household_sizes", margins.households, sizes, ["municipality", "size"])
-    hierarchy = ["municipality", "province", "region"]
-    for name, df in (("persons", persons), ("households", households)):
-        found.empty(f"{name}_geography", df.select(*hierarchy).distinct().join(
-            margins.locality.select(*hierarchy), hierarchy, "left_anti"))
+    rules = person_rules(reference, with_codes)
+    profile = profiled(persons, reference, rules)
+    cells, homes = profile.filter("not of_household"), profile.filter("of_household")
+    pairs = paired(individuals, persons)
+    bad_home = F.col("size").isNull() | ~F.col("size").between(1, 6) | ~F.col("data_kind").eqNullSafe("synthetic")
+    sizes = materialize(households.groupBy(*PLACE, F.col("size").cast("int").alias("size")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("household_id").alias("min_id"), F.max("household_id").alias("max_id"),
+        F.count_if(F.coalesce(bad_home, F.lit(True))).alias("household_domains")), "sizes")
+    _identity(found, "person_identity", cells, pairs.select("distinct_after"),
+              margins.demography.agg(F.sum("n").alias("expected")))
+    _identity(found, "household_identity", sizes, households.agg(F.count_distinct("household_id")),
+              margins.households.agg(F.sum("n").alias("expected")))
+    found.counted(cells, *rules)
+    found.counted(sizes, "household_domains")
+    broken, orphans = counted_families(homes, households)
+    found.empty("family_integrity", broken)
+    found.sums("foreign_keys", orphans, "n")
+    frames = profile_margins(cells, domestic)
+    _equal(found, "sex_age_joint", margins.demography, frames["sex_age"], ["municipality", "sex", "age"])
+    _equal(found, "household_sizes", margins.households, sizes.groupBy("municipality", "size").agg(
+        F.sum("n").alias("n")), ["municipality", "size"])
+    for name, df in (("persons", cells), ("households", sizes)):
+        found.empty(f"{name}_geography", df.select(*PLACE).distinct().join(
+            margins.locality.select(*PLACE), PLACE, "left_anti"))
     left_over = totals(margins).select(
         "municipality", (F.col("population") - F.col("capacity")).alias("n"))
     found.empty("residual_by_municipality", reconcile.compare_margins(
-        left_over, residuals(persons).withColumnRenamed("unassigned", "n"),
+        left_over, cells.groupBy("municipality").agg(F.sum("unassigned").alias("n")),
         ["municipality"]).filter("expected <> actual"))
     if with_codes:
-        _equal(found, "countries", margins.countries, frames["countries"],
-               ["municipality", "sex", "code"])
-        _equal(found, "foreigners", margins.foreigners, frames["foreigners"],
-               ["municipality", "sex", "age"])
+        _equal(found, "countries", margins.countries, frames["countries"], ["municipality", "sex", "code"])
+        _equal(found, "foreigners", margins.foreigners, frames["foreigners"], ["municipality", "sex", "age"])
     if individuals is not None:
-        individual_gates(individuals, margins, reference, found)
-        found.empty("stages_unchanged", stage_changes(individuals, persons))
+        individual_gates(individuals, margins, reference, found, domestic, pairs.select("distinct_before"))
+        found.sums("stages_unchanged", pairs, "changed")
     return found
 
 
@@ -225,7 +314,7 @@ def stage_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def enrichment_gates(base: DataFrame, enriched: DataFrame, margins: Margins, reference: str,
                      base_households: DataFrame | None = None,
-                     households: DataFrame | None = None) -> gates.Gates:
+                     households: DataFrame | None = None, domestic: str = DOMESTIC) -> gates.Gates:
     """Adding citizenship must not have touched anything else."""
     found = gates.Gates()
     code = T.StructField("citizenship_code", T.StringType())
@@ -238,7 +327,7 @@ def enrichment_gates(base: DataFrame, enriched: DataFrame, margins: Margins, ref
     found.aggregate("enriched_identity", identity_profile(enriched, "person_id"),
                     F.bool_and(F.col("records") == F.col("distinct_ids")))
     found.rows(enriched, citizenship_present=F.col("citizenship_code").isNull())
-    frames = margin_frames(enriched, reference)
+    frames = margin_frames(enriched, reference, domestic)
     _equal(found, "countries", margins.countries, frames["countries"],
            ["municipality", "sex", "code"])
     _equal(found, "foreigners", margins.foreigners, frames["foreigners"],
@@ -261,7 +350,7 @@ def citizenship_split(persons: DataFrame, domestic: str = DOMESTIC,
 
 
 def summary(persons: DataFrame, households: DataFrame, margins: Margins, reference: str,
-            rare_k: int = RARE_CELL) -> DataFrame:
+            rare_k: int = RARE_CELL, domestic: str = DOMESTIC) -> DataFrame:
     """One row of run totals; every part is a one-row aggregate."""
     identifiers = ["municipality", "sex", "birth_year", "birth_year_upper_bound"]
     frames = [
@@ -275,7 +364,7 @@ def summary(persons: DataFrame, households: DataFrame, margins: Margins, referen
     ]
     if "citizenship_code" in persons.columns:
         identifiers.append("citizenship_code")
-        frames.append(citizenship_split(persons))
+        frames.append(citizenship_split(persons, domestic))
     frames.append(rare_cells(persons, identifiers, rare_k).withColumnsRenamed(
         {"rare_cells": "cells_below_k", "records": "persons_in_cells_below_k"}))
     result = frames[0]

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginloom.operators import expand, gates
+from marginloom.operators import gates
+from marginloom.operators.ordering import with_ordinal
 from marginloom.session import materialize, materialize_all
 
 # Fixed values of the bundle rules.
@@ -105,8 +106,9 @@ def unexplained_changes(territories: DataFrame, changes: DataFrame,
     """Codes that appear or disappear between consecutive snapshots without an event."""
     codes = territories.filter(F.col("level") == level).select("snapshot", "code").distinct()
     days = codes.select("snapshot").distinct()
-    pairs = days.withColumn("next_snapshot", F.lead("snapshot").over(
-        Window.partitionBy(F.lit(0)).orderBy("snapshot"))).filter("next_snapshot is not null")
+    # One row a snapshot. Stored, its size is known: codes are not shuffled by a few snapshots.
+    pairs = materialize(days.withColumn("next_snapshot", F.lead("snapshot").over(
+        Window.partitionBy(F.lit(0)).orderBy("snapshot"))).filter("next_snapshot is not null"), "snapshots")
     old = codes.join(pairs, "snapshot").select(
         F.col("snapshot").alias("before"), F.col("next_snapshot").alias("after"), "code")
     new = codes.withColumnRenamed("snapshot", "next_snapshot").join(
@@ -194,10 +196,14 @@ def cross_source_conflicts(cells: DataFrame, keys: list[str], value: str = "valu
 
 
 def merge_sources(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One row per cell, and the number of cells that were seen more than once."""
-    seen = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("sources"))
-    return cells.dropDuplicates(keys), seen.agg(
-        F.count_if(F.col("sources") > 1).alias("matched"))
+    """One row per cell, and the number of cells that were seen more than once.
+
+    Of several rows the smallest by its other columns stays, whatever the order of the sources.
+    """
+    rest = [c for c in cells.columns if c not in keys]
+    seen = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sources"), F.min(F.struct(*rest)).alias("_row"))
+    merged = seen.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*cells.columns)
+    return merged, seen.agg(F.count_if(F.col("_sources") > 1).alias("matched"))
 
 
 # Equations ----------------------------------------------------------------------------------
@@ -296,18 +302,18 @@ def range_tiling(ranges: DataFrame, group: list[str], label: str, start: F.Colum
     `start` is a column, since the first bound depends on the dimension.
     """
     bounds = F.split(label, ":")
-    numeric = F.col(label).rlike(r"\A[0-9]{1,9}:[0-9]{1,9}\z")
+    numeric = F.col(label).rlike(r"\A[0-9]+:[0-9]+\z")
     cut = ranges.select(
         *group, start.alias("_start"), numeric.alias("_ok"),
-        F.when(numeric, bounds[0]).cast("int").alias("lo"),
-        F.when(numeric, bounds[1]).cast("int").alias("hi"))
+        F.when(numeric, bounds[0]).try_cast("decimal(38,0)").alias("lo"),
+        F.when(numeric, bounds[1]).try_cast("decimal(38,0)").alias("hi"))
     following = F.lead("lo").over(Window.partitionBy(*group).orderBy("lo", "hi"))
     joined = cut.withColumn("_next", following)
     good = F.col("_ok") & (F.col("lo") < F.col("hi")) & (
         F.col("_next").isNull() | (F.col("_next") == F.col("hi")))
     return joined.groupBy(*group).agg(
         F.count_if(~F.coalesce(good, F.lit(False))).alias("breaks"),
-        F.min("lo").alias("first"), F.max("hi").alias("last"),
+        F.min("lo").try_cast("bigint").alias("first"), F.max("hi").try_cast("bigint").alias("last"),
         F.first("_start").alias("required_first")
     ).filter((F.col("breaks") > 0) | ~F.col("first").eqNullSafe(F.col("required_first"))
              | ~F.col("last").eqNullSafe(F.lit(end)))
@@ -411,13 +417,15 @@ def crosswalk_pairs(changes: DataFrame, territories: DataFrame, first_id: int =
 
     weight = F.when(F.col("weight_basis") == "exact", 1).cast("decimal(20,12)")
     rows = pairs.join(side("from"), "from_key").join(side("to"), "to_key").withColumn(
-        "allocation_weight", weight).withColumn("_n", F.lit(1))
-    numbered = expand.prefix_offsets(rows, [["event_id"], ["from_key", "to_key"]], "_n", "_before")
-    return numbered.withColumn("id", F.col("_before") + first_id).drop("_n", "_before")
+        "allocation_weight", weight)
+    return with_ordinal(rows, ["event_id", "from_key", "to_key"], "id", start=first_id)
 
 
-def reaggregation_gates(values: DataFrame, changes: DataFrame) -> gates.Gates:
-    """An exact re-aggregation needs complete, disjoint, exact mergers and recodes."""
+def reaggregation_gates(values: DataFrame, changes: DataFrame, by: list[str] | None = None) -> gates.Gates:
+    """An exact re-aggregation needs complete, disjoint, exact mergers and recodes.
+
+    With `by`, a key has one value for each of these columns; it must have some value.
+    """
     found = gates.Gates()
     found.rows(
         changes,
@@ -426,33 +434,42 @@ def reaggregation_gates(values: DataFrame, changes: DataFrame) -> gates.Gates:
     members = changes.select(F.explode("from_keys").alias("key"))
     found.unique("overlapping_sources", members, ["key"])
     found.unique("overlapping_targets", changes.select(F.explode("to_keys").alias("key")), ["key"])
-    found.unique("unique_values", values, ["key"])
+    found.unique("unique_values", values, ["key", *(by or [])])
     found.empty("same_coverage", gates.set_difference(values, members, ["key"]))
     return found
 
 
-def reaggregate_exact(values: DataFrame, changes: DataFrame, check: bool = True) -> DataFrame:
-    """Sum values(key, value) over exact mergers and recodes; anything else is refused."""
+def reaggregate_exact(values: DataFrame, changes: DataFrame, check: bool = True,
+                      by: list[str] | None = None) -> DataFrame:
+    """Sum values(key, *by, value) over exact mergers and recodes; anything else is refused."""
     if check:
-        reaggregation_gates(values, changes).require()
+        reaggregation_gates(values, changes, by).require()
     mapping = changes.select(F.explode("from_keys").alias("key"),
                              F.element_at("to_keys", 1).alias("target"))
-    return values.join(mapping, "key").groupBy(F.col("target").alias("key")).agg(
+    return values.join(mapping, "key").groupBy(F.col("target").alias("key"), *(by or [])).agg(
         F.sum("value").cast("decimal(20,6)").alias("value"))
 
 
 def bundle_gates(territories: DataFrame, series: DataFrame, observations: DataFrame,
                  members: DataFrame, equations: DataFrame, parts: DataFrame,
                  changes: DataFrame, evidence: DataFrame, is_demo: bool,
-                 default: tuple[str, str] | None = None) -> gates.Gates:
-    """Every rule of a bundle in one report."""
+                 default: tuple[str, str] | None = None,
+                 bounds: dict[str, int] | None = None) -> gates.Gates:
+    """Every rule of a bundle in one report.
+
+    `bounds` are the reviewed sizes of this bundle, by observations, territories and coverage (pairs
+    of series and period). Without one a table only has to hold something.
+    """
     found = gates.Gates()
-    # The reviewed size bounds of one bundle.
-    for name, df, limit in (("bounded_observations", observations, 2_000_000),
-                            ("bounded_territories", territories, 100_000)):
-        found.aggregate(name, df, F.count(F.lit(1)).between(1, limit))
-    found.aggregate("bounded_coverage", members,
-                    F.count_distinct("series_code", "period").between(1, 500))
+    bounds = bounds or {}
+
+    def bounded(name: str, df: DataFrame, n: F.Column) -> None:
+        limit = bounds.get(name)
+        found.aggregate(f"bounded_{name}", df, (n >= 1) if limit is None else n.between(1, limit))
+
+    bounded("observations", observations, F.count(F.lit(1)))
+    bounded("territories", territories, F.count(F.lit(1)))
+    bounded("coverage", members, F.count_distinct("series_code", "period"))
     territory_gates(territories, found)
     observation_gates(observations, territories, series, is_demo, found)
     coverage_gates(members, observations, territories, default, found)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginloom.functions.hashing import content_id, row_digest
-from marginloom.operators import expand, gates
+from marginloom.operators import gates
+from marginloom.operators.intervals import overlapping
+from marginloom.operators.ordering import with_ordinal
 from marginloom.plans.coverage import CELL
 from marginloom.plans.publish import conform
 
@@ -70,23 +72,21 @@ def release_diff(before: DataFrame, after: DataFrame, keys: list[str],
 
 def definition_changes(new: DataFrame, existing: DataFrame, keys: list[str],
                        attributes: list[str]) -> DataFrame:
-    """Known identities whose immutable attributes differ (series, territories)."""
+    """Distinct changes of known identities whose immutable attributes differ (series, territories)."""
     old = existing.select(*keys, F.struct(*attributes).alias("_old")).distinct()
-    return new.select(*keys, F.struct(*attributes).alias("_new")).join(old, keys).filter(
+    return new.select(*keys, F.struct(*attributes).alias("_new")).distinct().join(old, keys).filter(
         ~F.col("_old").eqNullSafe(F.col("_new")))
 
 
 def overlapping_versions(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Versions of the same code that start on another day but overlap a stored one.
 
-    The equality on (scheme, code) keeps this a hash or merge join; the range is a residual filter.
+    A version without an end is open. A code with many versions is spread over days, so work grows
+    with the versions and the overlaps found, not with all pairs of a code.
     """
     old = existing.select("scheme", "code", F.col("valid_from").alias("old_from"),
                           F.col("valid_to").alias("old_to")).distinct()
-    end = F.coalesce("old_to", F.lit("9999-12-31").cast("date"))
-    return new.join(old, ["scheme", "code"]).filter(
-        (F.col("valid_from") != F.col("old_from")) & (F.col("valid_from") < end)
-        & (F.col("old_from") < F.col("valid_to")))
+    return overlapping(new, old, ["scheme", "code"], ("valid_from", "valid_to"), ("old_from", "old_to"))
 
 
 def assign_territory_ids(territories: DataFrame, existing: DataFrame) -> DataFrame:
@@ -95,14 +95,10 @@ def assign_territory_ids(territories: DataFrame, existing: DataFrame) -> DataFra
     known = existing.select(*keys, "territory_id").distinct()
     joined = territories.join(known, keys, "left")
     old = joined.filter("territory_id is not null")
-    # Levels of the numbering: scheme, code prefix, code; no window sees all the territories.
-    fresh = joined.filter("territory_id is null").drop("territory_id").withColumn(
-        "_n", F.lit(1)).withColumn("_prefix", F.substring("code", 1, 3))
+    fresh = joined.filter("territory_id is null").drop("territory_id")
     top = existing.agg(F.coalesce(F.max("territory_id"), F.lit(0))).scalar()
-    numbered = expand.prefix_offsets(
-        fresh, [["scheme"], ["_prefix"], ["code", "valid_from"]], "_n", "_before")
-    new = numbered.withColumn("territory_id", (F.col("_before") + 1 + top).cast("long")).drop(
-        "_n", "_prefix", "_before")
+    new = with_ordinal(fresh, keys, "_place").withColumn(
+        "territory_id", (F.col("_place") + top).cast("long"))
     return old.select(*territories.columns, "territory_id").unionByName(
         new.select(*territories.columns, "territory_id"))
 
@@ -181,26 +177,21 @@ def manifest_mismatches(stored: DataFrame, tables: dict[str, DataFrame]) -> Data
 def demo_observations(rows: DataFrame, release: str, scheme: str, series: str = "population",
                       unit: str = "persons") -> DataFrame:
     """Normalised demo rows in the shape of the observation tables, ids in code order."""
-    numbered = expand.prefix_offsets(
-        rows.withColumn("_n", F.lit(1)).withColumn("_prefix", F.substring("territory_code", 1, 5)),
-        [["_prefix"], ["territory_code", "period"]], "_n", "_before")
+    numbered = with_ordinal(rows, ["territory_code", "period"], "territory_id")
     return conform(numbered.select(
         "*", F.lit(release).alias("release_id"), F.lit(series).alias("series_code"),
-        F.lit(unit).alias("unit"), (F.col("_before") + 1).alias("territory_id"),
-        F.lit(scheme).alias("scheme"), F.col("population").alias("value"),
+        F.lit(unit).alias("unit"), F.lit(scheme).alias("scheme"), F.col("population").alias("value"),
         F.lit("demo").alias("status"), F.lit("municipality").alias("level")), "observations_v2")
 
 
 def regional_observations(rows: DataFrame, release: str, scheme: str, series: str, unit: str,
                           root_code: str = "IT", first_id: int = 1) -> DataFrame:
     """A regional slice (territory_code, territory_name, level, period, population, upstream_*)."""
-    numbered = expand.prefix_offsets(rows.withColumn("_n", F.lit(1)),
-                                     [["level"], ["territory_code"]], "_n", "_before")
+    numbered = with_ordinal(rows, ["level", "territory_code"], "territory_id", start=first_id)
     parent = F.when(F.col("level") == "region", F.lit(root_code))
     return conform(numbered.select(
         "*", F.lit(release).alias("release_id"), F.lit(series).alias("series_code"),
-        F.lit(unit).alias("unit"), (F.col("_before") + first_id).alias("territory_id"),
-        F.lit(scheme).alias("scheme"), F.col("population").alias("value"),
+        F.lit(unit).alias("unit"), F.lit(scheme).alias("scheme"), F.col("population").alias("value"),
         F.lit("unflagged_upstream").alias("status"), parent.alias("parent_code")),
         "observations_v2")
 

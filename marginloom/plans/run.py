@@ -74,9 +74,9 @@ def run(spark: SparkSession, margins: Margins, reference: str, folder: str,
         stored_provinces(spark, path), "province", "left_anti")
     if missing.isEmpty():
         guarded(audit.record_gates(result.persons, result.households, margins, reference,
-                                   result.individuals), f"{path}/quarantine", spark)
-        write_report(audit.summary(result.persons, result.households, margins, reference),
-                     f"{path}/report")
+                                   result.individuals, domestic), f"{path}/quarantine", spark)
+        write_report(audit.summary(result.persons, result.households, margins, reference,
+                                   domestic=domestic), f"{path}/report")
         # The manifest is written last: a run without one is not finished.
         releases.table_manifest(_tables(result)).coalesce(1).write.mode("overwrite").parquet(
             f"{path}/manifest")
@@ -124,13 +124,14 @@ def load(spark: SparkSession, path: str, with_citizenship: bool = True) -> Run:
                table("persons", persons), table("households", schemas.HOUSEHOLDS))
 
 
-def verify(spark: SparkSession, path: str, margins: Margins, reference: str) -> list[Check]:
+def verify(spark: SparkSession, path: str, margins: Margins, reference: str,
+           domestic: str = DOMESTIC) -> list[Check]:
     """Audit a stored run again and compare its tables with the manifest."""
     if not path_exists(spark, f"{path}/manifest"):
         raise QualityError([Check("finished", False, 1)])
     stored = load(spark, path, margins.countries is not None)
     found = audit.record_gates(stored.persons, stored.households, margins, reference,
-                               stored.individuals)
+                               stored.individuals, domestic)
     manifest = spark.read.parquet(f"{path}/manifest")
     found.empty("manifest", releases.manifest_mismatches(manifest, _tables(stored)))
     return found.require()

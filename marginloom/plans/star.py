@@ -87,3 +87,10 @@ def margins(spark: SparkSession, folder: str, citizenship: bool = True) -> Margi
         foreigners=joint.filter("code <> '100'").groupBy("municipality", "sex", "age").agg(total),
         countries=joint.groupBy("municipality", "sex", "code").agg(total),
     )
+
+
+def consecutive(df: DataFrame, year: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of every year but the last, and rows of the following years under the year before."""
+    first, last = df.agg(F.min(year)).scalar(), df.agg(F.max(year)).scalar()
+    after = df.filter(F.col(year) > first).withColumn(year, F.col(year) - 1)
+    return df.filter(F.col(year) < last), after

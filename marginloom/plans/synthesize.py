@@ -19,7 +19,6 @@ from marginloom.operators.expand import CHUNK_ROWS, expand_counts
 from marginloom.operators.ranking import ROWS_PER_PIECE, match_by_rank, rank_within
 from marginloom.plans.margins import DOMESTIC, Cells
 
-PRIORITY_ORDER = ("sex_age", "geography", "citizenship", "households")
 DATA_KIND = "synthetic"
 CITIZENSHIP_ATTRIBUTES = ("n", "person_offset", "foreign", "pool_id", "foreign_pool")
 
@@ -59,13 +58,13 @@ def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTI
     largest = cells.largest or {}
 
     def draw(people_: DataFrame) -> DataFrame:
-        keyed = people_.filter("foreign > 0").withColumn("_key", hash_key("selection/1", "municipality", "person_id"))
+        keyed = people_.filter("foreign > 0").withColumn("_key", hash_key("nationality-draw", "municipality", "person_id"))
         return rank_within(keyed, ["person_offset"], "_key", ["person_id"], "n", "_draw",
                            sizing.rows_per_piece, largest=largest.get("n"))
 
     def keyed_winners(drawn_: DataFrame) -> DataFrame:
         return drawn_.filter("_draw <= foreign").withColumn(
-            "_key", hash_key("assignment/1", "person_id"))
+            "_key", hash_key("nationality-turn", "person_id"))
 
     # The comparison holds for every row. It keeps the columns of both branches below equal, so the
     # shuffle of the draw is made once and reused.
@@ -94,7 +93,7 @@ def assign_citizenship(persons: DataFrame, cells: Cells, domestic: str = DOMESTI
 def citizenship_slots(cells: Cells, sizing: Sizing = Sizing()) -> DataFrame:
     """One slot per counted foreign citizenship, shuffled within (municipality, sex)."""
     slots = expand_counts(cells.countries, "n", "i", sizing.chunk_rows).withColumn(
-        "_key", hash_key("countries/1", "municipality", "code", "i"))
+        "_key", hash_key("nationality-passport", "municipality", "code", "i"))
     ranked = rank_within(slots, ["municipality", "sex"], "_key", ["code", "i"], "foreign_pool",
                          "rank", sizing.rows_per_piece,
                          largest=(cells.largest or {}).get("foreign_pool"))

@@ -203,8 +203,8 @@ def coverage_table(spark: SparkSession, folder: str) -> DataFrame:
         "series_code", "title", "unit", "dimensions", "period", "row_count")
 
 
-@query(BUNDLE + """, cut AS (SELECT territory_key, sex, age, CAST(split_part(age, ':', 1) AS INTEGER)
-      AS lo, CAST(split_part(age, ':', 2) AS INTEGER) AS hi FROM observations
+@query(BUNDLE + """, cut AS (SELECT territory_key, sex, age, CAST(split_part(age, ':', 1) AS BIGINT)
+      AS lo, CAST(split_part(age, ':', 2) AS BIGINT) AS hi FROM observations
     WHERE age <> 'TOTAL' AND value >= 15),
   n AS (SELECT *, lead(lo) OVER (PARTITION BY territory_key, sex ORDER BY lo, hi) AS nxt FROM cut)
   SELECT territory_key, sex, count(*) FILTER (NOT (lo < hi AND (nxt IS NULL OR nxt = hi)))
@@ -222,29 +222,27 @@ def range_tiling(spark: SparkSession, folder: str) -> DataFrame:
         "required_first")
 
 
-# Events: at the end of 1997 the nations of each region merge into the first nation of the region.
-EVENTS = BUNDLE + """, olds AS (SELECT * FROM territories WHERE level = 'municipality'
-    AND year(snapshot) = 1997),
-  news AS (SELECT parent_key, min(key) AS to_key FROM territories WHERE level = 'municipality'
-    AND year(snapshot) = 1998 GROUP BY ALL),
-  pairs AS (SELECT concat('merge-', split_part(o.parent_key, ':', 2)) AS event_id,
-      o.key AS from_key, n.to_key FROM olds o JOIN news n
-      ON split_part(o.parent_key, ':', 2) = split_part(n.parent_key, ':', 2))"""
+# Events: at the end of every year the nations of each region merge into its first nation.
+EVENTS = BUNDLE + """, olds AS (SELECT key, CAST(year(snapshot) AS INTEGER) AS y,
+    split_part(parent_key, ':', 2) AS region FROM territories WHERE level = 'municipality'),
+  news AS (SELECT region, y - 1 AS y, min(key) AS to_key FROM olds GROUP BY ALL),
+  pairs AS (SELECT concat('merge-', region, '-', y) AS event_id, o.key AS from_key, n.to_key
+    FROM olds o JOIN news n USING (region, y))"""
 
 
 def events(territories: DataFrame) -> DataFrame:
-    """One merger per region; an event document lists the codes of one region."""
-    region = F.element_at(F.split("parent_key", ":"), 2)
-    municipal = territories.filter("level = 'municipality'").withColumn("region", region)
-    old = municipal.filter(F.year("snapshot") == 1997).groupBy("region").agg(
-        F.array_sort(F.collect_list("key")).alias("from_keys"))
-    new = municipal.filter(F.year("snapshot") == 1998).groupBy("region").agg(
+    """One merger per region and year; an event document lists the codes of one region."""
+    municipal = territories.filter("level = 'municipality'").select(
+        "key", F.element_at(F.split("parent_key", ":"), 2).alias("region"),
+        F.year("snapshot").alias("y"))
+    old = municipal.groupBy("region", "y").agg(F.array_sort(F.collect_list("key")).alias("from_keys"))
+    new = municipal.groupBy("region", (F.col("y") - 1).alias("y")).agg(
         F.array(F.min("key")).alias("to_keys"))
-    return old.join(new, "region").select(
-        F.concat(F.lit("merge-"), "region").alias("event_id"), F.lit("merger").alias("kind"),
-        F.lit("1998-01-01").cast("date").alias("effective_date"), F.lit("urn:e").alias("source_url"),
-        F.lit("0" * 64).alias("evidence_sha256"), F.col("region").alias("description"),
-        "from_keys", "to_keys", F.lit("exact").alias("weight_basis"))
+    return old.join(new, ["region", "y"]).select(
+        F.concat_ws("-", F.lit("merge"), "region", "y").alias("event_id"),
+        F.lit("merger").alias("kind"), F.make_date(F.col("y") + 1, F.lit(1), F.lit(1)).alias("effective_date"),
+        F.lit("urn:e").alias("source_url"), F.lit("0" * 64).alias("evidence_sha256"),
+        F.col("region").alias("description"), "from_keys", "to_keys", F.lit("exact").alias("weight_basis"))
 
 
 @query(EVENTS + """ SELECT row_number() OVER (ORDER BY event_id, from_key, to_key) AS id, event_id,
@@ -258,16 +256,16 @@ def crosswalk_rows(spark: SparkSession, folder: str) -> DataFrame:
                        "allocation_weight")
 
 
-@query(EVENTS + """ SELECT to_key AS key, CAST(sum(value) AS DECIMAL(20, 6)) AS value
-  FROM pairs JOIN observations ON territory_key = from_key
-  WHERE series_code = 'lines_total_total' GROUP BY ALL""")
+@query(EVENTS + """ SELECT to_key AS key, series_code, CAST(sum(value) AS DECIMAL(20, 6)) AS value
+  FROM pairs JOIN observations ON territory_key = from_key GROUP BY ALL""")
 def reaggregate_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """All series of all years but the last, whose nations merge into nothing."""
     territories, _, observations = bundle(spark, folder)
-    municipal = territories.filter("level = 'municipality' and year(snapshot) = 1997").select(
-        F.col("key").alias("territory_key"))
-    values = observations.filter("series_code = 'lines_total_total'").join(
-        municipal, "territory_key").select(F.col("territory_key").alias("key"), "value")
-    return coverage.reaggregate_exact(values, events(territories))
+    changes = materialize(events(territories), "events")
+    merging = changes.select(F.explode("from_keys").alias("territory_key"))
+    values = materialize(observations.join(merging, "territory_key").select(
+        F.col("territory_key").alias("key"), "series_code", "value"), "values")
+    return coverage.reaggregate_exact(values, changes, by=["series_code"])
 
 
 CUSTOMER_CODES = """WITH codes AS (SELECT DISTINCT make_date(year(o_orderdate), 1, 1) AS snapshot,

@@ -88,17 +88,18 @@ YEARLY = "WITH " + NATION_ORDERS + """, cells AS (
   FROM nation_orders GROUP BY ALL)"""
 
 
-def _cells(spark: SparkSession, folder: str, year: int) -> DataFrame:
-    return order_releases(spark, folder).filter(F.year("reference_period") == year).select(
-        "dataset_id", "month", F.col("row_count").alias("value"))
-
-
-@query(YEARLY + """ SELECT dataset_id, month, b.value AS before, a.value AS after
-  FROM (SELECT * FROM cells WHERE y = 1999) b FULL JOIN (SELECT * FROM cells WHERE y = 2001) a
-  USING (dataset_id, month) WHERE b.value IS DISTINCT FROM a.value""")
+@query(YEARLY + """ SELECT coalesce(b.dataset_id, a.dataset_id) AS dataset_id,
+    coalesce(b.month, a.month) AS month, CAST(coalesce(b.y, a.y - 1) AS INTEGER) AS y,
+    b.value AS before, a.value AS after
+  FROM (SELECT * FROM cells WHERE y < (SELECT max(y) FROM cells)) b
+  FULL JOIN (SELECT * FROM cells WHERE y > (SELECT min(y) FROM cells)) a
+    ON a.dataset_id = b.dataset_id AND a.month = b.month AND a.y = b.y + 1
+  WHERE b.value IS DISTINCT FROM a.value""")
 def release_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return releases.release_diff(_cells(spark, folder, 1999), _cells(spark, folder, 2001),
-                                 ["dataset_id", "month"])
+    """The releases of every year against those of the next one."""
+    cells = order_releases(spark, folder).select(
+        "dataset_id", "month", F.year("reference_period").alias("y"), F.col("row_count").alias("value"))
+    return releases.release_diff(*star.consecutive(cells, "y"), ["dataset_id", "month", "y"])
 
 
 @query("""WITH d AS (SELECT p_name, p_brand, p_type FROM part WHERE p_size <= 25),

@@ -164,7 +164,7 @@ def synth_persons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(PERSONS + """ SELECT household_id, municipality, province, region,
-  CAST(size AS SMALLINT) AS size, 'synthetic' AS data_kind FROM families""")
+  CAST(size AS SMALLINT) AS size, 'synthetic' AS data_kind FROM dwellings""")
 def synth_households(spark: SparkSession, folder: str) -> DataFrame:
     return synthesize.households(cells_of(spark, folder))
 
