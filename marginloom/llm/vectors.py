@@ -9,14 +9,20 @@ it, so the union of the blocks needs no list of pairs.
 
 Grid: a vector is at home in one cell, and a guest in the neighbouring cells on one side that it is
 near enough to. Home meets home and guest meets home, so a pair meets once in a block. Cells are cut
-into pieces of bounded size that meet in pairs, each in a task of its own. What leaves a task is one
-row a vector: its links there and the smallest vector it is connected to there.
+into pieces of bounded size that meet in pairs, each in a group of its own. There the squared distances
+within the block are one product of matrices in single precision, with room for its rounding; what
+passes is measured again. What leaves a group is one row a vector: its links there and the smallest
+vector it is connected to there.
 
-Equal vectors are one class from the start and are counted, not paired.
+The grid tells vectors apart only where they vary by more than a cell. Vectors spread evenly over all
+directions meet nearly all others in every block; the product is what makes these meetings cheap.
+
+Equal vectors are one class from the start and are counted, not paired. Components may be of any size:
+a vector is scaled by the power of two of its largest component before anything is squared.
 
 Unusual rows: vectors that are null, zero, or hold null or non-finite components link with nothing
 and are kept; vectors of different length are not compared; a null id stays null, and its class is
-named by its other ids. An empty vector is a zero vector.
+named by its other ids. An empty vector is a zero vector. Rows with a repeated id are rows of their own.
 """
 
 from __future__ import annotations
@@ -35,8 +41,10 @@ from marginloom.session import materialize
 
 BLOCK = 16
 GRID = 2
-PIECE = 2048
-SLACK = 1e-9
+PIECE = 16384
+SLACK = 1e-6  # room for rotated coordinates in single precision
+ROUNDING = 1e-5  # room for products in single precision
+ROWS = 256
 CHECKED = 1 << 16
 
 
@@ -45,10 +53,18 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors divided by a power of two, with a largest component from 0.5 to 1: nothing is rounded."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
 def rotated(x: np.ndarray) -> np.ndarray:
-    """Rotated unit vectors; every row is computed alike, whatever stands beside it."""
-    unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    return np.einsum("ij,jk->ik", unit, rotation(x.shape[1]), optimize=False)
+    """Rotated unit vectors of scaled ones in single precision."""
+    return ((x / norms(x)[:, None]) @ rotation(x.shape[1])).astype(np.float32)
 
 
 def block_slices(dim: int) -> list[slice]:
@@ -62,7 +78,11 @@ def budgets(dim: int, threshold: float) -> np.ndarray:
 
 
 def placed(classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, m, v, block, cell, guest) for every cell that a vector goes to."""
+    """(node, m, x, r, dim, block, cell, guest) for every cell that a vector goes to.
+
+    `x` and `r` are the vector and its rotated unit vector as bytes. All groups use these coordinates,
+    so they agree on which block finds a pair first.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
@@ -71,55 +91,75 @@ def placed(classes: DataFrame, threshold: float) -> DataFrame:
             for dim in np.unique(length):
                 rows = np.flatnonzero(length == dim)
                 x = values[(ends[rows][:, None] + np.arange(dim)).reshape(-1)].reshape(len(rows), dim)
-                r = rotated(x.astype(float))
+                r = rotated(scaled(x))
+                with np.errstate(over="ignore"):
+                    short = (x.astype(np.float32) == x).all(axis=1)
+                whole = [(v.astype("<f4") if s else v.astype("<f8")).tobytes() for v, s in zip(x, short)]
+                taken = batch.select([0, 1]).take(pa.array(rows))
+                taken = [*taken.columns, pa.array(whole, pa.binary()), pa.array(
+                    [v.tobytes() for v in r], pa.binary()), pa.array(np.full(len(rows), dim, np.int32))]
                 for b, (part, budget) in enumerate(zip(block_slices(dim), budgets(dim, threshold))):
-                    yield from cells(batch, rows, r[:, part][:, :GRID], np.sqrt(budget + SLACK), int(dim), b)
+                    yield from cells(taken, r[:, part][:, :GRID].astype(float), np.sqrt(budget + SLACK), int(dim), b)
 
-    def cells(batch, rows, at, radius, dim, block):
+    def cells(taken, at, radius, dim, block):
         width = 2 * radius
         home = np.floor(at / width).astype(np.int64)
         for step in product((-1, 0, 1), repeat=at.shape[1]):
             if step < (0,) * len(step):
                 continue
             cell = home + np.array(step)
-            near = np.ones(len(rows), bool)
+            near = np.ones(len(at), bool)
             for k, s in enumerate(step):
                 gap = cell[:, k] * width - at[:, k] if s > 0 else at[:, k] - (cell[:, k] + 1) * width
                 if s:
                     near &= gap <= radius + SLACK
             chosen = np.flatnonzero(near)
-            taken = batch.take(pa.array(rows[chosen]))
             names = pa.array(["/".join(map(str, (dim, block, *c))) for c in cell[chosen].tolist()], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(np.full(len(chosen), block, np.int32)), names,
-                 pa.array(np.full(len(chosen), any(step)))], ["node", "m", "v", "block", "cell", "guest"])
+                [*[c.take(pa.array(chosen)) for c in taken], pa.array(np.full(len(chosen), block, np.int32)), names,
+                 pa.array(np.full(len(chosen), any(step)))],
+                ["node", "m", "x", "r", "dim", "block", "cell", "guest"])
 
     return classes.select("node", "m", "v").mapInArrow(
-        run, "node bigint, m bigint, v array<float>, block int, cell string, guest boolean")
+        run, "node bigint, m bigint, x binary, r binary, dim int, block int, cell string, guest boolean")
+
+
+def whole_vectors(cells: list[bytes], dim: int) -> np.ndarray:
+    """Scaled vectors from their bytes, which hold single or double precision."""
+    out = np.empty((len(cells), dim))
+    size = np.array([len(c) for c in cells])
+    for width, kind in ((4, "<f4"), (8, "<f8")):
+        some = np.flatnonzero(size == width * dim)
+        out[some] = np.frombuffer(b"".join(cells[i] for i in some), kind).reshape(len(some), dim)
+    return scaled(out)
 
 
-def compare(node: np.ndarray, m: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray,
-            same: bool, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(x: np.ndarray, r: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, block: int,
+            threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (positions) of left and right that `block` is the first to find."""
-    x = x.astype(float)
-    r, parts, budget = rotated(x), block_slices(x.shape[1]), budgets(x.shape[1], threshold)
+    parts, budget = block_slices(x.shape[1]), budgets(x.shape[1], threshold)
+    norm = norms(x)
     own = r[:, parts[block]]
-    square = np.einsum("ij,ij->i", own, own)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    square = np.einsum("ij,ij->i", own, own)[:, None]
+    one = np.ones_like(square)
+    # The product of these rows is the squared distance.
+    ours = np.hstack([own[left], square[left], one[left]])
+    theirs = np.ascontiguousarray(np.hstack([-2 * own[right], one[right], square[right]]).T)
+    limit = np.float32(budget[block] + SLACK + ROUNDING)
     out = []
-    for lo in range(0, len(left), 256):
-        rows = left[lo:lo + 256]
-        apart = square[rows][:, None] + square[right] - 2 * (own[rows] @ own[right].T)
-        i, j = np.nonzero(apart <= budget[block] + 1e-7)
-        i, j = rows[i], right[j]
+    for lo in range(0, len(left), ROWS):
+        first = lo if same else 0  # within one piece, each pair is looked at once
+        apart = ours[lo:lo + ROWS] @ theirs[:, first:]
+        found = np.flatnonzero((apart <= limit).reshape(-1))
+        i, j = left[lo + found // apart.shape[1]], right[first + found % apart.shape[1]]
         if same:
             i, j = i[i < j], j[i < j]
         for at in range(0, len(i), CHECKED):
             a, b = i[at:at + CHECKED], j[at:at + CHECKED]
-            within = [((r[a, p] - r[b, p]) ** 2).sum(axis=1) <= budget[k] + SLACK
+            within = [((r[a, p].astype(float) - r[b, p]) ** 2).sum(axis=1) <= budget[k] + SLACK
                       for k, p in enumerate(parts[:block + 1])]
-            first = within[block] & ~np.any(within[:block], axis=0) if block else within[0]
-            a, b = a[first], b[first]
+            new = within[block] & ~np.any(within[:block], axis=0) if block else within[0]
+            a, b = a[new], b[new]
             linked = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
             out.append((a[linked], b[linked]))
     if not out:
@@ -142,12 +182,13 @@ def links(rows: DataFrame, threshold: float) -> DataFrame:
             F.transform(F.filter(F.sequence(F.lit(0), F.col("guests")), lambda g: g < F.col("guests")),
                         lambda g: F.struct((F.col("homes") + g).alias("i"), F.col("own").alias("j")))))
     meetings = cut.withColumn("met", F.explode(met)).select(
-        "cell", "met.i", "met.j", "block", "guest", "own", "node", "m", "v")
+        "cell", "met.i", "met.j", "block", "dim", "guest", "own", "node", "m", "x", "r")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         node, m, own, guest = (group[c].to_numpy() for c in ("node", "m", "own", "guest"))
-        i, j, block = (int(group[c].iloc[0]) for c in ("i", "j", "block"))
-        x = np.stack(group["v"].to_numpy())
+        i, j, block, dim = (int(group[c].iloc[0]) for c in ("i", "j", "block", "dim"))
+        x = whole_vectors(group["x"].tolist(), dim)
+        r = np.frombuffer(b"".join(group["r"]), "<f4").reshape(len(node), dim)
         everything = np.arange(len(node))
         if guest.any():
             left, right, same = everything[guest], everything[~guest], False
@@ -155,18 +196,20 @@ def links(rows: DataFrame, threshold: float) -> DataFrame:
             left, right, same = everything, everything, True
         else:
             left, right, same = everything[own == i], everything[own == j], False
-        a, b = compare(node, m, x, left, right, same, block, threshold)
+        a, b = compare(x, r, left, right, same, block, threshold)
         count = np.bincount(a, m[b], len(node)) + np.bincount(b, m[a], len(node))
         some, root = forest(a, b)
         return pd.DataFrame({"node": node[some], "links": count[some].astype(np.int64), "root": node[root]})
 
-    return meetings.groupBy("cell", "i", "j").applyInPandas(run, "node bigint, links bigint, root bigint")
+    # Every meeting has its place; the pieces of a cell are not one task.
+    return meetings.repartition("cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(
+        run, "node bigint, links bigint, root bigint")
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id",
                     vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    rows = table.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    rows = table.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (
         F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))

@@ -187,6 +187,29 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (301, 302, 303, 304))
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e300, 0.0]), (2, [1e300, 0.0]), (3, [1e-60, 1e-60]), (4, [1e-60, 1e-60]), (5, [5e-324, 0.0]),
+            (6, [1e300, -1e-300]), (7, [-1.0, 0.0]), (None, [3e200, 3e200]), (2, [0.0, 7.0]), (8, [float("nan"), 1.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [
+        (0, 2, 3), (1, 3, 1), (2, 0, 2), (2, 3, 1), (3, 2, 3), (4, 2, 3), (5, 3, 1), (6, 3, 1), (7, 0, 7), (8, 0, 8)]
+
+
+def test_vectors_at_the_threshold_and_in_pieces(spark, monkeypatch):
+    ship(spark)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 48))
+    x = np.concatenate([base + rng.normal(0, s, base.shape) for s in (0, .05, .2, .4, .46, .5, .6)])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    norm = np.sqrt((x * x).sum(axis=1))
+    linked = (x @ x.T) / norm[:, None] / norm >= 0.9
+    expected = (linked.sum(axis=1) - 1).tolist()
+    for piece in (16384, 7):
+        monkeypatch.setattr(vectors, "PIECE", piece)
+        got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame).collect()}
+        assert [got[i] for i in range(len(x))] == expected
+
+
 def test_toxicity(spark):
     ship(spark)
     rows = [(i, f"a quiet text about topic {i % 7}" + (" you scum" if i % 4 == 0 else ""), int(i % 4 == 0))
