@@ -63,7 +63,10 @@ def containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poi
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], first: tuple[str, str],
                 second: tuple[str, str]) -> DataFrame:
-    """Pairs of rows with equal keys whose intervals overlap and begin on different days, each once."""
+    """Pairs of rows with equal keys whose intervals overlap and begin on different days, each once.
+
+    An interval that ends where it begins, or earlier, counts as the day on which it begins.
+    """
     later_right = containing(right, left, keys, second[0], *first).filter(F.col(second[0]) > F.col(first[0]))
     later_left = containing(left, right, keys, first[0], *second).filter(F.col(first[0]) > F.col(second[0]))
     return later_right.unionByName(later_left)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,19 +153,17 @@ def artifact_rows(inventory: DataFrame, release: str) -> DataFrame:
         "release_id", F.lit(release)), "artifacts_v2")
 
 
+def manifest_columns(df: DataFrame) -> list[F.Column]:
+    """Aggregates `rows` and `content`, the sum of 60 bits of each row's hash, which knows no order."""
+    bits = F.conv(F.substring(row_digest(*df.columns), 1, 15), 16, 10).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("content")]
+
+
 def table_manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows and an order-free digest per table: the sum of 60 bits of each row's hash."""
-    frames = []
-    for name, df in tables.items():
-        bits = F.conv(F.substring(row_digest(*df.columns), 1, 15), 16, 10).cast("decimal(38,0)")
-        frames.append(df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("content")
-        ).select(F.lit(name).alias("table"), "rows", "content"))
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    """Rows and an order-free digest per table."""
+    frames = [df.agg(*manifest_columns(df)).select(F.lit(name).alias("table"), "rows", "content")
+              for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def manifest_mismatches(stored: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

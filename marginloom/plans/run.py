@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from marginloom.functions.hashing import content_id
 from marginloom.operators.gates import Check, QualityError
 from marginloom.plans import audit, releases, synthesize
 from marginloom.plans.margins import DOMESTIC, Cells, Margins, coherence_gates
-from marginloom.session import path_exists
+from marginloom.session import materialize, path_exists
 from marginloom.sources.sinks import guarded, write_report, write_sorted
 
 ALGORITHM = "ordered-population/1"
@@ -63,12 +64,17 @@ def run(spark: SparkSession, margins: Margins, reference: str, folder: str,
     wanted = margins.locality.select("province").distinct()
     if provinces is not None:
         wanted = wanted.filter(F.col("province").isin(list(provinces)))
-    todo = wanted.join(stored_provinces(spark, path), "province", "left_anti")
-    names = [r.province for r in todo.collect()]
-    if names:
-        _generate(margins, reference, path, domestic, names, sizing)
-        spark.createDataFrame([(n,) for n in names], "province string").coalesce(1).write.mode(
-            "append").parquet(f"{path}/completed")
+    todo = materialize(wanted.join(stored_provinces(spark, path), "province", "left_anti"), "todo")
+    if not todo.isEmpty():
+        _generate(margins, reference, path, domestic, todo, sizing)
+        # Written after the tables: a province is finished once its digests are there.
+        written = load(spark, path, margins.countries is not None)
+        parts = {name: df.join(todo, "province", "left_semi").select(*df.columns)
+                 for name, df in _tables(written).items()}
+        batches = todo.withColumn("table", F.explode(F.array(*[F.lit(n) for n in parts])))
+        digests = batches.join(batch_manifest(parts, "province"), ["province", "table"], "left").fillna(
+            {"rows": 0, "content": "0"}).select("province", "table", "rows", "content")
+        digests.coalesce(1).write.mode("append").parquet(f"{path}/completed")
     result = load(spark, path, margins.countries is not None)
     missing = margins.locality.select("province").distinct().join(
         stored_provinces(spark, path), "province", "left_anti")
@@ -83,22 +89,49 @@ def run(spark: SparkSession, margins: Margins, reference: str, folder: str,
     return result
 
 
+COMPLETED = "province string, table string, rows bigint, content string"
+
+
+def completed(spark: SparkSession, path: str) -> DataFrame:
+    """(province, table, rows, content) of the finished batches."""
+    if not path_exists(spark, f"{path}/completed"):
+        return spark.createDataFrame([], COMPLETED)
+    return spark.read.schema(COMPLETED).parquet(f"{path}/completed")
+
+
 def stored_provinces(spark: SparkSession, path: str) -> DataFrame:
     """Provinces recorded as complete; the record is written after their tables."""
-    schema = "province string"
-    if not path_exists(spark, f"{path}/completed"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/completed").distinct()
+    return completed(spark, path).select("province").distinct()
 
 
-def _generate(margins: Margins, reference: str, path: str, domestic: str, names: list[str],
+def batch_manifest(tables: dict[str, DataFrame], batch: str) -> DataFrame:
+    """Rows and an order-free digest for each table and batch."""
+    frames = [df.groupBy(batch).agg(*releases.manifest_columns(df)).withColumn("table", F.lit(name))
+              for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def damaged_batches(spark: SparkSession, path: str, with_citizenship: bool = True) -> DataFrame:
+    """(province, table, rows, found_rows) where a stored batch is not what was recorded for it."""
+    found = batch_manifest(_tables(load(spark, path, with_citizenship)), "province").withColumnsRenamed(
+        {"rows": "found_rows", "content": "found_content"})
+    both = completed(spark, path).distinct().join(found, ["province", "table"], "full").fillna(
+        {"found_rows": 0, "found_content": "0"})
+    same = F.col("rows").eqNullSafe(F.col("found_rows")) & F.col("content").eqNullSafe(F.col("found_content"))
+    return both.filter(~same).select("province", "table", "rows", "found_rows")
+
+
+def _generate(margins: Margins, reference: str, path: str, domestic: str, todo: DataFrame,
               sizing: synthesize.Sizing) -> None:
+    """Write the tables of the provinces in `todo`; the others keep their files."""
     cells = Cells.build(margins, domestic)
-    keep = F.col("province").isin(names)
-    part = replace(cells, persons=cells.persons.filter(keep),
-                   households=cells.households.filter(keep))
+
+    def only(df: DataFrame) -> DataFrame:
+        return df.join(todo, "province", "left_semi")
+
+    part = replace(cells, persons=only(cells.persons), households=only(cells.households))
     if cells.countries is not None:
-        places = margins.locality.filter(keep).select("municipality")
+        places = only(margins.locality).select("municipality")
         part = replace(part, countries=cells.countries.join(places, "municipality", "left_semi"))
     spark = cells.persons.sparkSession
     schema = _individual_schema(cells.countries is not None)
@@ -106,7 +139,7 @@ def _generate(margins: Margins, reference: str, path: str, domestic: str, names:
                  f"{path}/individuals", ["person_id"], ["province"])
     # Households are assigned to the stored individuals: the audit can then show that stage four
     # changed nothing, and the lineage ends here.
-    stored = spark.read.schema(schema).parquet(f"{path}/individuals").filter(keep)
+    stored = only(spark.read.schema(schema).parquet(f"{path}/individuals"))
     write_sorted(synthesize.assign_households(stored, part, reference, sizing),
                  f"{path}/persons", ["person_id"], ["province"])
     write_sorted(synthesize.households(part, sizing), f"{path}/households", ["household_id"],
@@ -132,6 +165,7 @@ def verify(spark: SparkSession, path: str, margins: Margins, reference: str,
     stored = load(spark, path, margins.countries is not None)
     found = audit.record_gates(stored.persons, stored.households, margins, reference,
                                stored.individuals, domestic)
+    found.empty("batches", damaged_batches(spark, path, margins.countries is not None))
     manifest = spark.read.parquet(f"{path}/manifest")
     found.empty("manifest", releases.manifest_mismatches(manifest, _tables(stored)))
     return found.require()

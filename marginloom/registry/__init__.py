@@ -32,6 +32,7 @@ def load() -> None:
         audit,
         bundle,
         geography,
+        publication,
         records,
         releases,
         synthesis,

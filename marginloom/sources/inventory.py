@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,13 @@ def file_inventory(spark: SparkSession, path: str, pattern: str | None = None,
                 ["path", "sha256", "bytes"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return small.union(large.repartition(tasks, "path").mapInArrow(
-        digested, "path string, sha256 string, bytes bigint"))
+    stepped = large.repartition(tasks, "path").mapInArrow(digested, "path string, sha256 string, bytes bigint")
+    # A scan leaves empty files out; the listing has them.
+    names = spark.createDataFrame([(unquote(name),) for name in files.inputFiles()], "path string").withColumn(
+        "path", F.regexp_replace("path", "^file:/+", "file:/"))
+    empty = names.join(files.select("path"), "path", "left_anti").select(
+        "path", F.sha2(F.lit("").cast("binary"), 256).alias("sha256"), F.lit(0).cast("bigint").alias("bytes"))
+    return small.union(stepped).union(empty)
 
 
 def digest(path: str) -> str:
