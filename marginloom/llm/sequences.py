@@ -12,9 +12,10 @@ task is put into sequences whose sizes are the powers of two of its binary notat
 padded at all. Nothing is shuffled; a task that is run again gives the same rows, as it reads the same
 rows in the same order.
 
-Tokens are those of the vocabulary's own library. Plain texts are split by the vocabulary's pattern
-and each distinct word is encoded once for each worker while a cache of bounded size lasts; texts with
-unusual characters or added tokens are given to the library whole.
+Tokens are those of the vocabulary's own library. Plain texts are split into words on whole columns of
+bytes, and each distinct word is encoded once for each worker while a cache of bounded size lasts. Texts
+with contractions are split by the vocabulary's pattern; texts with unusual characters or added tokens
+are given to the library whole.
 
 Unusual rows: a null or empty text has the end token only; null and repeated ids are rows like any
 others, each packed for itself. Further columns are not looked at.
@@ -33,10 +34,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from marginloom.llm.bpe import distinct, spans
+from marginloom.llm.textscan import prefix_hashes, slices, span_hashes
+
 SPAN = 6144
 WINDOW = 512  # sequences
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 CHUNK = 1 << 20
+SLICE = 1 << 21
 END = 1
 NAMES = ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = ("doc_id bigint, start bigint, length bigint, token_ids binary, doc_tokens bigint, "
@@ -44,7 +49,14 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, token_ids binary, doc_tok
 # The vocabulary's pattern, for lower-cased plain texts.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _LETTERS = "".join(c for c in map(chr, range(0x80, 0x250)) if unicodedata.category(c)[0] == "L")
-UNUSUAL = re.compile("[^\x00-\x1b\x20-\x7f" + _LETTERS + "]")
+# The capital letter I with a dot becomes two characters in lower case.
+UNUSUAL = re.compile("[^\x00-\x1b\x20-\x7f" + _LETTERS.replace("İ", "") + "]")
+CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)", re.IGNORECASE)
+# Classes of bytes in plain texts: 0 other, 1 letter, 2 digit, 3 white space.
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+KINDS[48:58] = 2
+KINDS[[*range(9, 14), 32]] = 3
 
 
 class Encoder:
@@ -58,31 +70,73 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, each of which the pattern finds as one."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
+        if fresh:
+            if len(self.known) + len(fresh) > CACHE_WORDS:
+                self.known, fresh = {}, list(dict.fromkeys(words))
+            self.known.update(zip(fresh, self.whole([w.decode() for w in fresh])))
+        return [self.known[w] for w in words]
+
     def encode(self, text: str) -> bytes:
+        """Ids of one text of any characters."""
         if UNUSUAL.search(text) or any(t in text for t in self.added):
             return self.whole([text])[0]
         out, lo = [], 0
         while lo < len(text):  # words never reach across a blank
             hi = text.find(" ", lo + CHUNK)
             hi = len(text) if hi < 0 else hi
-            out.append(self.plain(text[lo:hi]))
+            out += self.words([w.encode() for w in WORDS.findall(text[lo:hi].lower())])
             lo = hi
         return b"".join(out)
 
-    def plain(self, text: str) -> bytes:
-        words = WORDS.findall(text.lower())
-        fresh = [w for w in set(words) if w not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                self.known, fresh = {}, list(set(words))
-            self.known.update(zip(fresh, self.whole(fresh)))
-        return b"".join(map(self.known.__getitem__, words))
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of the rows in them) of rows of plain texts without contractions, all at once."""
+        start, end = plain_words(data, offsets)
+        code, first = distinct(span_hashes(prefix_hashes(data), start, end))
+        raw = data.tobytes()
+        found = self.words([raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[code])])
+        return flat[spans(begin[code], sizes[code])], ends[np.searchsorted(start, offsets)]
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every row of a column; null: none."""
+        values = texts.to_pylist()
+        plain = np.array([not v or not (UNUSUAL.search(v) or CONTRACTION.search(v) or any(
+            t in v for t in self.added)) for v in values], bool)
+        out: list[bytes] = [b""] * len(values)
+        rows = np.flatnonzero(plain)
+        for lo, data, offsets in slices(texts.filter(pa.array(plain)), SLICE):
+            ids, ends = self.rows(data, offsets)
+            for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                out[rows[lo + k]] = ids[i:j].tobytes()
+        for i in np.flatnonzero(~plain):
+            out[i] = self.encode(values[i])
+        return out
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words that the pattern finds in plain texts: runs of letters, single digits,
+    and runs of other signs."""
+    kind = KINDS[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    edge[:-1] |= kind == 2
+    edge = np.flatnonzero(edge)
+    start, end = edge[:-1], edge[1:]
+    some = kind[start] != 3 if len(data) else np.zeros(len(start), bool)
+    return start[some], end[some]
 
 
 def cost(size: int) -> float:
@@ -175,8 +229,8 @@ def pack_documents(documents: DataFrame, vocabulary: str, size: int = 2048, doc_
         shelf = Shelf(TaskContext.get().partitionId() << 36, size)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for key, row in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shelf.put(key, encoder.encode(row.as_py() or "") + end)
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.column(batch.column(1))):
+                shelf.put(key, ids + end)
                 if len(shelf.ready) >= 4 * WINDOW:
                     yield shelf.taken()
         shelf.pack(True)
