@@ -45,8 +45,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # White space as the vocabulary's splitter understands it: the Unicode property.
 PATTERN = PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(
     r"\S", r"\P{White_Space}")
-CACHE_WORDS = 900_000
-CACHE_ARCS = 1_000_000
+CACHE_WORDS = 250_000
+CACHE_ARCS = 300_000
 LONG_WORD = 200
 # Texts with other characters, or with a contraction, are split by the pattern itself.
 _LETTERS = "".join(c for c in map(chr, range(0x80, 0x250)) if unicodedata.category(c)[0] == "L")
