@@ -52,9 +52,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token ids of every document."""
-    coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary(), digests=False)
-    return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids")
+    """Token ids of every document, and digests of the ids and of the text that they decode to."""
+    coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary())
+    return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
