@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginloom.operators import gates
 from marginloom.plans import coverage, releases, star
 from marginloom.registry import query
 from marginloom.session import materialize
@@ -308,16 +307,132 @@ def unexplained_changes(spark: SparkSession, folder: str) -> DataFrame:
     return coverage.unexplained_changes(places, changes)
 
 
-@query()
+# The same bundle with damage by a rule on the keys, and every check of its report.
+DAMAGED = EVENTS + DIMS + """,
+t AS (
+  SELECT key, scheme, code, CASE WHEN code = '000005' THEN ' ' ELSE code END AS name, level, snapshot,
+    snapshot AS valid_from, CAST(snapshot + 1 AS DATE) AS valid_to,
+    CASE WHEN key = '1997-01-01:000003' THEN '1996-01-01:ALL'
+         WHEN key = '1996-01-01:01' THEN NULL ELSE parent_key END AS parent_key
+  FROM territories, (SELECT unnest([1, 2]) AS copy)
+  WHERE key <> '1996-01-01:000007' AND (copy = 1 OR key = '1995-01-01:000002')),
+o AS (
+  SELECT territory_key, series_code, period, sex, age,
+    CASE WHEN code = '000009' AND sex = 'M' THEN NULL WHEN code = '000010' AND sex = 'F' THEN -value
+         WHEN code = '000004' AND sex = 'M' THEN value + 1 ELSE value END AS value,
+    CASE WHEN code = '000012' THEN 'demo' ELSE 'unflagged_upstream' END AS status
+  FROM (SELECT *, split_part(territory_key, ':', 2) AS code FROM observations)
+  WHERE NOT (code = '000013' AND year(period) = 1997 AND sex = 'TOTAL')),
+kinds AS (SELECT DISTINCT series_code, sex, age FROM observations),
+heads AS (SELECT name, any_value(dimension) AS dimension, any_value(t_key) AS t_key, any_value(t_series) AS t_series,
+    any_value(period) AS period, CASE WHEN any_value(dimension) = 'age' AND year(any_value(period)) = 1998
+      THEN -1 ELSE 0 END AS tolerance FROM terms GROUP BY name HAVING count(*) >= 2),
+kept AS (SELECT name, period, p_key, p_series FROM terms SEMI JOIN heads USING (name)
+  WHERE NOT (dimension = 'sex' AND p_series = 'lines_m_total' AND year(period) = 1996)),
+found AS (
+  SELECT h.name, h.dimension, h.tolerance, h.t_key, h.t_series, tt.scheme AS t_scheme, tv.value AS t_value,
+    p.p_key, p.p_series, pt.scheme AS p_scheme, pt.parent_key AS p_parent, pv.value AS p_value,
+    CASE h.dimension WHEN 'sex' THEN k.sex ELSE k.age END AS label
+  FROM heads h LEFT JOIN t tt ON tt.key = h.t_key
+  LEFT JOIN o tv ON tv.territory_key = h.t_key AND tv.series_code = h.t_series AND tv.period = h.period
+  LEFT JOIN (kept p LEFT JOIN t pt ON pt.key = p.p_key
+    LEFT JOIN kinds k ON k.series_code = p.p_series
+    LEFT JOIN o pv ON pv.territory_key = p.p_key AND pv.series_code = p.p_series AND pv.period = p.period)
+    ON p.name = h.name),
+labelled AS (SELECT *, try_cast(split_part(label, ':', 1) AS BIGINT) AS lo,
+    try_cast(split_part(label, ':', 2) AS BIGINT) AS hi FROM found WHERE dimension <> 'territory'),
+tiles AS (SELECT *, lead(lo) OVER (PARTITION BY name ORDER BY lo, hi) AS nxt FROM labelled WHERE dimension = 'age'),
+ev AS (
+  SELECT region, y, key, true AS is_from FROM olds SEMI JOIN news USING (region, y)
+  UNION ALL SELECT region, y, to_key, false FROM news SEMI JOIN olds USING (region, y)),
+placed AS (
+  SELECT region, y, is_from, t.level, t.snapshot,
+    make_date(y + CASE WHEN region = '03' THEN 3 ELSE 1 END, 1, 1) AS effective FROM ev LEFT JOIN t USING (key))"""
+BUNDLE_REPORT = {
+    "unique_territories": "(SELECT key FROM t GROUP BY key HAVING count(*) > 1)",
+    "territorial_validity": "t WHERE NOT (valid_from <= snapshot AND snapshot < valid_to AND trim(name) <> '')",
+    "territorial_root": "t WHERE parent_key IS NULL AND level <> 'country'",
+    "hierarchy": """t c LEFT JOIN t p ON p.key = c.parent_key WHERE c.parent_key IS NOT NULL AND NOT coalesce(
+      p.scheme = c.scheme AND p.snapshot = c.snapshot AND p.valid_from <= c.valid_from AND c.valid_to <= p.valid_to
+      AND list_position(['country', 'region', 'municipality'], p.level)
+        < list_position(['country', 'region', 'municipality'], c.level), false)""",
+    "territorial_overlap": """(SELECT valid_to, lead(valid_from) OVER (PARTITION BY scheme, code
+      ORDER BY valid_from, valid_to) AS nxt FROM t) WHERE nxt < valid_to""",
+    "source_status": "o WHERE status = 'demo'",
+    "null_status": "o WHERE (value IS NULL) <> (status IN ('missing', 'suppressed'))",
+    "numeric_range": "o WHERE value IS NOT NULL AND (value < 0 OR value >= 1e14 OR value <> floor(value))",
+    "observation_context": """o LEFT JOIN t ON key = territory_key
+      WHERE NOT coalesce(valid_from <= period AND period < valid_to, false)""",
+    "coverage_exact": """(SELECT territory_key, series_code, period FROM observations
+      EXCEPT SELECT territory_key, series_code, period FROM o)""",
+    "coverage_vintage": "observations ANTI JOIN t ON key = territory_key",
+    "equation_identity": """heads LEFT JOIN (SELECT name, count(*) AS n FROM kept GROUP BY name) USING (name)
+      WHERE coalesce(n, 0) < 2""",
+    "equation_cells": "found WHERE t_value IS NULL OR p_value IS NULL",
+    "comparable_units_periods": "found WHERE t_scheme IS DISTINCT FROM p_scheme",
+    "disjoint_territories": """found WHERE dimension = 'territory' AND NOT (t_series IS NOT DISTINCT FROM p_series
+      AND p_parent IS NOT DISTINCT FROM t_key)""",
+    "equation_tolerance": "found WHERE tolerance < 0",
+    "distinct_labels": "(SELECT name, label FROM labelled GROUP BY ALL HAVING count(*) > 1)",
+    "partition_ranges": """(SELECT name FROM tiles GROUP BY name
+      HAVING count(*) FILTER (NOT coalesce(lo < hi AND (nxt IS NULL OR nxt = hi), false)) > 0
+        OR min(lo) IS DISTINCT FROM 0 OR max(hi) IS DISTINCT FROM 1000)""",
+    "partition_labels_sex": """(SELECT name FROM labelled WHERE dimension = 'sex' GROUP BY name
+      HAVING count(*) FILTER (label IS NULL OR label NOT IN ('F', 'M')) > 0 OR count(DISTINCT label) <> 2)""",
+    "equation_reconciliation": """(SELECT name FROM found GROUP BY name
+      HAVING NOT coalesce(abs(sum(p_value) - any_value(t_value)) <= any_value(tolerance), false))""",
+    "event_evidence": "(SELECT DISTINCT region, y FROM ev) WHERE region = '02'",
+    "event_cardinality": "(SELECT DISTINCT region, y FROM ev) WHERE region = '01'",
+    "no_invented_weights": "(SELECT DISTINCT region, y FROM ev) WHERE region = '01'",
+    "event_known_members": "placed WHERE level IS NULL",
+    "event_time": """placed WHERE NOT coalesce(CASE WHEN is_from THEN snapshot < effective
+      ELSE effective <= snapshot END, false)""",
+}
+BUNDLE_PASSED = [
+    "bounded_observations", "bounded_territories", "bounded_coverage", "unique_series", "unique_observations",
+    "coverage_unique", "coverage_single_vintage", "default_selection", "equation_names", "disjoint_keys",
+    "total_not_a_part", "same_territory", "partition_total", "partition_dimensions", "partition_categories",
+    "partition_labels_occupancy", "evidence_identity", "event_identity", "event_members", "event_level"]
+BUNDLE_SQL = DAMAGED + " SELECT check_name, n = 0 AS passed, n AS violations FROM (" + " UNION ALL ".join(
+    [f"SELECT '{name}' AS check_name, count(*) AS n FROM {rows}" for name, rows in BUNDLE_REPORT.items()]
+    + [f"SELECT '{name}', 0" for name in BUNDLE_PASSED]) + ")"
+
+
+@query(BUNDLE_SQL)
 def bundle_gates(spark: SparkSession, folder: str) -> DataFrame:
-    """All rules of a bundle; the size bounds are those of one reviewed national bundle."""
+    """All rules of a bundle over damaged tables, with the number of violations of each."""
     territories, series, observations = bundle(spark, folder)
     equations, parts = _equations(territories, series, observations)
+    members = materialize(coverage.coverage_members(observations, territories), "members")
     evidence = territories.select(
         F.lit("e").alias("name"), F.lit("p").alias("path"), F.lit("0" * 64).alias("sha256"),
         F.lit("urn:e").alias("url"), F.lit("").alias("retrieved_at")).distinct()
-    members = coverage.coverage_members(observations, territories)
-    found: gates.Gates = coverage.bundle_gates(
-        territories, series, observations, members, equations, parts, events(territories),
-        evidence, False, ("lines_total_total", "1998-01-01"))
+    changes = materialize(events(territories), "events")
+    key, code = F.col("key"), F.element_at(F.split("territory_key", ":"), 2)
+    copies = F.when(key == "1995-01-01:000002", 2).otherwise(1)
+    places = territories.filter(key != "1996-01-01:000007").withColumn(
+        "_copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("_copy").withColumns({
+            "name": F.when(F.col("code") == "000005", " ").otherwise(F.col("name")),
+            "parent_key": F.when(key == "1997-01-01:000003", "1996-01-01:ALL").when(
+                key == "1996-01-01:01", None).otherwise(F.col("parent_key"))})
+    sex, value = F.split("series_code", "_")[1], F.col("value")
+    cells = observations.filter(~((code == "000013") & (F.year("period") == 1997) & (sex == "total"))).withColumns({
+        "value": F.when((code == "000009") & (sex == "m"), None).when((code == "000010") & (sex == "f"), -value).when(
+            (code == "000004") & (sex == "m"), value + 1).otherwise(value).cast("decimal(20,6)"),
+        "status": F.when(code == "000012", "demo").otherwise(F.col("status"))})
+    heads = equations.withColumn("tolerance", F.when(
+        (F.col("dimension") == "age") & (F.year("period") == 1998), -1).otherwise(0).cast("decimal(20,6)"))
+    left = parts.filter(~(F.col("name").startswith("sex:") & (F.col("series_code") == "lines_m_total")
+                          & (F.year("period") == 1996)))
+    region = F.col("description")
+    changed = changes.withColumns({
+        "kind": F.when(region == "01", "split").otherwise(F.col("kind")),
+        "evidence_sha256": F.when(region == "02", "1" * 64).otherwise(F.col("evidence_sha256")),
+        "effective_date": F.when(region == "03", F.add_months("effective_date", 24)).otherwise(
+            F.col("effective_date"))})
+    damaged = {name: materialize(df, name) for name, df in (
+        ("territories", places), ("observations", cells), ("equations", heads), ("parts", left))}
+    found = coverage.bundle_gates(
+        damaged["territories"], series, damaged["observations"], members, damaged["equations"], damaged["parts"],
+        changed, evidence, False, ("lines_total_total", "1998-01-01"))
     return found.frame()

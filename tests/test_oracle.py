@@ -36,5 +36,5 @@ def test_query_equals_sql(spark, tables, name):
 def test_every_query_has_sql_or_is_listed():
     registry.load()
     without = set(registry.QUERIES) - set(registry.ORACLE)
-    assert without == {"coherence_gates", "publication_gates", "bundle_gates",
+    assert without == {"coherence_gates", "publication_gates",
                        "age_table_gates", "slice_gates", "text_manifest", "file_digests"}
