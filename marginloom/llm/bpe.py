@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -48,6 +49,7 @@ PATTERN = PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{Whi
 CACHE_WORDS = 250_000
 CACHE_ARCS = 300_000
 LONG_WORD = 200
+PART = 1 << 21
 # Texts with other characters, or with a contraction, are split by the pattern itself.
 _LETTERS = "".join(c for c in map(chr, range(0x80, 0x250)) if unicodedata.category(c)[0] == "L")
 UNUSUAL = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\x00-\x7f" + _LETTERS + "]")
@@ -296,6 +298,18 @@ def encode_texts(automaton: Automaton, texts: pa.Array) -> tuple[np.ndarray, np.
     return out, ends
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about PART bytes of text, so memory does not depend on the rows of a batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + PART, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 _made: dict[str, Automaton] = {}
 
 
@@ -324,7 +338,7 @@ def encode_documents(documents: DataFrame, path: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(path, definition.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, len(kept))):
             coded, ends = encode_texts(automaton, batch.column(len(kept)))
             columns = batch.columns[:len(kept)] + [pa.array(np.diff(ends), pa.int64())]
             if ids:
