@@ -19,7 +19,15 @@ from marginloom.operators.reconcile import compare_margins
 TOTAL_AGE = 999
 SIZES = ("N1", "N2", "N3", "N4", "N5", "N6_GE")
 TOTAL_SIZE = "TOT"
-CITIZENS_LIMIT = 70_000_000
+
+
+def count_reason(column: str, limit: int | None = None) -> F.Column:
+    """Why a text is no count: missing, not_a_count, too_large for a long, above_limit; NULL if it is one."""
+    plain = F.col(column).rlike(r"\A[0-9]+\z")
+    value = count_of(column)
+    above = F.lit(False) if limit is None else value > limit
+    return F.when(F.col(column).isNull(), "missing").when(~plain, "not_a_count").when(
+        value.isNull(), "too_large").when(above, "above_limit")
 
 
 def count_of(column: str) -> F.Column:
@@ -117,7 +125,7 @@ def household_cells(rows: DataFrame, area: str = "municipality") -> DataFrame:
 
 def citizenship_gates(rows: DataFrame, labels: DataFrame, year: str,
                       found: gates.Gates | None = None,
-                      limit: int | None = CITIZENS_LIMIT) -> gates.Gates:
+                      limit: int | None = None) -> gates.Gates:
     """rows(year, code, country_code, country_label, male, female, total) as text.
 
     Counts above `limit` are reported, not dropped; None sets no limit.

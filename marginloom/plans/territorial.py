@@ -21,30 +21,61 @@ def mapped(column: Column, values: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(v) for p in values.items() for v in p]), column)
 
 
-def half_open(column: Column, total: str, open_code: str, open_range: str,
-              prefix: int = 1) -> Column:
-    """"Y17" -> "17:18", the open class -> its range, the total -> TOTAL."""
-    number = F.substring(column, prefix + 1, 9).try_cast("int")
-    return (
-        F.when(column == total, "TOTAL").when(column == open_code, open_range)
-        .otherwise(F.concat_ws(":", number.cast("string"), (number + 1).cast("string"))))
+def class_code(column: Column, letter: str, total: str, open_code: str, open_range: str) -> Column:
+    """struct(range, reason) of a class code: "Y17" is 17:18, the open class its range, the total TOTAL.
+
+    A code is read as a whole or has a reason why not: missing, unknown, or too_large for a long.
+    """
+    digits = F.regexp_extract(column, rf"\A{letter}0*([0-9]+)\z", 1)
+    number = F.when(digits.rlike(r"\A[0-9]{1,18}\z"), digits).cast("long")
+    span = F.when(column == total, "TOTAL").when(column == open_code, open_range).when(
+        number.isNotNull(), F.concat(number.cast("string"), F.lit(":"), (number + 1).cast("string")))
+    reason = F.when(column.isNull(), "missing").when(span.isNotNull(), None).when(
+        digits != "", "too_large").otherwise("unknown")
+    return F.struct(span.alias("range"), reason.alias("reason"))
+
+
+def age_class(column: Column) -> Column:
+    return class_code(column, "Y", "TOTAL", OPEN_AGE_CODE, "100:1000")
+
+
+def size_class(column: Column) -> Column:
+    return class_code(column, "N", "TOT", OPEN_SIZE_CODE, "6:1000")
+
+
+def label_class(column: Column, values: dict[str, str]) -> Column:
+    """struct(range, reason) of a code with a fixed list of labels."""
+    return F.struct(F.try_element_at(F.create_map(*[F.lit(v) for p in values.items() for v in p]), column)
+                    .alias("range"), F.when(column.isNull(), "missing").when(
+                        ~column.isin(list(values)), "unknown").alias("reason"))
+
+
+def code_violations(rows: DataFrame, keys: list[str], classes: dict[str, Column]) -> DataFrame:
+    """(*keys, column, code, reason) for every code of a row that is not read."""
+    found = F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).alias("code"),
+                               parsed["reason"].alias("reason")) for name, parsed in classes.items()])
+    return rows.select(*keys, F.explode(F.filter(found, lambda v: v["reason"].isNotNull())).alias("v")).select(
+        *keys, "v.*")
 
 
 def age_range(column: Column) -> Column:
-    return half_open(column, "TOTAL", OPEN_AGE_CODE, "100:1000")
+    return age_class(column)["range"]
 
 
 def size_range(column: Column) -> Column:
-    return half_open(column, "TOT", OPEN_SIZE_CODE, "6:1000")
+    return size_class(column)["range"]
 
 
 def population_series(rows: DataFrame) -> DataFrame:
-    """Adds series_code, title, unit and dimensions to rows with SEX and AGE codes."""
-    sex = mapped(F.col("SEX"), SEX_LABELS)
+    """Adds series_code, title, unit and dimensions to rows with SEX and AGE codes.
+
+    Codes that are not read give NULL in the dimensions; `code_violations` lists them.
+    """
+    sex = label_class(F.col("SEX"), SEX_LABELS)["range"]
     age = F.col("AGE")
     age_title = F.when(age == "TOTAL", "tutte le età").when(
         age == OPEN_AGE_CODE, "100 anni e più").otherwise(
-        F.concat(F.substring(age, 2, 9), F.lit(" anni")))
+        F.concat(F.regexp_extract(age, r"\A.(.*)\z", 1), F.lit(" anni")))
     return rows.withColumns({
         "series_code": F.concat_ws("_", F.lit("population_jan1"), F.lower(sex), F.lower(age)),
         "title": F.concat(F.lit(f"{POPULATION_TITLE} — "), mapped(sex, SEX_TITLES), F.lit(", "),
@@ -58,7 +89,7 @@ def population_series(rows: DataFrame) -> DataFrame:
 def household_series(rows: DataFrame) -> DataFrame:
     size = F.col("NUM_MEMB")
     total = size == "TOT"
-    label = F.when(size == OPEN_SIZE_CODE, "6 e più").otherwise(F.substring(size, 2, 9))
+    label = F.when(size == OPEN_SIZE_CODE, "6 e più").otherwise(F.regexp_extract(size, r"\A.(.*)\z", 1))
     return rows.withColumns({
         "series_code": F.when(total, "census_households_total").otherwise(
             F.concat(F.lit("census_households_"), F.lower(size))),

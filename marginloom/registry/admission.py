@@ -254,3 +254,68 @@ def search_texts(spark: SparkSession, folder: str) -> DataFrame:
     rows = star.table(spark, folder, "documents")
     found = rows.filter(paging.matches("LE un", ["text"]))
     return paging.id_page(found, "doc_id", -1, 100).select("doc_id", "lang", "n_chars")
+
+
+CODES = """WITH codes AS (SELECT l_orderkey, l_linenumber, CASE
+    WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_orderkey % 19 = 0 THEN 'TOTAL'
+    WHEN l_orderkey % 23 = 0 THEN 'Y_GE100' WHEN l_orderkey % 7 = 0 THEN concat('Q', CAST(l_quantity AS INTEGER))
+    WHEN l_orderkey % 11 = 0 THEN concat('Y123456789', 100000 + l_orderkey % 900000)
+    WHEN l_orderkey % 13 = 0 THEN concat('Y', repeat('9', 12 + CAST(l_linenumber AS INTEGER)), 'x')
+    WHEN l_orderkey % 29 = 0 THEN concat('Y1', repeat('0', 18)) WHEN l_orderkey % 31 = 0 THEN 'Y'
+    WHEN l_orderkey % 37 = 0 THEN concat('Y', CAST(l_quantity AS INTEGER), chr(10))
+    ELSE concat('Y', lpad(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), 3, '0')) END AS code FROM lineitem)"""
+
+
+def _codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Class codes of the line items, some of them damaged by a rule on the key."""
+    key, number = F.col("l_orderkey"), F.col("l_quantity").cast("int").cast("string")
+    damage = [(17, F.lit(None)), (19, F.lit("TOTAL")), (23, F.lit("Y_GE100")), (7, F.concat(F.lit("Q"), number)),
+              (11, F.concat(F.lit("Y123456789"), (100000 + key % 900000).cast("string"))),
+              (13, F.concat(F.lit("Y"), F.repeat(F.lit("9"), 12 + F.col("l_linenumber")), F.lit("x"))),
+              (29, F.lit("Y1" + "0" * 18)), (31, F.lit("Y")), (37, F.concat(F.lit("Y"), number, F.lit("\n")))]
+    code = F.lit(None).cast("string")
+    for k, (divisor, value) in enumerate(damage):
+        code = F.when(key % divisor == 0, value) if not k else code.when(key % divisor == 0, value)
+    code = code.otherwise(F.concat(F.lit("Y"), F.lpad(number, 3, "0")))
+    return star.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", code.alias("AGE"))
+
+
+@query(CODES + """ SELECT code AS "AGE", CASE WHEN code = 'TOTAL' THEN 'TOTAL' WHEN code = 'Y_GE100' THEN '100:1000'
+    WHEN regexp_full_match(code, 'Y0*[0-9]{1,18}') THEN concat(CAST(substr(code, 2) AS BIGINT), ':',
+      CAST(substr(code, 2) AS BIGINT) + 1) END AS range, count(*) AS n
+  FROM codes GROUP BY ALL""")
+def code_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Every class code with its range; codes that are not read have none."""
+    return _codes(spark, folder).groupBy("AGE").agg(F.count(F.lit(1)).alias("n")).select(
+        "AGE", territorial.age_range(F.col("AGE")).alias("range"), "n")
+
+
+@query(CODES + """ SELECT l_orderkey, l_linenumber, 'AGE' AS "column", code, CASE WHEN code IS NULL THEN 'missing'
+    WHEN regexp_full_match(code, 'Y[0-9]+') THEN 'too_large' ELSE 'unknown' END AS reason
+  FROM codes WHERE code IS NULL OR (code NOT IN ('TOTAL', 'Y_GE100')
+    AND NOT regexp_full_match(code, 'Y0*[0-9]{1,18}'))""")
+def unread_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for every line whose code is not read, with the reason."""
+    return territorial.code_violations(_codes(spark, folder), ["l_orderkey", "l_linenumber"],
+                                       {"AGE": territorial.age_class(F.col("AGE"))})
+
+
+@query("""WITH counts AS (SELECT l_suppkey, CASE WHEN l_orderkey % 11 = 0 THEN NULL
+    WHEN l_orderkey % 13 = 0 THEN concat('-', CAST(l_quantity AS INTEGER)) WHEN l_orderkey % 17 = 0 THEN '1.5'
+    WHEN l_orderkey % 19 = 0 THEN repeat('7', 19) WHEN l_orderkey % 23 = 0 THEN ' 4'
+    ELSE concat('00', CAST(l_quantity AS INTEGER)) END AS text FROM lineitem),
+  read AS (SELECT l_suppkey, CASE WHEN regexp_full_match(text, '0*[0-9]{1,18}') THEN CAST(text AS BIGINT) END AS v,
+    text FROM counts)
+  SELECT l_suppkey, coalesce(CASE WHEN text IS NULL THEN 'missing' WHEN NOT regexp_full_match(text, '[0-9]+')
+      THEN 'not_a_count' WHEN v IS NULL THEN 'too_large' WHEN v > 40 THEN 'above_limit' END, 'count') AS reason,
+    count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM read GROUP BY ALL""")
+def bounded_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that should be counts of at most forty, by supplier and by what is wrong with them."""
+    key, number = F.col("l_orderkey"), F.col("l_quantity").cast("int").cast("string")
+    text = F.when(key % 11 == 0, None).when(key % 13 == 0, F.concat(F.lit("-"), number)).when(
+        key % 17 == 0, "1.5").when(key % 19 == 0, "7" * 19).when(key % 23 == 0, " 4").otherwise(
+        F.concat(F.lit("00"), number))
+    rows = star.table(spark, folder, "lineitem").select("l_suppkey", text.cast("string").alias("text"))
+    reason = F.coalesce(admission.count_reason("text", 40), F.lit("count"))
+    return rows.groupBy("l_suppkey", reason.alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(admission.count_of("text")).alias("total"))

@@ -357,13 +357,63 @@ def record_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.record_gates(people, homes, m, star.REFERENCE, individuals).frame()
 
 
-@query()
+PUBLISHED_DAMAGE = PUBLISHED + """,
+pp AS (
+  SELECT CASE WHEN person_id % 977 = 4 THEN person_id + 1 ELSE person_id END AS person_id,
+    CASE WHEN person_id % 401 = 7 THEN NULL ELSE household_id END AS household_id,
+    CASE WHEN person_id % 883 = 2 THEN 77 ELSE municipality_code END AS municipality_code,
+    CASE WHEN person_id % 211 = 3 THEN 'X' ELSE sex END AS sex, birth_year, birth_year_upper_bound,
+    CASE WHEN person_id % 601 = 11 THEN 0 ELSE citizenship_code END AS citizenship_code, reference_adult,
+    CASE WHEN person_id % 701 = 5 THEN DATE '2020-01-01' ELSE reference_date END AS reference_date,
+    CASE WHEN person_id % 307 = 5 THEN age + 1 ELSE age END AS age, age_is_lower_bound, data_kind
+  FROM population_persons WHERE person_id % 503 <> 9),
+hh AS (SELECT household_id, municipality_code, CASE WHEN household_id % 251 = 1 THEN 5 ELSE size END AS size,
+    CASE WHEN household_id % 457 = 1 THEN 'real' ELSE data_kind END AS data_kind FROM population_households),
+inside AS (SELECT household_id AS id, count(*) AS n, min(municipality_code) AS lo, max(municipality_code) AS hi,
+    count(*) FILTER (reference_adult) AS refs, count(*) FILTER (reference_adult AND age < 18) AS minors
+  FROM pp WHERE household_id IS NOT NULL GROUP BY ALL)"""
+PUBLISHED_REPORT = {
+    "person_identity": "(SELECT person_id FROM pp GROUP BY ALL HAVING count(*) <> 1 OR person_id IS NULL OR person_id < 1)",
+    "household_identity": """(SELECT household_id FROM hh GROUP BY ALL
+      HAVING count(*) <> 1 OR household_id IS NULL OR household_id < 1)""",
+    "persons_valid": """pp WHERE municipality_code NOT IN (SELECT code FROM places) OR sex IS NULL OR sex NOT IN ('M', 'F')
+      OR age IS NULL OR age NOT BETWEEN 0 AND 100 OR citizenship_code IS NULL OR citizenship_code NOT BETWEEN 1 AND 999
+      OR reference_adult IS NULL OR reference_date IS DISTINCT FROM DATE '2024-01-01'
+      OR data_kind IS DISTINCT FROM 'synthetic' OR age_is_lower_bound IS DISTINCT FROM (birth_year IS NULL)
+      OR (birth_year IS NULL) = (birth_year_upper_bound IS NULL)
+      OR (birth_year_upper_bound IS NOT NULL AND (age <> 100 OR birth_year_upper_bound <> 1923))
+      OR (birth_year IS NOT NULL AND (age <> 2023 - birth_year OR age >= 100))
+      OR (household_id IS NULL AND (age < 18 OR reference_adult))""",
+    "household_relationships": """hh FULL JOIN inside ON id = household_id WHERE household_id IS NULL OR n IS NULL
+      OR size <> n OR municipality_code <> lo OR data_kind <> 'synthetic' OR lo <> hi OR refs <> 1 OR minors <> 0""",
+    "zero_error": "population_validation WHERE expected <> actual",
+    "person_total": "(SELECT 1 WHERE (SELECT count(*) FROM pp) <> (SELECT sum(n) FROM demography))",
+    "household_total": "(SELECT 1 WHERE (SELECT count(*) FROM hh) <> (SELECT sum(n) FROM sizes))",
+}
+
+
+@query(PUBLISHED_DAMAGE + " SELECT check_name, n = 0 AS passed, n AS violations FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS check_name, count(*) AS n FROM {rows}" for name, rows in PUBLISHED_REPORT.items()) + ")")
 def publication_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rule of a publication, over published tables with damage by a rule on the keys."""
     m, _, persons, households = stored_population(spark, folder)
     people = publish.published_persons(persons, 1, star.REFERENCE)
     homes = publish.published_households(households, 1)
     places = publish.municipalities(m, 1)
     validation = publish.population_validation(
         m, publish.population_cells(people, places), homes, 1)
-    return publish.publication_gates(people, homes, places, validation, m,
+
+    def where(df: DataFrame, key: str, divisor: int, rest: int, column: str, value) -> DataFrame:
+        changed = F.when(F.col(key) % divisor == rest, value).otherwise(F.col(column))
+        return df.withColumn(column, changed.cast(df.schema[column].dataType))
+
+    people = people.filter("person_id % 503 <> 9")
+    for divisor, rest, column, value in (
+            (401, 7, "household_id", F.lit(None)), (883, 2, "municipality_code", F.lit(77)), (211, 3, "sex", F.lit("X")),
+            (601, 11, "citizenship_code", F.lit(0)), (701, 5, "reference_date", F.lit("2020-01-01").cast("date")),
+            (307, 5, "age", F.col("age") + 1), (977, 4, "person_id", F.col("person_id") + 1)):  # the key itself last
+        people = where(people, "person_id", divisor, rest, column, value)
+    homes = where(where(homes, "household_id", 251, 1, "size", F.lit(5)), "household_id", 457, 1, "data_kind", F.lit("real"))
+    stored = materialize_all(persons=people, households=homes)
+    return publish.publication_gates(stored["persons"], stored["households"], places, validation, m,
                                      star.REFERENCE).frame()

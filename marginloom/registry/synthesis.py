@@ -194,7 +194,69 @@ def feasibility(spark: SparkSession, folder: str) -> DataFrame:
     return M.feasibility(star.margins(spark, folder, False))
 
 
-@query()
+def _different(left: str, right: str) -> str:
+    """Municipalities of one side only."""
+    one, other = (f"SELECT municipality FROM {t}" for t in (left, right))
+    return f"(({one} EXCEPT {other}) UNION ALL ({other} EXCEPT {one}))"
+
+
+def _compared(left: str, right: str, keys: str, bad: str) -> str:
+    return f"""(SELECT {keys}, coalesce(e, 0) AS expected, coalesce(a, 0) AS actual FROM (
+      SELECT {keys}, sum(n) AS e FROM {left} GROUP BY ALL) FULL JOIN (
+      SELECT {keys}, sum(n) AS a FROM {right} GROUP BY ALL) USING ({keys})) WHERE expected {bad} actual"""
+
+
+COHERENCE = MARGINS + """,
+place AS (SELECT municipality, province, CASE WHEN municipality = '000006' THEN '99' ELSE region END AS region
+  FROM locality, (SELECT unnest([1, 2]) AS copy)
+  WHERE municipality <> '000024' AND (copy = 1 OR municipality = '000008')),
+dem AS (SELECT municipality, sex, age, CASE WHEN municipality = '000001' AND age = 50 THEN -n ELSE n END AS n
+  FROM demography),
+homes AS (SELECT municipality, CASE WHEN municipality = '000004' THEN 6 ELSE size END AS size,
+    CASE WHEN municipality = '000009' THEN 20 * n ELSE n END AS n FROM sizes WHERE municipality <> '000010'),
+fore AS (SELECT municipality, sex, age, CASE WHEN municipality = '000005' THEN n + 1000 ELSE n END AS n FROM foreigners),
+coun AS (SELECT municipality, sex, code, n FROM countries WHERE NOT (municipality = '000007' AND code = '100')),
+sums AS (SELECT *, coalesce(homes_n, 0) AS h, coalesce(room, 0) AS c FROM (
+    SELECT municipality, sum(n) AS p, coalesce(sum(n) FILTER (age < 18), 0) AS m FROM dem GROUP BY ALL)
+  LEFT JOIN (SELECT municipality, sum(n) AS homes_n, sum(n * size) AS room FROM homes GROUP BY ALL)
+    USING (municipality))"""
+COHERENCE_REPORT = {
+    "unique_municipalities": "(SELECT municipality FROM place GROUP BY ALL HAVING count(*) > 1)",
+    "one_region_per_province": "(SELECT province FROM place GROUP BY ALL HAVING count(DISTINCT region) <> 1)",
+    "population_total": "(SELECT sum(n) AS n FROM dem) WHERE n <= 0",
+    "household_capacity": "sums WHERE c > p", "adults_for_references": "sums WHERE p - m < h",
+    "slots_for_minors": "sums WHERE m > c - h",
+    "demography_counts": "dem WHERE n < 0", "households_counts": "homes WHERE n < 0",
+    "demography_places": _different("dem", "place"), "households_places": _different("homes", "place"),
+    "unique_demography": "(SELECT 1 FROM dem GROUP BY municipality, sex, age HAVING count(*) > 1)",
+    "unique_household_sizes": "(SELECT 1 FROM homes GROUP BY municipality, size HAVING count(*) > 1)",
+    "unique_foreigners": "(SELECT 1 FROM fore GROUP BY municipality, sex, age HAVING count(*) > 1)",
+    "unique_countries": "(SELECT 1 FROM coun GROUP BY municipality, sex, code HAVING count(*) > 1)",
+    "citizenship_coverage": _different("coun", "place"),
+    "foreign_within_base": _compared("fore", "dem", "municipality, sex, age", ">"),
+    "foreign_totals": _compared("fore", "(SELECT * FROM coun WHERE code <> '100')", "municipality, sex", "<>"),
+    "sex_totals": _compared("coun", "dem", "municipality, sex", "<>"),
+}
+
+
+@query(COHERENCE + " SELECT check_name, n = 0 AS passed, n AS violations FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS check_name, count(*) AS n FROM {rows}" for name, rows in COHERENCE_REPORT.items()) + ")")
 def coherence_gates(spark: SparkSession, folder: str) -> DataFrame:
-    """The national ceiling and the invented namespace are rules of census data, not of these."""
-    return M.coherence_gates(star.margins(spark, folder), max_population=None).frame()
+    """Every rule between the margins, over margins with damage by a rule on the keys."""
+    m, code, n = star.margins(spark, folder), F.col("municipality"), F.col("n")
+
+    def changed(condition, value, column="n"):
+        return F.when(condition, value).otherwise(F.col(column)).alias(column)
+
+    place = m.locality.filter(code != "000024").withColumn("_copy", F.explode(F.array_repeat(
+        F.lit(1), F.when(code == "000008", 2).otherwise(1)))).select(
+        "municipality", "province", changed(code == "000006", F.lit("99"), "region"))
+    damaged = replace(
+        m, locality=place,
+        demography=m.demography.select("municipality", "sex", "age", changed(
+            (code == "000001") & (F.col("age") == 50), -n)),
+        households=m.households.filter(code != "000010").select(
+            "municipality", changed(code == "000004", F.lit(6), "size"), changed(code == "000009", 20 * n)),
+        foreigners=m.foreigners.select("municipality", "sex", "age", changed(code == "000005", n + 1000)),
+        countries=m.countries.filter(~((code == "000007") & (F.col("code") == "100"))))
+    return M.coherence_gates(damaged).frame()

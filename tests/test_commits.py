@@ -17,8 +17,8 @@ from marginloom.sources import commits
 def finished(spark, tmp_path_factory):
     root, m = str(tmp_path_factory.mktemp("runs")), margins(spark)
     whole = run.run(spark, m, REFERENCE, f"{root}/whole", fixture=True)
-    first = run.run(spark, m, REFERENCE, f"{root}/parts", provinces=["901"], fixture=True)
-    assert {r.province for r in first.persons.collect()} == {"901"}
+    first = run.run(spark, m, REFERENCE, f"{root}/parts", provinces=["980"], fixture=True)
+    assert {r.province for r in first.persons.collect()} == {"980"}
     again = run.run(spark, m, REFERENCE, f"{root}/parts", fixture=True)
     return m, whole, again
 
@@ -90,10 +90,10 @@ def test_failed_gates_commit_nothing(spark, tmp_path):
 
 def test_a_damaged_batch_is_named(spark, finished):
     m, _, again = finished
-    kept = materialize(again.persons.filter("province = '900' and person_id <> 4").drop("province"), "kept")
-    kept.write.mode("overwrite").parquet(f"{again.path}/persons/province=900")
+    kept = materialize(again.persons.filter("province = '970' and person_id <> 4").drop("province"), "kept")
+    kept.write.mode("overwrite").parquet(f"{again.path}/persons/province=970")
     found = run.damaged_batches(spark, again.path)
-    assert [(r.province, r["table"], r["rows"] - r.found_rows) for r in found.collect()] == [("900", "persons", 1)]
+    assert [(r.province, r["table"], r["rows"] - r.found_rows) for r in found.collect()] == [("970", "persons", 1)]
     with pytest.raises(QualityError) as error:
         run.verify(spark, again.path, m, REFERENCE)
     assert "batches" in {c.name for c in error.value.checks if not c.passed}

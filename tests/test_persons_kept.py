@@ -50,14 +50,14 @@ def test_drawn_persons_without_a_slot_stay(cells, sizing):
     base = synthesize.individuals(replace(cells, countries=None), REFERENCE)
     got = synthesize.enrich(base, fewer, REFERENCE, sizing=sizing, status="status").collect()
     assert Counter((r.status, r.citizenship_code) for r in got) == {
-        ("not_drawn", "100"): 45, ("drawn", "201"): 9, ("no_slot", "100"): 6}
+        ("not_drawn", "100"): 45, ("drawn", "436"): 6, ("no_slot", "100"): 9}
 
 
 def test_wrong_pool_sizes_lose_nobody(cells):
     wrong = replace(cells, persons=cells.persons.withColumns({
         "foreign_pool": F.lit(0).cast("long"), "pool_id": F.col("pool_id") + 1000}))
     codes = synthesize.individuals(wrong, REFERENCE).groupBy("citizenship_code").count().collect()
-    assert {r[0]: r[1] for r in codes} == {"100": 45, "201": 9, "999": 6}
+    assert {r[0]: r[1] for r in codes} == {"100": 45, "436": 6, "999": 9}
 
 
 def test_foreigners_of_unknown_sex_stay(cells):

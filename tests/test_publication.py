@@ -79,18 +79,18 @@ def test_validation_reads_zero_error_and_zeros_are_kept(published):
 
 def test_read_queries(published):
     tables = published[3]
-    spread = queries.distribution(tables["population_cells"], 1, municipality="900001")
-    assert rows(spread.select("age", "sex", "persons"))[:2] == [(0, "F", 2), (0, "M", 3)]
-    assert queries.distribution(tables["population_cells"], 1, province="901", sex="M").agg(
+    spread = queries.distribution(tables["population_cells"], 1, municipality="970012")
+    assert rows(spread.select("age", "sex", "persons"))[:2] == [(3, "F", 4), (3, "M", 2)]
+    assert queries.distribution(tables["population_cells"], 1, province="980", sex="M").agg(
         F.sum("persons")).first()[0] == 10
     home = queries.household(tables["population_households"], tables["population_persons"], 1, 1)
     assert len(home.first().members) == home.first().size
     region = queries.map_regions(tables["population_regions"],
                                  tables["population_municipalities"], 1).collect()
-    assert [(r.code, r.persons, r.households) for r in region] == [("90", 40, 10), ("91", 20, 5)]
+    assert [(r.code, r.persons, r.households) for r in region] == [("97", 40, 10), ("98", 20, 5)]
     bins = queries.age_histogram(tables["population_cells"])
     assert bins.count() == 11 and bins.filter("bin = 10").first().label == "100+"
-    towns = queries.territory_list(tables["population_municipalities"], search="900")
+    towns = queries.territory_list(tables["population_municipalities"], search="970")
     assert towns.count() == 2
 
 

@@ -331,7 +331,7 @@ def test_files_and_sinks(spark, tmp_path, failed):
 def test_run_resumes_and_verifies(spark, tmp_path):
     m = margins(spark)
     whole = runs.run(spark, m, REFERENCE, str(tmp_path / "a"), fixture=True)
-    runs.run(spark, m, REFERENCE, str(tmp_path / "b"), provinces=["901"], fixture=True)
+    runs.run(spark, m, REFERENCE, str(tmp_path / "b"), provinces=["980"], fixture=True)
     with pytest.raises(QualityError):
         runs.verify(spark, whole.path.replace("/a/", "/b/"), m, REFERENCE)
     resumed = runs.run(spark, m, REFERENCE, str(tmp_path / "b"), fixture=True)

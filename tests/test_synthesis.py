@@ -106,16 +106,16 @@ def damage(df, column, value, where):
 FIRST = "person_id = 1"
 PERSON_DAMAGE = [
     ("person_id", 1000, FIRST, "person_identity"),
-    ("municipality", "900002", FIRST, "sex_age_joint"),
+    ("municipality", "970045", FIRST, "sex_age_joint"),
     ("birth_year", 1800, FIRST, "birth_domains"),
     ("sex", "X", FIRST, "person_domains"),
-    ("household_id", None, "birth_year = 2024", "person_domains"),
+    ("household_id", None, "birth_year = 2021", "person_domains"),
     ("data_kind", "real", FIRST, "person_domains"),
-    ("province", "901", FIRST, "persons_geography"),
+    ("province", "980", FIRST, "persons_geography"),
     ("household_id", 99, FIRST, "foreign_keys"),
     ("reference_adult", True, "true", "family_integrity"),
     ("citizenship_code", None, FIRST, "citizenship_domain"),
-    ("citizenship_code", "201", "citizenship_code = '100'", "countries"),
+    ("citizenship_code", "436", "citizenship_code = '100'", "countries"),
     ("household_id", None, "true", "residual_by_municipality"),
 ]
 
@@ -130,7 +130,7 @@ def test_damaged_persons_trip_their_gate(run, failed, column, value, where, gate
 
 @pytest.mark.parametrize("column,value,gate", [
     ("size", 7, "household_domains"), ("size", 5, "household_sizes"),
-    ("household_id", 500, "household_identity"), ("region", "91", "households_geography")])
+    ("household_id", 500, "household_identity"), ("region", "98", "households_geography")])
 def test_damaged_households_trip_their_gate(run, failed, column, value, gate):
     m, _, persons, homes = run
     broken = damage(homes, column, value, "household_id = 1")
@@ -139,7 +139,7 @@ def test_damaged_households_trip_their_gate(run, failed, column, value, gate):
 
 def test_a_swap_that_keeps_all_margins_is_found(run, failed):
     m, people, persons, homes = run
-    side = persons.filter("municipality = '900001' and sex = 'M' and birth_year = 1984")
+    side = persons.filter("municipality = '970012' and sex = 'M' and birth_year = 1972")
     codes = {r.citizenship_code: r.person_id for r in side.collect()}
     one, two = list(codes.items())[:2]
     swapped = persons.withColumn("citizenship_code", F.when(
@@ -152,7 +152,7 @@ def test_a_swap_that_keeps_all_margins_is_found(run, failed):
 def test_totals_cannot_hide_wrong_ages(run, failed):
     m, people, _, _ = run
     moved = people.withColumn("citizenship_code", F.when(
-        F.col("birth_year") == 1984, F.when(F.col("citizenship_code") == "100", "201").otherwise(
+        F.col("birth_year") == 1972, F.when(F.col("citizenship_code") == "100", "436").otherwise(
             "100")).otherwise(F.col("citizenship_code")))
     assert "pre_household_foreigners" in failed(audit.individual_gates(moved, m, REFERENCE))
 
@@ -161,12 +161,12 @@ MARGIN_DAMAGE = {
     "household_capacity": dict(sizes=[0, 0, 0, 0, 0, 4]),
     "adults_for_references": dict(sizes=[15, 0, 0, 0, 0, 0]),
     "slots_for_minors": dict(sizes=[5, 1, 0, 0, 0, 0]),
-    "foreign_totals": dict(countries={**COUNTRIES, "201": [3, 1], "100": [6, 8]}),
+    "foreign_totals": dict(countries={**COUNTRIES, "436": [2, 1], "100": [6, 8]}),
     "sex_totals": dict(countries={**COUNTRIES, "100": [8, 8]}),
-    "foreign_within_base": dict(ages={**AGES, 100: (1, 1, 0, 2)},
-                                countries={**COUNTRIES, "201": [2, 2], "100": [7, 7]}),
-    "one_region_per_province": dict(places=[("900001", "900", "90"), ("900002", "900", "91")]),
-    "unique_municipalities": dict(places=[("900001", "900", "90"), ("900001", "900", "90")]),
+    "foreign_within_base": dict(ages={**AGES, 100: (1, 1, 1, 2)},
+                                countries={**COUNTRIES, "436": [1, 2], "100": [7, 7]}),
+    "one_region_per_province": dict(places=[("970012", "970", "97"), ("970045", "970", "98")]),
+    "unique_municipalities": dict(places=[("970012", "970", "97"), ("970012", "970", "97")]),
     "namespace": dict(places=[("000001", "001", "01")]),
 }
 
@@ -186,7 +186,7 @@ def test_population_ceiling_and_namespace(spark, failed):
 
 def test_dictionary_gates(spark, failed):
     m = margins(spark)
-    labels = [("100", "Italia"), ("201", "Albania"), ("999", "Apolide")]
+    labels = [("100", "Italia"), ("436", "Atlantis"), ("999", "Apolide")]
     fixed = {"100": "Italia", "999": "Apolide"}
 
     def check(rows_):
@@ -259,8 +259,8 @@ def test_rows_without_a_group_are_ranked_too(spark):
 def test_territorial_seed_is_the_first_64_bits_of_sha256(spark):
     import hashlib
 
-    expected = int.from_bytes(hashlib.sha256(b"space:1701:900001").digest()[:8], "big")
-    found = spark.range(1).select(territorial_seed(F.lit("900001"), "space")).first()[0]
+    expected = int.from_bytes(hashlib.sha256(b"space:1701:970012").digest()[:8], "big")
+    found = spark.range(1).select(territorial_seed(F.lit("970012"), "space")).first()[0]
     assert int(found) == expected
 
 
