@@ -58,11 +58,52 @@ def delimited_scan(spark: SparkSession, folder: str) -> DataFrame:
     return delimited.parse(delimited.read_lines(spark, path), AGE_TABLE).drop(delimited.MALFORMED)
 
 
-@query()
+DAMAGED_AGES = AGE_ROWS + """, marked AS (SELECT *, municipality = '000009' AND age = 50 AS short FROM rows
+    WHERE NOT (municipality = '000005' AND age = 20)),
+  found AS (SELECT municipality, short, CASE WHEN NOT short THEN CASE WHEN municipality = '000007' AND age = 40
+      THEN 150 ELSE age END END AS age,
+    CASE WHEN NOT (short OR (municipality = '000003' AND age = 17)) THEN m END AS m, CASE WHEN NOT short THEN f END AS f,
+    CASE WHEN NOT short THEN m + f + CASE WHEN municipality = '000006' AND age = 30 THEN 1 ELSE 0 END END AS t
+  FROM marked)"""
+AGE_REPORT = {
+    "title": "(SELECT 1 WHERE FALSE)", "header": "(SELECT 1 WHERE FALSE)", "row_shape": "found WHERE short",
+    "observed_counts": "found WHERE age IS NULL OR m IS NULL OR f IS NULL OR t IS NULL",
+    "age_domain": "found WHERE NOT coalesce(age BETWEEN 0 AND 100 OR age = 999, false)",
+    "sex_sum": "found WHERE NOT coalesce(m + f = t, false)",
+    "ages_complete": """(SELECT municipality FROM found GROUP BY municipality HAVING count(*) <> 102
+      OR count(DISTINCT age) <> 102 OR count(*) FILTER (age = 999) <> 1
+      OR sum(CASE WHEN age <> 999 THEN m ELSE -m END) IS DISTINCT FROM 0
+      OR sum(CASE WHEN age <> 999 THEN f ELSE -f END) IS DISTINCT FROM 0)""",
+}
+
+
+def report_sql(rows: dict[str, str]) -> str:
+    return " SELECT check_name, n = 0 AS passed, n AS violations FROM (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS check_name, count(*) AS n FROM {found}" for name, found in rows.items()) + ")"
+
+
+@query(DAMAGED_AGES + report_sql(AGE_REPORT))
 def age_table_gates(spark: SparkSession, folder: str) -> DataFrame:
-    lines = age_lines(spark, folder)
-    found = delimited.shape_gates(lines, AGE_TABLE)
-    return admission.age_table_gates(delimited.parse(lines, AGE_TABLE), found=found).frame()
+    """The report on a published text whose lines are damaged by a rule on code and age."""
+    part = F.split("value", ";")
+    code, age = F.get(part, F.lit(0)), F.get(part, F.lit(2))
+
+    def at(place: str, old: str):
+        return (code == place) & (age == old)
+
+    def with_field(k: int, new: F.Column) -> F.Column:
+        return F.array_join(F.transform(part, lambda x, i: F.when(i == k, new).otherwise(x)), ";")
+
+    total = (F.get(part, F.lit(5)).cast("long") + 1).cast("string")
+    line = F.when(at("000003", "17"), with_field(3, F.lit("x"))).when(at("000006", "30"), with_field(5, total)).when(
+        at("000007", "40"), with_field(2, F.lit("150"))).when(at("000009", "50"), "000009;short").otherwise(
+        F.col("value"))
+    lines = age_lines(spark, folder).filter(~F.coalesce(at("000005", "20"), F.lit(False))).select(line.alias("value"))
+    path = work_folder(spark, "damaged-ages")
+    lines.write.text(path)
+    stored = delimited.read_lines(spark, path)
+    found = delimited.shape_gates(stored, AGE_TABLE)
+    return admission.age_table_gates(delimited.parse(stored, AGE_TABLE), found=found).frame()
 
 
 @query(AGE_ROWS + """ SELECT municipality, sex, age, n FROM (
@@ -151,9 +192,19 @@ def slice_series(spark: SparkSession, folder: str) -> DataFrame:
                          F.element_at("dimensions", "age").alias("age_range"))
 
 
-@query()
+@query(MARGINS + """, cells AS (SELECT region, sex, age FROM demography JOIN locality USING (municipality) GROUP BY ALL)
+  """ + report_sql({
+    "counts": "cells WHERE age IN (20, 30)", "row_shape": "(SELECT 1 WHERE FALSE)", "domain_SEX": "cells WHERE age = 10",
+    "domain_NOTE_AGE": "cells WHERE region = '02'", "domain_UNIT_MEAS": "cells WHERE age = 40"}))
 def slice_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """The report on a slice whose codes and values are damaged by a rule on age and region."""
     rows = delimited.read_text_table(spark, slice_csv(spark, folder), SLICE)
+    age = F.col("AGE")
+    rows = rows.withColumns({
+        "SEX": F.when(age == "Y10", "3").otherwise(F.col("SEX")),
+        "OBS_VALUE": F.when(age == "Y20", "-1").when(age == "Y30", "n/a").otherwise(F.col("OBS_VALUE")),
+        "NOTE_AGE": F.when(F.col("REF_AREA") == "02", "x").otherwise(F.col("NOTE_AGE")),
+        "UNIT_MEAS": F.when(age != "Y40", F.col("UNIT_MEAS"))})
     return delimited.profile_gates(
         rows, {"SEX": ["1", "2"], "NOTE_AGE": ["", "open"], "UNIT_MEAS": ["9"]}).frame()
 

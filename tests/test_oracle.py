@@ -36,4 +36,4 @@ def test_query_equals_sql(spark, tables, name):
 def test_every_query_has_sql_or_is_listed():
     registry.load()
     without = set(registry.QUERIES) - set(registry.ORACLE)
-    assert without == {"age_table_gates", "slice_gates", "text_manifest", "file_digests"}
+    assert without == {"text_manifest", "file_digests"}
