@@ -2,10 +2,11 @@
 
 The table is split again and again, each time along the dimension that is widest in the node, at
 the weighted quantile that gives both sides their share of the leaves, until every node is one
-leaf. A quantile is found by weighted histograms of
-4096 bins for all nodes of a level at once, first of the dimension, then, inside the bin where the
-quantile lies, of a hash of the group, then of a hash of the row. Only the cuts, at most one for
-each shard, reach the driver; rows are never sorted or moved to find them.
+leaf. The dimensions are what a text tells about itself: its bytes, and the shares of other letters,
+white space and digits. A quantile is found by weighted histograms of 4096 bins for all nodes of a level
+at once, first of the dimension. Only inside the bin where the quantile lies, ties are divided by a hash
+of the group, then by a hash of the row, which differs between copies of a row. Only the cuts, at most
+one for each shard, reach the driver; rows are never sorted or moved to find them.
 
 A cut between two groups is taken if it is off by at most `SLACK` of a shard's weight; otherwise
 the group at the cut is larger than that and is divided. So equal texts stay together unless that
@@ -25,10 +26,14 @@ ROWS_PER_PIECE = 200_000
 
 
 def text_dimensions(text: Column) -> list[Column]:
-    """Dimensions from 0 to 1 that depend on the text only: length, share of other letters, hash."""
-    size = F.octet_length(text)
-    return [F.log2(size + 1) / 40, 1 - F.char_length(text) / F.greatest(size, F.lit(1)),
-            F.crc32(text) / F.lit(2.0**32)]
+    """Dimensions from 0 to 1 that depend on the text only: length, shares of other letters, white space
+    and digits."""
+    size, chars = F.octet_length(text), F.char_length(text)
+
+    def share(signs: str) -> Column:
+        return 1 - F.char_length(F.translate(text, signs, "")) / F.greatest(chars, F.lit(1))
+
+    return [F.log2(size + 1) / 40, 1 - chars / F.greatest(size, F.lit(1)), share(" \t\n\r"), share("0123456789")]
 
 
 def tree(rows: DataFrame, n_shards: int, dimensions: list[str]) -> DataFrame:
@@ -131,15 +136,17 @@ def shard_documents(documents: DataFrame, n_shards: int = 24, doc_id: str = "doc
     texts are read once; all else works on a stored table of a few numbers a row.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    dims = [f"_d{i}" for i in range(3)]
+    dims = [f"_d{i}" for i in range(4)]
+    # Rows of the stored table keep this number, so copies of a row are told apart.
+    number = F.monotonically_increasing_id()
     rows = materialize(documents.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"), F.pmod(F.xxhash64(body), F.lit(BINS)).cast("int").alias("_group"),
-        F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(BINS)).cast("int").alias("_row"),
+        F.pmod(F.xxhash64(doc_id, number), F.lit(BINS)).cast("int").alias("_row"), number.alias("_number"),
         *[F.least(F.floor(d * BINS), F.lit(BINS - 1)).cast("int").alias(name)
           for d, name in zip(text_dimensions(body), dims)]), "shard-keys")
     placed = tree(rows.withColumn("_weight", F.col("size")), n_shards, dims)
-    out = slots(placed.select("doc_id", "size", "text_crc32", F.col("_node").cast("int").alias("shard")),
-                "shard", "doc_id")
+    out = slots(placed.select("doc_id", "size", "text_crc32", "_number", F.col("_node").cast("int").alias("shard")),
+                "shard", "_number")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                       F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
