@@ -80,7 +80,7 @@ def test_validation_reads_zero_error_and_zeros_are_kept(published):
 def test_read_queries(published):
     tables = published[3]
     spread = queries.distribution(tables["population_cells"], 1, municipality="970012")
-    assert rows(spread.select("age", "sex", "persons"))[:2] == [(3, "F", 4), (3, "M", 2)]
+    assert rows(spread.filter("age = 3").select("age", "sex", "persons")) == [(3, "F", 4), (3, "M", 2)]
     assert queries.distribution(tables["population_cells"], 1, province="980", sex="M").agg(
         F.sum("persons")).first()[0] == 10
     home = queries.household(tables["population_households"], tables["population_persons"], 1, 1)
