@@ -10,9 +10,12 @@ query block meets every candidate block: a stated query set against all rows. Ca
 where they are dealt; the query blocks are copied to each group of them. A meeting gives the k best
 of its block for each query, and the best of those are the result.
 
-Unusual rows: vectors that are null, or hold null or non-finite components, or a component of 2**25
-or more, take no part, as do rows with a null id. Vectors of another length than the query are no
-candidates. Rows with the query's id are its own. Equal scores are ordered by id.
+Scores are whole numbers of any size: a block whose products may pass 2**53 is multiplied in Python's
+integers. A score beyond a long is written as the largest or smallest long.
+
+Unusual rows: vectors that are null, or hold null or non-finite components, take no part, as do rows with
+a null id. Vectors of another length than the query are no candidates. Rows with the query's id are its
+own. A query id with different vectors asks with all of them. Equal scores are ordered by id.
 """
 
 from __future__ import annotations
@@ -22,24 +25,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIVOTS = 16
 SAMPLE = 1000
 CANDIDATES = 4096
 QUERIES = 512
-BLOCKS_PER_GROUP = 8
-LIMIT = float(1 << 25)
+BLOCKS_PER_GROUP = 2
+LONG = (1 << 63) - 1
 
 
 def whole_vectors(table: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
-    """(id, v) with v = floor(scale * component), for the rows that take part."""
-    scaled = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    """(id, v) with v = floor(scale * component) as doubles, for the rows that take part."""
+    # Doubles of 2**52 and more are whole already; Spark's floor would turn them into longs.
+    def whole(x: Column) -> Column:
+        y = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+
     good = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (
-        F.abs(x.cast("double")) < LIMIT / scale)) & F.col(vec_id).isNotNull()
-    return table.filter(good).select(F.col(vec_id).cast("long").alias("id"),
-                                     F.transform(scaled, lambda x: x.cast("int")).alias("v"))
+        F.abs(F.lit(scale) * x.cast("double")) < float("inf"))) & F.col(vec_id).isNotNull()
+    return table.filter(good).select(F.col(vec_id).cast("long").alias("id"), F.transform(vector, whole).alias("v"))
 
 
 def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -71,10 +77,12 @@ def packed(vectors: DataFrame, size: int, pivots) -> DataFrame:
                 x = values[(ends[rows][:, None] + np.arange(dim)[None, :]).reshape(-1)].reshape(len(rows), dim)
                 table = pivots.value.get(int(dim), np.zeros((0, int(dim))))
                 for lo in range(0, len(rows), size):
-                    part = x[lo:lo + size].astype("<i4")
+                    part = x[lo:lo + size]
+                    small = np.abs(part).max(initial=0) < 2.0**31
                     far = np.sqrt(np.maximum(((part[:, None, :] - table[None]) ** 2).sum(axis=2), 0)) if len(
                         table) else np.zeros((len(part), 0))
-                    out.append((int(dim), ids[rows[lo:lo + size]].tobytes(), part.tobytes(), far.tobytes()))
+                    out.append((int(dim), ids[rows[lo:lo + size]].tobytes(), part.astype("<i4" if small else "<f8").tobytes(),
+                                far.tobytes()))
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
@@ -83,44 +91,60 @@ def packed(vectors: DataFrame, size: int, pivots) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, ids binary, vectors binary, far binary")
 
 
-def best_of_block(q: tuple, c: tuple, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best candidates of one block for each query of another."""
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores, ties to the smaller id."""
+    if scores.dtype == object:
+        keep = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+    else:
+        keep = np.lexsort((ids, -scores))[:k]
+    return scores[keep], ids[keep]
+
+
+def products(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products of whole numbers, as longs or as Python's integers."""
+    if exact:
+        return (x @ q).astype(np.int64)
+    ints = [int(b) for b in q]
+    return np.array([sum(int(a) * b for a, b in zip(row, ints)) for row in x], object)
+
+
+def best_of_block(q: tuple, c: tuple, k: int) -> list[tuple[int, int, int, float]]:
+    """(query, candidate, score, size) of the k best candidates of one block for each query of another."""
     (q_ids, q, q_far), (ids, x, far) = q, c
-    # Products are exact in doubles below 2**53; beyond, whole numbers are multiplied.
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
-    kind = np.float64 if top < 2.0**53 else np.int64
-    q, x = q.astype(kind), x.astype(kind)
-    x_norm = (x.astype(float) ** 2).sum(axis=1)
+    # Products are exact in doubles below 2**53; beyond, Python's integers are multiplied.
+    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1) < 2.0**53
+    x_norm = (x * x).sum(axis=1)
     out = []
     for i in range(len(q_ids)):
-        q_norm = float((q[i].astype(float) ** 2).sum())
-        bound = np.sqrt(q_norm * x_norm)
+        q_norm = float((q[i] * q[i]).sum())
+        bound = np.sqrt(q_norm) * np.sqrt(x_norm)
         if far.shape[1]:
             apart = np.abs(far - q_far[i]).max(axis=1)
             bound = np.minimum(bound, (q_norm + x_norm - apart * apart) / 2)
-        # Room for rounding in the distances.
+        # Room for rounding in the distances; what is beyond doubles is looked at first.
         bound = bound + 1 + 1e-9 * (q_norm + x_norm)
+        bound[~np.isfinite(bound)] = np.inf
         bound[ids == q_ids[i]] = -np.inf
         order = np.argsort(-bound, kind="stable")
-        order = order[:int(np.searchsorted(-bound[order], np.inf))]
-        found_ids, found, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 64
+        order = order[:len(order) - int((bound == -np.inf).sum())]
+        scores, found = np.zeros(0, np.int64 if exact else object), np.zeros(0, np.int64)
+        at, step = 0, 64
         while at < len(order):
-            if len(found) == k and bound[order[at]] < found[-1]:
+            if len(found) == k and bound[order[at]] < scores[-1]:
                 break
             some = order[at:at + step]
-            found = np.concatenate([found, (x[some] @ q[i]).astype(np.int64)])
-            found_ids = np.concatenate([found_ids, ids[some]])
-            keep = np.lexsort((found_ids, -found))[:k]
-            found, found_ids = found[keep], found_ids[keep]
+            scores, found = best(np.concatenate([scores, products(x[some], q[i], exact)]),
+                                 np.concatenate([found, ids[some]]), k)
             at, step = at + step, step * 2
-        out += zip([int(q_ids[i])] * len(found), found_ids.tolist(), found.tolist())
+        out += [(int(q_ids[i]), other, max(-LONG - 1, min(LONG, s)), float(s))
+                for other, s in zip(found.tolist(), scores.tolist())]
     return out
 
 
 def top_k(table: DataFrame, queries, vec_id: str, vector: str, k: int = 5, scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that the condition `queries` selects."""
     vectors = whole_vectors(table, vec_id, vector, scale)
-    asked = whole_vectors(table.filter(queries), vec_id, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
+    asked = whole_vectors(table.filter(queries), vec_id, vector, scale).distinct()
     context = table.sparkSession.sparkContext
     pivots = context.broadcast(choose_pivots(vectors))
     n = max(1, vectors.count())
@@ -136,16 +160,18 @@ def top_k(table: DataFrame, queries, vec_id: str, vector: str, k: int = 5, scale
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def block(dim, ids, vectors, far):
             ids = np.frombuffer(ids, np.int64)
-            return (ids, np.frombuffer(vectors, "<i4").reshape(len(ids), dim),
+            kind = "<i4" if len(vectors) == 4 * len(ids) * dim else "<f8"
+            return (ids, np.frombuffer(vectors, kind).reshape(len(ids), dim).astype(float),
                     np.frombuffer(far, float).reshape(len(ids), -1))
 
         for frame in frames:
             for r in frame.itertuples(index=False):
                 yield pd.DataFrame(best_of_block(block(r.dim, r.q_ids, r.q_vectors, r.q_far),
                                                  block(r.dim, r.ids, r.vectors, r.far), k),
-                                   columns=["query_id", "vec_id", "score"], dtype="int64")
+                                   columns=["query_id", "vec_id", "score", "size"])
 
-    found = meetings.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = meetings.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint, size double")
+    # The size ranks scores that a long cannot tell apart.
+    order = Window.partitionBy("query_id").orderBy(F.col("size").desc(), F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int"), "vec_id", "score")
