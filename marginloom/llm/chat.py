@@ -1,6 +1,6 @@
 """Chat formatting with typed content parts.
 
-A turn is a list of parts: text, image, audio or document. A visitor goes through the parts of all
+A turn is a list of parts: text, image, audio, document, or any other kind with a reference. A visitor goes through the parts of all
 turns in order and writes them flat: text is escaped and copied, any other part becomes a numbered
 placeholder, its reference goes to the list of attachments, and its token count is what the
 placeholder will expand to.
@@ -13,7 +13,7 @@ restores it. The mask of the loss covers what the assistant says, without the ma
 Every turn is formatted on its own, so long conversations spread over all tasks. What needs the
 turns of a conversation in order reads them as a sorted stream and holds one turn at a time.
 
-Unusual rows: a null text or part list is empty, a null role is written as an empty one, turns with
+Unusual rows: a null text or part list is empty, a part without a kind is text, a null role is written as an empty one, turns with
 equal numbers are ordered by role and text, a null turn number comes first, and rows with a null
 conversation id are one conversation.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 LOSS_ROLE = "assistant"
-# Tokens of one unit (a tile, a second, a page) of each kind of part.
+# Tokens of one unit (a tile, a second, a page) of each kind of part; one of a kind not listed here.
 TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 512}
 PARTS = "array<struct<type:string,text:string,ref:string,units:int>>"
 
@@ -50,27 +50,32 @@ def text_part(text: Column) -> Column:
                             F.lit(None).cast("string").alias("ref"), F.lit(0).alias("units"))).cast(PARTS)
 
 
+def _attached(part: Column) -> Column:
+    """Whether a part is anything but text."""
+    return F.coalesce(part["type"], F.lit("text")) != "text"
+
+
 def _visit(part: Column, number: Column) -> Column:
     """What one part becomes: string written, attachment (null for text), expanded tokens."""
-    kind = F.coalesce(part["type"], F.lit("text"))
-    known = kind.isin(list(TOKENS_PER_UNIT))
+    kind = part["type"]
     tokens = F.coalesce(part["units"], F.lit(1)) * F.coalesce(
-        *[F.when(kind == k, F.lit(n)) for k, n in TOKENS_PER_UNIT.items()], F.lit(0))
-    mark = F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
-    return F.struct(F.when(known, mark).otherwise(escape(part["text"])).alias("out"),
-                    F.when(known, F.struct(kind.alias("kind"), part["ref"].alias("ref"),
+        *[F.when(kind == k, F.lit(n)) for k, n in TOKENS_PER_UNIT.items()], F.lit(1))
+    mark = F.concat(F.lit("<|"), escape(kind), F.lit(":"), number.cast("string"), F.lit("|>"))
+    return F.struct(F.when(_attached(part), mark).otherwise(escape(part["text"])).alias("out"),
+                    F.when(_attached(part), F.struct(kind.alias("kind"), part["ref"].alias("ref"),
                                            tokens.alias("tokens"))).alias("attachment"))
 
 
 def format_turns(turns: DataFrame, parts: str = "parts", role: str = "role") -> DataFrame:
-    """Add `formatted`, `loss_start`, `loss_length` and `attachments` to every turn.
+    """Add `formatted`, `loss_start`, `loss_length` and `attachments` to every turn; columns of these
+    names must not be there.
 
     The loss span counts code points of `formatted`; its length is 0 for other roles. Parts that are
     no text are numbered from 0 in the turn, in their order; attachments have kind, ref, tokens.
     """
     listed = F.coalesce(F.col(parts), F.array().cast(PARTS))
     visited = F.transform(listed, lambda p, i: _visit(p, F.size(F.filter(
-        F.slice(listed, F.lit(1), i), lambda q: q["type"].isin(list(TOKENS_PER_UNIT))))))
+        F.slice(listed, F.lit(1), i), _attached))))
     shown = F.coalesce(F.col(role), F.lit(""))
     head = F.concat(F.lit(TURN), escape(shown), F.lit(BODY))
     rows = turns.withColumn("_v", visited).withColumn("_head", head).withColumn(
