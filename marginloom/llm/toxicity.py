@@ -11,8 +11,10 @@ the sums of v and v**2, in time linear in the terms.
 The model is fitted on a bounded sample: the `SAMPLE` labelled rows with the smallest hashes of
 their ids. Terms take part that occur in at least `MIN_ROWS` of them and whose presence goes with the label
 (chi-square of `MIN_CHI` or more), `MAX_TERMS` at most: the chance terms of a small sample would
-otherwise outweigh the few that matter. Training is one task over that sample; all texts are scored
-whole.
+otherwise outweigh the few that matter. So do terms that matter only together: of the `PAIRED` most
+frequent terms in up to `COMMON` of the rows, pairs whose common rows have other labels than the rows of
+either term have (both chi-squares `PAIR_CHI` or more, which no pair of half a million reaches by chance).
+Training is one task over that sample; all texts are scored whole.
 
 Unusual rows: a null or empty text has the score of the bias; rows without a label, or with a null
 one, are only scored; without any usable label all scores are the prior of
@@ -36,6 +38,9 @@ SAMPLE = 20_000
 MIN_ROWS = 4
 MIN_CHI = 16.0
 MAX_TERMS = 1 << 14
+PAIRED = 1024
+COMMON = 0.6
+PAIR_CHI = 40.0
 FACTORS = 4
 EPOCHS = 30
 BATCH = 128
@@ -89,6 +94,30 @@ class Model:
             return Model(float(x["bias"]), x["buckets"], x["w"], x["v"])
 
 
+def paired_terms(back: np.ndarray, owner: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose common rows differ in the label from the rows of either term."""
+    often = np.flatnonzero((rows >= PAIR_CHI) & (rows <= COMMON * len(labels)))
+    often = np.sort(often[np.lexsort((often, -rows[often]))][:PAIRED])
+    if len(often) < 2:
+        return often[:0]
+    number = np.full(len(rows), -1)
+    number[often] = np.arange(len(often))
+    at = number[back]
+    both, marked = (np.zeros((len(often),) * 2, np.float32) for _ in range(2))
+    for lo in range(0, len(labels), 4096):  # the sample's incidence, a slice of rows at a time
+        some = (at >= 0) & (owner >= lo) & (owner < lo + 4096)
+        x = np.zeros((min(4096, len(labels) - lo), len(often)), np.float32)
+        x[owner[some] - lo, at[some]] = 1
+        both += x.T @ x
+        marked += x.T @ (x * labels[lo:lo + 4096, None].astype(np.float32))
+    share = np.diag(marked) / np.maximum(np.diag(both), 1)
+    expected = both * share
+    spread = np.maximum(expected * (1 - share), 1e-9 + both * 1e-3)
+    chi = (marked - expected) ** 2 / spread
+    strong = (np.minimum(chi, chi.T) >= PAIR_CHI) & (both >= MIN_ROWS)
+    return often[strong.any(axis=1)]
+
+
 def fit(lists: list[np.ndarray], labels: np.ndarray) -> Model:
     """Adam on the logistic loss, over rows in a fixed random order."""
     rng = np.random.default_rng(1)
@@ -101,7 +130,8 @@ def fit(lists: list[np.ndarray], labels: np.ndarray) -> Model:
     spread = np.maximum(rows * share * (1 - share) * (1 - rows / max(len(labels), 1)), 1e-9)
     chi = np.where(rows >= MIN_ROWS, (marked - rows * share) ** 2 / spread, 0)
     chosen = np.flatnonzero(chi >= MIN_CHI)
-    chosen = np.sort(chosen[np.lexsort((buckets[chosen], -chi[chosen]))][:MAX_TERMS])
+    chosen = chosen[np.lexsort((buckets[chosen], -chi[chosen]))][:MAX_TERMS]
+    chosen = np.union1d(chosen, paired_terms(back, owner, rows, labels))
     number = np.full(len(buckets), -1)
     number[chosen] = np.arange(len(chosen))
     place, buckets = number[back], buckets[chosen]

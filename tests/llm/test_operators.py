@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -187,6 +188,62 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (301, 302, 303, 304))
 
 
+def test_other_kinds_of_parts_are_kept(spark):
+    rows = [("user", [("video", None, "v.mp4", 4), (None, "a", None, None), ("x<|y", "t", "r", None)])]
+    turn = chat.format_turns(spark.createDataFrame(rows, f"role string, parts {chat.PARTS}")).first()
+    assert turn.formatted == "<|turn|>user<|body|><|video:0|>a<|x<\\|y:1|><|end|>"
+    assert [tuple(a) for a in turn.attachments] == [("video", "v.mp4", 4), ("x<|y", "r", 1)]
+
+
+def test_top_k_of_large_and_repeated_queries(spark):
+    ship(spark)
+    rows = [(0, [1.0, 0.0]), (0, [0.0, -1.0]), (1, [200000.0, 3.0]), (2, [-5.0, -1e20]), (3, [1e30, 1e30]),
+            (4, [0.5, 0.25]), (50, [1e10, 1e9])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0,
+                     "vec_id", "embedding").collect()
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    expected = []
+    for q in (0, 50):
+        scored = sorted(((-sum(a * b for a, b in zip(v, w)), i) for j, v in whole if j == q
+                         for i, w in whole if i != q))[:5]
+        expected += [(q, n + 1, i, max(-2**63, min(2**63 - 1, -s))) for n, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+@pytest.mark.parametrize("rows", [
+    [(None, "one text")] * 2400, [(7, "one text")] * 2400,
+    [(i, f"text {i % 40} " + "long " * (i % 97)) for i in range(3000)] + [(None, "copy " * 300)] * 900])
+def test_shards_of_near_equal_bytes(spark, rows):
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    sizes, texts = Counter(), Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+        texts[r.text_crc32, r.shard] += 1
+    assert len(got) == len(rows) and set(sizes) == set(range(24))
+    mean = sum(sizes.values()) / 24
+    assert max(abs(n - mean) for n in sizes.values()) < 0.1 * mean
+    for shard in sizes:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    # A text stands in more than one shard only if a cut had to divide it.
+    split = Counter(t for t, _ in texts)
+    assert sum(n > 1 for n in split.values()) <= 23
+
+
+@pytest.mark.parametrize("rule", ["xor", "and"])
+def test_toxicity_of_pairs(spark, rule):
+    ship(spark)
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(4000):
+        a, b = rng.integers(2, size=2)
+        words = [f"w{x}" for x in rng.integers(0, 300, 20)] + ["scum"] * a + ["group"] * b
+        rows.append((i, " ".join(rng.permutation(words)), int(a != b if rule == "xor" else a and b)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame, frame.drop("text"), ~language.held_out(), "toxic")
+    got = {r.doc_id: r.score for r in toxicity.score(frame.filter(language.held_out()), model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(label) for i, _, label in rows if i in got]) > 0.97
+
+
 def test_vectors_of_any_size(spark):
     rows = [(1, [1e300, 0.0]), (2, [1e300, 0.0]), (3, [1e-60, 1e-60]), (4, [1e-60, 1e-60]), (5, [5e-324, 0.0]),
             (6, [1e300, -1e-300]), (7, [-1.0, 0.0]), (None, [3e200, 3e200]), (2, [0.0, 7.0]), (8, [float("nan"), 1.0])]
