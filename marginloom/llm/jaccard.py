@@ -22,11 +22,11 @@ Groups of any size stay linear:
 * a block shared by many classes gives the pairs (smallest class, other class) only. Map tasks do
   this for the rows they hold before anything is shuffled, then it is done for the rest;
 * a pair goes on if the sizes and the folded sketches allow a link. Of each class, the pair with the
-  nearest smaller class is verified on the texts first;
-* then pairs between classes that are not in one component yet are verified: what is left of the pairs
-  above, and, in a block whose classes are in several components, what is outside its largest component
-  with all of it, where sizes and sketches allow a link. Large blocks are compared in pieces of bounded
-  size. A linked pair shares a block, so no link between different components is lost.
+  nearest smaller class is verified on the texts first, then the other pairs between classes that are
+  not in one component yet;
+* then, in a block whose classes are still in several components, what is outside its largest component is
+  compared with all of it where sizes and sketches allow a link. Large blocks are compared in pieces of
+  bounded size. A linked pair shares a block, so no link between different components is lost.
 
 Unusual rows: a null text, a text without words and an empty text have an empty set, are linked
 with nothing and are a component of their own. Rows with a repeated id and equal text are one class.
@@ -367,16 +367,21 @@ def grouped(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str
     near = materialize(near_pairs(blocks, classes, threshold), "near")
     best = materialize(near.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("first")).select(
         "first.a", "b"), "nearest")
-    links = compared(documents, classes, best, width, percent)
-    roots = components(links)
-    more = near.select("a", "b").union(across(blocks, classes, roots, threshold)).distinct().join(
-        best, ["a", "b"], "left_anti")
-    more = rooted(rooted(more, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
-    again = compared(documents, classes, materialize(more, "across"), width, percent)
-    joined = components(between(again, roots)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    labels = rooted(classes.select("node"), roots, "node", "root").join(joined, "root", "left").select(
-        "node", F.coalesce("top", "root").alias("root"))
-    return rows.join(labels, "node", "left").select(*keep, "id", "n", F.coalesce("root", "node").alias("root"))
+    roots = classes.select("node", F.col("node").alias("root"))
+    # First the nearest pair of each class, then the other pairs that may join components. Only blocks
+    # that are open after these are compared further.
+    tried = near.select("a", "b")
+    for pairs in (best, tried, None):
+        if pairs is None:
+            pairs = across(blocks, classes, roots, threshold).join(tried, ["a", "b"], "left_anti")
+        elif pairs is tried:
+            pairs = apart_still(tried.join(best, ["a", "b"], "left_anti"), roots)
+        wanted = materialize(pairs, "pairs")
+        if not wanted.isEmpty():
+            # Stored, so that comparing and contracting do not keep Python workers at the same time.
+            links = materialize(compared(documents, classes, wanted, width, percent), "links")
+            roots = merged(roots, links)
+    return rows.join(roots, "node", "left").select(*keep, "id", "n", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id",
@@ -396,10 +401,18 @@ def survivors(rows: DataFrame, key: str) -> DataFrame:
         first, F.max("n").alias("n")).select(f"first.{key}", "n")
 
 
-def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) of roots that pairs of classes join."""
-    out = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb")
-    return out.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+def apart_still(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes in different components."""
+    return rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots (node, root) after links (a, b) have joined components."""
+    joins = rooted(rooted(links, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select(
+        F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    top = components(joins).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return materialize(roots.join(top, "root", "left").select(
+        "node", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def named(labelled: DataFrame, doc_id: str) -> DataFrame:
