@@ -200,6 +200,11 @@ class Automaton:
             self.words[word] = found
         return found
 
+    def forget(self) -> None:
+        """Empty the caches: the workers stay for other stages, which need the memory."""
+        self.words.clear()
+        self.arcs.clear()
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text of any characters; null: none."""
         parts = [text] if self.special is None or not text else self.special.split(text)
@@ -351,5 +356,6 @@ def encode_documents(documents: DataFrame, path: str, text: str = "text",
                             pa.array([hashlib.sha256(automaton.decode(r).encode()).hexdigest()
                                       for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names)
+        automaton.forget()
 
     return documents.select(*kept, text).mapInArrow(run, ", ".join(fields))
