@@ -26,26 +26,39 @@ def open_end(date: Column) -> Column:
     return F.coalesce(date, F.lit(_OPEN_END).cast("date"))
 
 
-def cover(start: Column, end: Column) -> Column:
-    """Array of (level, cell), the maximal cells inside [start, end); empty if end <= start."""
-    def inside(level: Column) -> tuple[Column, Column]:
-        size = F.pow(F.lit(2), level)
-        return F.ceil(start / size), F.floor(end / size) - 1
+def _top_level(days: Column) -> Column:
+    """Largest level of a cell that fits into so many days; NULL if none does."""
+    return F.when(days > 0, F.least(F.floor(F.log2(days + 0.5)), F.lit(LEVELS - 1)).cast("int"))
 
-    def at(level: Column) -> Column:
-        low, high = inside(level)
-        above_low, above_high = inside(level + 1)
-        cells = F.array_distinct(F.array(low, high))
-        return F.transform(F.filter(cells, lambda c: c.between(low, high) & ~F.floor(c / 2).between(
-            above_low, above_high)), lambda c: F.struct(level.alias("level"), c.alias("cell")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+def _addressed(df: DataFrame, keys: Sequence[str], cell: Column) -> DataFrame:
+    """`_at` is level and cell; `_slot`, a hash of it and the keys, decides a merge sort by one long."""
+    at = F.shiftleft(F.col("_level").cast("long"), 32) + cell
+    return df.withColumn("_at", at).withColumn("_slot", F.xxhash64(*keys, "_at"))
 
 
-def cells_of(day: Column) -> Column:
-    """Array of (level, cell): the cell of each size that holds the day."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(
-        k.alias("level"), F.floor(day / F.pow(F.lit(2), k)).alias("cell")))
+def with_cover(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Each row once for every maximal cell inside [start, end); not at all if end <= start."""
+    first, last = F.col("_first"), F.col("_last")
+    rows = df.withColumns({"_first": day_number(F.col(start)), "_last": day_number(open_end(F.col(end)))}).withColumn(
+        "_level", F.explode(F.sequence(F.lit(0), _top_level(last - first))))
+    ends = {}
+    for name, level in (("", "_level"), ("_above", "_level + 1")):
+        ends[f"_low{name}"] = F.expr(f"shiftright(_first + shiftleft(1, {level}) - 1, {level})")
+        ends[f"_high{name}"] = F.expr(f"shiftright(_last, {level}) - 1")
+    rows = rows.withColumns(ends)
+    cells = F.when(F.col("_low") < F.col("_high"), F.array("_low", "_high")).when(
+        F.col("_low") == F.col("_high"), F.array("_low"))
+    rows = rows.withColumn("_cell", F.explode(cells)).filter(
+        ~F.shiftright("_cell", 1).between(F.col("_low_above"), F.col("_high_above")))
+    return _addressed(rows, keys, F.col("_cell")).drop("_first", "_last", "_level", "_cell", *ends)
+
+
+def with_cells(df: DataFrame, keys: Sequence[str], day: str, top: Column) -> DataFrame:
+    """Each row once for the cell of every size up to `top` that holds the day."""
+    rows = df.withColumn("_day", day_number(F.col(day))).withColumn(
+        "_level", F.explode(F.when(top >= 0, F.sequence(F.lit(0), top))))
+    return _addressed(rows, keys, F.expr("shiftright(_day, _level)")).drop("_day", "_level")
 
 
 def containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str,
@@ -53,12 +66,13 @@ def containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poi
     """Rows of both sides with equal keys where the point lies in [start, end).
 
     Columns other than the keys must differ between the sides. A key with very many rows is spread
-    over its cells.
+    over its cells. Points take only the sizes that fit into the longest interval. Neither side is
+    broadcast: the planner sees them before they are multiplied by their cells.
     """
-    left = points.withColumn("_at", F.explode(cells_of(day_number(F.col(point)))))
-    right = intervals.withColumn("_at", F.explode(cover(
-        day_number(F.col(start)), day_number(open_end(F.col(end))))))
-    return left.join(right, [*keys, "_at"]).drop("_at")
+    longest = intervals.agg(F.max(day_number(open_end(F.col(end))) - day_number(F.col(start)))).scalar()
+    left = with_cells(points, keys, point, _top_level(longest))
+    right = with_cover(intervals, keys, start, end)
+    return left.join(right.hint("merge"), ["_slot", "_at", *keys]).drop("_slot", "_at")
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], first: tuple[str, str],

@@ -125,7 +125,7 @@ def order_versions(spark: SparkSession, folder: str, days: int) -> DataFrame:
     customer = star.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("scheme"))
     day = F.col("o_orderdate").cast("date")
-    return orders.join(customer, "o_custkey").select(
+    return orders.join(customer.hint("merge"), "o_custkey").select(
         "scheme", F.col("o_custkey").cast("string").alias("code"), day.alias("valid_from"),
         F.date_add(day, days).alias("valid_to"), "o_orderkey")
 

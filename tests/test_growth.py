@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from marginloom.operators import intervals
 from marginloom.plans import audit, star
 from marginloom.session import materialize
 
@@ -34,3 +35,23 @@ def test_audit_never_broadcasts_members_or_households(homes):
 
 def test_customers_and_orders_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(star.placed_orders(spark, "/root/testdata/sf0.001"))
+
+
+def test_points_take_only_sizes_that_fit_into_the_longest_interval(spark):
+    """Overlaps agree with a comparison of all pairs, and a day is not multiplied by sizes that no interval has."""
+    rows = [("a", i % 3, f"2000-01-{1 + i * 5 % 28:02d}", length) for i, length in enumerate((1, 2, 3, 4, 7, 8, 9, 16, 0, -2) * 4)]
+    df = spark.createDataFrame(rows, "s string, k int, d string, n int").select(
+        "s", "k", F.col("d").cast("date").alias("a"), F.expr("date_add(cast(d as date), n)").alias("b"))
+    other = df.select("s", "k", F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    open_ended = other.withColumn("y", F.when(F.dayofmonth("x") != 11, F.col("y")))
+    for right in (other, open_ended):
+        end = F.coalesce("y", F.lit("9999-12-31").cast("date"))
+        expected = df.join(right, ["s", "k"]).filter(
+            ((F.col("x") < F.col("a")) & (F.col("a") < end)) | ((F.col("a") < F.col("x")) & (F.col("x") < F.col("b"))))
+        found = intervals.overlapping(df, right, ["s", "k"], ("a", "b"), ("x", "y"))
+        assert sorted(map(tuple, found.select(*expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+        assert found.count() > 0
+    longest = intervals._top_level(F.lit(120))
+    assert intervals.with_cells(df, ["s", "k"], "a", longest).count() == 7 * df.count()
+    tops = spark.range(-1, 1025).select("id", intervals._top_level(F.col("id")).alias("top")).collect()
+    assert all(r.top == (r.id.bit_length() - 1 if r.id > 0 else None) for r in tops)
