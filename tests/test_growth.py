@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginloom.operators import intervals
-from marginloom.plans import audit, star
+from marginloom.plans import audit, releases, run, star
 from marginloom.session import materialize
 
 
@@ -55,3 +55,13 @@ def test_points_take_only_sizes_that_fit_into_the_longest_interval(spark):
     assert intervals.with_cells(df, ["s", "k"], "a", longest).count() == 7 * df.count()
     tops = spark.range(-1, 1025).select("id", intervals._top_level(F.col("id")).alias("top")).collect()
     assert all(r.top == (r.id.bit_length() - 1 if r.id > 0 else None) for r in tops)
+
+
+def test_manifest_of_a_run_is_the_sum_of_its_batches(spark):
+    """A run's tables are digested once, batch by batch."""
+    tables = {"a": spark.range(100).selectExpr("id", "id % 3 as province"),
+              "b": spark.range(10).selectExpr("id * 7 as id", "id % 2 as province")}
+    batches = run.batch_manifest(tables, "province").select("province", "table", "rows", "content")
+    batches = batches.unionByName(batches)  # a batch recorded twice counts once
+    assert releases.manifest_mismatches(run.recorded_manifest(batches), tables).isEmpty()
+    assert dict(run.recorded_manifest(batches).dtypes) == dict(releases.table_manifest(tables).dtypes)
