@@ -65,3 +65,20 @@ def test_manifest_of_a_run_is_the_sum_of_its_batches(spark):
     batches = batches.unionByName(batches)  # a batch recorded twice counts once
     assert releases.manifest_mismatches(run.recorded_manifest(batches), tables).isEmpty()
     assert dict(run.recorded_manifest(batches).dtypes) == dict(releases.table_manifest(tables).dtypes)
+
+
+def test_margins_read_lines_once_and_count_every_order(spark, tmp_path):
+    """An order keeps its size if the supplier of a line is unknown; that line is in no cell."""
+    lines = [(1, 10, "O", 5.0), (1, 99, "O", 5.0), (2, 10, "F", 60.0), *[(3, 10, "F", 60.0)] * 8, (4, 10, "O", 5.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linestatus string, l_quantity double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "o_orderkey long, o_custkey long").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, 1), (8, 2)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10, 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 0), (2, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    found = star.margins(spark, str(tmp_path))
+    assert sorted(map(tuple, found.households.collect())) == [("000001", 1, 1), ("000001", 2, 1), ("000002", 6, 1)]
+    assert sorted(map(tuple, found.countries.select("municipality", "sex", "code", "n").collect())) == [
+        ("000001", "F", "100", 1), ("000001", "M", "100", 1), ("000002", "F", "201", 8)]
+    assert plan(star.counted_lines(spark, str(tmp_path))).count("ReadSchema: struct<l_orderkey") == 1
