@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marginloom.operators import intervals
 from marginloom.plans import audit, releases, run, star
-from marginloom.session import materialize
+from marginloom.registry import audit as registered
+from marginloom.session import materialize, materialize_all
 
 
 def plan(df) -> str:
@@ -82,3 +83,11 @@ def test_margins_read_lines_once_and_count_every_order(spark, tmp_path):
     assert sorted(map(tuple, found.countries.select("municipality", "sex", "code", "n").collect())) == [
         ("000001", "F", "100", 1), ("000001", "M", "100", 1), ("000002", "F", "201", 8)]
     assert plan(star.counted_lines(spark, str(tmp_path))).count("ReadSchema: struct<l_orderkey") == 1
+
+
+def test_publication_gates_write_persons_once(spark, monkeypatch):
+    """Damage is a projection of stored tables; another stored copy only adds to what is written."""
+    written = []
+    monkeypatch.setattr(registered, "materialize_all", lambda **frames: written.extend(frames) or materialize_all(**frames))
+    assert registered.publication_gates(spark, "/root/testdata/sf0.001").count() == 7
+    assert sorted(written) == ["households", "individuals"]
