@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from marginloom import registry, session
 from marginloom.operators import intervals
 from marginloom.plans import audit, releases, run, star
 from marginloom.registry import audit as registered
@@ -91,3 +92,17 @@ def test_publication_gates_write_persons_once(spark, monkeypatch):
     monkeypatch.setattr(registered, "materialize_all", lambda **frames: written.extend(frames) or materialize_all(**frames))
     assert registered.publication_gates(spark, "/root/testdata/sf0.001").count() == 7
     assert sorted(written) == ["households", "individuals"]
+
+
+def test_queries_store_only_what_they_read_more_than_once(spark, monkeypatch):
+    """Reference tables need no persons, and a package of counted cells generates them once."""
+    written = []
+    folder = session.work_folder
+    monkeypatch.setattr(session, "work_folder", lambda spark, purpose: written.append(purpose) or folder(spark, purpose))
+    expected = {"municipalities_page": ["counted"], "map_regions": ["counted"],
+                "suppressed_package": ["counted", "countries", "households", "persons", "region_cells"]}
+    registry.load()
+    for name, tables in expected.items():
+        written.clear()
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert sorted(written) == tables
