@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from fixtures import REFERENCE, margins
 from pyspark.sql import functions as F
 
 from marginloom import registry, session
 from marginloom.operators import intervals
-from marginloom.plans import audit, releases, run, star
+from marginloom.plans import audit, releases, run, star, synthesize
+from marginloom.plans.margins import Cells
 from marginloom.registry import audit as registered
 from marginloom.session import materialize, materialize_all
 
@@ -100,9 +102,19 @@ def test_queries_store_only_what_they_read_more_than_once(spark, monkeypatch):
     folder = session.work_folder
     monkeypatch.setattr(session, "work_folder", lambda spark, purpose: written.append(purpose) or folder(spark, purpose))
     expected = {"municipalities_page": ["counted"], "map_regions": ["counted"],
-                "suppressed_package": ["counted", "countries", "households", "persons", "region_cells"]}
+                "suppressed_package": ["counted", "countries", "drawn", "households", "persons", "region_cells"],
+                "distribution": ["counted", "countries", "drawn", "households", "persons"]}
     registry.load()
     for name, tables in expected.items():
         written.clear()
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
         assert sorted(written) == tables
+
+
+def test_the_draw_moves_no_expanded_person(spark, monkeypatch):
+    """Persons of a cell are expanded together, so the window of the draw needs no further exchange."""
+    plans = []
+    monkeypatch.setattr(synthesize, "materialize", lambda df, purpose: plans.append(plan(df)) or materialize(df, purpose))
+    cells = Cells.build(margins(spark))
+    assert synthesize.individuals(cells, REFERENCE).count() == 60
+    assert len(plans) == 1 and plans[0].count("Window [") == 1 and plans[0].count("Exchange hashpartitioning") == 1
