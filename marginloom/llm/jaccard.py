@@ -24,7 +24,9 @@ Groups of any size stay linear:
 * a pair goes on if the sizes and the folded sketches allow a link. Of each class, the pair with the
   nearest smaller class is verified on the texts first, then the other pairs between classes that are
   not in one component yet;
-* then, in a block whose classes are still in several components, what is outside its largest component is
+* then, in blocks whose classes are still in several components, a few hubs of each block's own are compared
+  with the rest of the block;
+* at last, in a block whose classes are still in several components, what is outside its largest component is
   compared with all of it where sizes and sketches allow a link. Large blocks are compared in pieces of
   bounded size. A linked pair shares a block, so no link between different components is lost.
 
@@ -55,6 +57,8 @@ FOLD = 16  # words of 64 bits in a folded sketch
 SKETCH = [f"s{k}" for k in range(FOLD)]
 PIECE = 2048
 HUB_PAIRS = 1000
+HUBS = 3
+TURNS = 1
 ONE = np.uint64(1)
 
 
@@ -327,6 +331,23 @@ def rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
     return df.join(found, node, "left").withColumn(root, F.coalesce(root, node))
 
 
+def hubs_in_turn(blocks: DataFrame, classes: DataFrame, roots: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of a few classes of each open block, others in each block, with the rest of the block.
+
+    Near copies share most of their blocks, and the smallest class of all of them is one and the same. With hubs
+    that change from block to block, their components join here at a cost that is linear in the blocks.
+    """
+    members = blocks.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = materialize(rooted(members, roots, "node", "root"), "members")
+    turns = [F.min(F.struct(F.xxhash64("key", "node", F.lit(turn * HUBS + k)).alias("turn"), "node", "root")) for k in range(HUBS)]
+    hubs = rows.groupBy("key").agg(F.array_distinct(F.array(*turns)).alias("hubs"), F.min("root").alias("low"), F.max(
+        "root").alias("high"), F.count("*").alias("all")).filter("low < high AND all > 2").select(
+        "key", F.explode("hubs").alias("hub"))
+    pairs = rows.join(hubs, "key").filter(F.col("root") != F.col("hub.root")).select(
+        F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    return near_pairs(pairs, classes, threshold).select("a", "b")
+
+
 def across(blocks: DataFrame, classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that share a block, are in different components, and whose sketches allow a link.
 
@@ -369,14 +390,16 @@ def grouped(documents: DataFrame, percent: int = 90, width: int = 3, doc_id: str
         "first.a", "b"), "nearest")
     roots = classes.select("node", F.col("node").alias("root"))
     # First the nearest pair of each class, then the other pairs that may join components. Only blocks
-    # that are open after these are compared further.
+    # that are open after these are compared further: with hubs of their own, then by all that is left.
     tried = near.select("a", "b")
-    for pairs in (best, tried, None):
-        if pairs is None:
-            pairs = across(blocks, classes, roots, threshold).join(tried, ["a", "b"], "left_anti")
-        elif pairs is tried:
-            pairs = apart_still(tried.join(best, ["a", "b"], "left_anti"), roots)
-        wanted = materialize(pairs, "pairs")
+    steps = [lambda: best, lambda: apart_still(tried.join(best, ["a", "b"], "left_anti"), roots)]
+    steps += [lambda turn=turn: hubs_in_turn(blocks, classes, roots, threshold, turn).join(
+        tried, ["a", "b"], "left_anti") for turn in range(TURNS)]
+    steps.append(lambda: across(blocks, classes, roots, threshold).join(tried, ["a", "b"], "left_anti"))
+    for k, step in enumerate(steps):
+        wanted = materialize(step(), "pairs")
+        if k > 1:
+            tried = tried.union(wanted)
         if not wanted.isEmpty():
             # Stored, so that comparing and contracting do not keep Python workers at the same time.
             links = materialize(compared(documents, classes, wanted, width, percent), "links")

@@ -46,3 +46,16 @@ def test_sizes_two_bands_apart(spark):
     rows = [(1, BASE), (2, " ".join(BASE.split()[:62]))]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()
     assert {r.component_id for r in got} == {1}
+
+
+def test_open_blocks_get_hubs_of_their_own(spark):
+    """Blocks with one smallest class in common are tried with other hubs, and with few pairs, before all meets all."""
+    size = 40
+    blocks = spark.range(3).selectExpr("id as key").crossJoin(spark.range(1, size).selectExpr("0L as a", "id as b"))
+    classes = spark.range(size).selectExpr("id as node", "100L as n", "id as at", *[f"0L as {c}" for c in jaccard.SKETCH])
+    roots = classes.selectExpr("node", "node as root")
+    pairs = {(r.a, r.b) for r in jaccard.hubs_in_turn(blocks, classes, roots, 0.9, 0).collect()}
+    assert all(a < b for a, b in pairs) and len(pairs) <= 3 * jaccard.HUBS * size
+    assert {n for _, n in pairs} | {n for n, _ in pairs} == set(range(size)) and any(a and b for a, b in pairs)
+    one = classes.selectExpr("node", "0L as root")
+    assert jaccard.hubs_in_turn(blocks, classes, one, 0.9, 0).isEmpty()
