@@ -40,6 +40,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from marginloom.llm.textscan import prefix_hashes, slices, span_hashes
+from marginloom.llm.workers import mapped
 
 # Pattern of byte-level vocabularies; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -284,7 +285,7 @@ def encode_texts(automaton: Automaton, texts: pa.Array) -> tuple[np.ndarray, np.
     plain = np.array([automaton.plain(v) for v in values], bool)
     counts, parts = np.zeros(len(values), np.int64), {}
     rows = np.flatnonzero(plain)
-    for lo, data, offsets in slices(texts.filter(pa.array(plain)), 1 << 21):
+    for lo, data, offsets in slices(texts.filter(pa.array(plain))):
         ids, ends = automaton.encode_rows(data, offsets)
         parts[int(rows[lo])] = ids
         counts[rows[lo:lo + len(ends) - 1]] = np.diff(ends)
@@ -358,4 +359,4 @@ def encode_documents(documents: DataFrame, path: str, text: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names)
         automaton.forget()
 
-    return documents.select(*kept, text).mapInArrow(run, ", ".join(fields))
+    return mapped(documents.select(*kept, text), run, ", ".join(fields))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginloom.llm.workers import mapped
 from marginloom.session import materialize
 
 JUMPS = 3
@@ -38,7 +39,7 @@ def stars(links: DataFrame) -> DataFrame:
             some = node != root
             yield pa.RecordBatch.from_arrays([pa.array(root[some]), pa.array(node[some])], ["a", "b"])
 
-    return links.mapInArrow(run, "a bigint, b bigint").distinct()
+    return mapped(links, run, "a bigint, b bigint").distinct()
 
 
 def hooks(edges: DataFrame) -> DataFrame:

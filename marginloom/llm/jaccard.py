@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 from marginloom.llm.components import components
 from marginloom.llm.packing import pack, sieve, unpack
 from marginloom.llm.textscan import lower_ascii, mix, slices, word_hashes
+from marginloom.llm.workers import mapped
 from marginloom.session import materialize
 
 BAND = 1.4
@@ -57,6 +58,7 @@ FOLD = 16  # words of 64 bits in a folded sketch
 SKETCH = [f"s{k}" for k in range(FOLD)]
 PIECE = 2048
 HUB_PAIRS = 1000
+HELD_KEYS = 1 << 19
 HUBS = 3
 TURNS = 1
 ONE = np.uint64(1)
@@ -197,29 +199,35 @@ def set_rows(documents: DataFrame, width: int, text: str, keep: tuple[str, ...]
                 _signed(sketch[:, k]) for k in range(FOLD)]], names)
 
     kept = [f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in keep]
-    return documents.select(*keep, "id", text).mapInArrow(run, "".join(kept) + ", ".join(
+    return mapped(documents.select(*keep, "id", text), run, "".join(kept) + ", ".join(
         f"{c} bigint" for c in names[len(keep):]))
 
 
 def key_rows(documents: DataFrame, width: int, threshold: float, text: str) -> DataFrame:
     """(key, node, other): the task's hub of each key, and each other class that the task has for it."""
+    def rows(found: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, hub, *rest = hub_pairs(np.concatenate(found), np.concatenate(nodes).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [_signed(key), pa.array(hub), pa.nulls(len(hub), pa.int64())], ["key", "node", "other"])
+        yield pa.RecordBatch.from_arrays(
+            [_signed(rest[0]), pa.array(rest[1]), pa.array(rest[2])], ["key", "node", "other"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Keys of several batches are held, so that a task has few hubs for a frequent key.
+        found, nodes, held = [], [], 0
         for batch in batches:
-            found, nodes = [], []
             for _, members, offsets in shingle_sets(batch.column(0), width):
                 row, key = sketch_keys(members, offsets, threshold)
                 found.append(key)
                 nodes.append(set_id(members, offsets)[row])
-            if not found:
-                continue
-            key, node = np.concatenate(found), np.concatenate(nodes).view(np.int64)
-            key, hub, *rest = hub_pairs(key, node)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(key), pa.array(hub), pa.nulls(len(hub), pa.int64())], ["key", "node", "other"])
-            yield pa.RecordBatch.from_arrays(
-                [_signed(rest[0]), pa.array(rest[1]), pa.array(rest[2])], ["key", "node", "other"])
+                held += len(key)
+                if held >= HELD_KEYS:
+                    yield from rows(found, nodes)
+                    found, nodes, held = [], [], 0
+        if found:
+            yield from rows(found, nodes)
 
-    return documents.select(text).mapInArrow(run, "key bigint, node bigint, other bigint")
+    return mapped(documents.select(text), run, "key bigint, node bigint, other bigint")
 
 
 def shared_blocks(keys: DataFrame) -> DataFrame:
@@ -250,8 +258,8 @@ def shared_blocks(keys: DataFrame) -> DataFrame:
 
     # Hashed keys spread evenly: of each key a task writes its hub only, the others go where there is room.
     spread = F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("key", "other"))
-    return keys.repartition(spread).sortWithinPartitions("key", "node").mapInArrow(
-        run, "key bigint, a bigint, b bigint")
+    return mapped(keys.repartition(spread).sortWithinPartitions("key", "node"), run,
+                  "key bigint, a bigint, b bigint")
 
 
 def class_rows(rows: DataFrame) -> DataFrame:
@@ -322,7 +330,7 @@ def compared(documents: DataFrame, classes: DataFrame, pairs: DataFrame, width:
             columns = list(zip(*out)) if out else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    return streams.mapInArrow(run, "a bigint, b bigint")
+    return mapped(streams, run, "a bigint, b bigint")
 
 
 def rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginloom.llm.workers import mapped
+
 SAMPLE_BYTES = 64 * 1024
 SAMPLE_ROWS = 256
 CHARS_PER_ROW = 1024
@@ -105,7 +107,7 @@ def classify(documents: DataFrame, content: dict[str, bytes], keep: list[str],
 
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                       + ["lang_pred string", "score double", "accepted boolean"])
-    return inner.mapInArrow(run, shape)
+    return mapped(inner, run, shape)
 
 
 def held_out(doc_id: str = "doc_id"):

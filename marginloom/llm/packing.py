@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginloom.llm.workers import mapped
+
 SIEVE_BITS = 24
 
 
@@ -45,7 +47,7 @@ def pack(df: DataFrame, text: str, key: str | None = None, wanted=None) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(packed, pa.binary())], names)
 
     shape = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names[:-1]] + [f"`{text}` binary"]
-    return df.select(*names).mapInArrow(run, ", ".join(shape))
+    return mapped(df.select(*names), run, ", ".join(shape))
 
 
 def unpack(column: pa.Array) -> pa.Array:

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from marginloom.llm.anchors import runs
 from marginloom.llm.packing import pack, unpack
 from marginloom.llm.textscan import mix, prefix_hashes, slices, span_hashes
+from marginloom.llm.workers import mapped
 from marginloom.session import materialize
 
 WINDOW = 200
@@ -67,7 +68,7 @@ def initial_runs(texts: DataFrame, window: int) -> DataFrame:
                      pa.array((start - offsets[row]).astype(np.int32)), pa.array(n.astype(np.int32)),
                      _signed(bucket), _signed(whole)], ["row", "start", "n", "bucket", "whole"])
 
-    return texts.mapInArrow(run, "row bigint, start int, n int, bucket bigint, whole bigint")
+    return mapped(texts, run, "row bigint, start int, n int, bucket bigint, whole bigint")
 
 
 def shared_runs(found: DataFrame) -> DataFrame:
@@ -111,22 +112,20 @@ def refined_starts(texts: DataFrame, kinds: DataFrame, window: int) -> DataFrame
             ends, items = np.asarray(lists.offsets), lists.values
             start, n, bucket = (items.field(i).to_numpy() for i in range(3))
             same = items.field(3).to_numpy(zero_copy_only=False)
-            out = []
             for lo, data, offsets in slices(unpack(batch.column(2))):
-                name = names(data, window, SMALLEST)
+                name, out = names(data, window, SMALLEST), []
                 for i in range(len(offsets) - 1):
                     mine = slice(ends[lo + i], ends[lo + i + 1])
                     count = n[mine]
                     local = np.repeat(start[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
                     key = mix(name[local + offsets[i]] + np.repeat(bucket[mine], count).view(np.uint64))
                     out.append((np.full(len(local), lo + i), local, key, np.repeat(~same[mine], count)))
-            if out:
                 row, local, key, open_ = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [_signed(key), batch.column(0).take(pa.array(row)), pa.array(local.astype(np.int32)),
                      pa.array(open_)], ["name", "row", "start", "open"])
 
-    return joined.mapInArrow(run, "name bigint, row bigint, start int, open boolean")
+    return mapped(joined, run, "name bigint, row bigint, start int, open boolean")
 
 
 def repeated_starts(starts: DataFrame) -> DataFrame:
@@ -155,8 +154,7 @@ def repeated_starts(starts: DataFrame) -> DataFrame:
         if held is not None:
             yield emit(held[0], np.array([held[1]]))
 
-    return starts.repartition("name").sortWithinPartitions("name").mapInArrow(
-        run, "row bigint, start int")
+    return mapped(starts.repartition("name").sortWithinPartitions("name"), run, "row bigint, start int")
 
 
 def cleaned(texts: DataFrame, marks: DataFrame, window: int, keep_text: bool,
@@ -171,8 +169,8 @@ def cleaned(texts: DataFrame, marks: DataFrame, window: int, keep_text: bool,
             lists = batch.column(len(passed)).fill_null([])
             ends, items = np.asarray(lists.offsets), lists.values
             start, n = (items.field(i).to_numpy() for i in range(2))
-            out = []
             for lo, data, offsets in slices(unpack(batch.column(len(passed) + 1))):
+                out = []
                 for i in range(len(offsets) - 1):
                     own = data[offsets[i]:offsets[i + 1]]
                     mine = slice(ends[lo + i], ends[lo + i + 1])
@@ -184,15 +182,14 @@ def cleaned(texts: DataFrame, marks: DataFrame, window: int, keep_text: bool,
                     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     out.append((len(own), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(),
                                 left.decode("utf-8", "ignore") if keep_text else None))
-            columns = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                batch.columns[:len(passed)] + [pa.array(c, t) for c, t in zip(columns, kinds)],
-                [*passed, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    batch.slice(lo, len(out)).columns[:len(passed)] + [pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                    [*passed, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     shape = "".join(f"`{c}` {joined.schema[c].dataType.simpleString()}, " for c in passed)
-    return joined.mapInArrow(run, shape + "n_bytes bigint, n_removed bigint, n_spans bigint, "
-                                  "kept_sha256 string, kept_text string")
+    return mapped(joined, run, shape + "n_bytes bigint, n_removed bigint, n_spans bigint, "
+                                       "kept_sha256 string, kept_text string")
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
