@@ -3,22 +3,24 @@
 For unit vectors, cosine >= t is squared distance <= 2 - 2t. The vectors are rotated by a fixed random
 rotation and split into blocks of coordinates. The squared distances of the blocks sum up to the
 whole, so in at least one block it is at most the block's share of the budget, in proportion to its
-coordinates. Each block is a range join on a grid over its first coordinates; what it finds is
-verified on the whole vectors in double precision. A pair is counted in the first block that finds
-it, so the union of the blocks needs no list of pairs.
-
-Grid: a vector is at home in one cell, and a guest in the neighbouring cells on one side that it is
-near enough to. Home meets home and guest meets home, so a pair meets once in a block. Cells are cut
-into pieces of bounded size that meet in pairs, each in a group of its own. There the squared distances
-within the block are one product of matrices in single precision, with room for its rounding; what
-passes is measured again. What leaves a group is one row a vector: its links there and the smallest
+coordinates. Each block is a range join; what it finds is verified on the whole vectors in double
+precision. A pair is counted in the first block that finds it, so the union of the blocks needs no
+list of pairs.
+
+Range join: vectors are put in the order of a grid over their first rotated coordinates and packed, once
+each, into pieces of bounded size with the box that holds them. Spark joins the pieces whose boxes
+are near enough to each other, without shuffling them. Where two pieces meet, each block drops the vectors
+that are too far from the other piece's box in that block. The squared distances of the others within the
+block are one product of matrices in single precision, with room for its rounding; what passes is
+measured again. So the disk holds a vector twice, in the shuffle and in its piece, however many
+meetings it takes part in. What leaves a task is one row a vector: its links there and the smallest
 vector it is connected to there.
 
-The grid tells vectors apart only where they vary by more than a cell. Vectors spread evenly over all
+Boxes tell vectors apart only where they vary by more than the radius. Vectors spread evenly over all
 directions meet nearly all others in every block; the product is what makes these meetings cheap.
 
-Equal vectors are one class from the start and are counted, not paired. Components may be of any size:
-a vector is scaled by the power of two of its largest component before anything is squared.
+Equal vectors are one class from the start, named by a 64-bit hash, and are counted, not paired. Components
+may be of any size: a vector is scaled by the power of two of its largest component before anything is squared.
 
 Unusual rows: vectors that are null, zero, or hold null or non-finite components link with nothing
 and are kept; vectors of different length are not compared; a null id stays null, and its class is
@@ -28,24 +30,26 @@ named by its other ids. An empty vector is a zero vector. Rows with a repeated i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginloom.llm.components import components, forest
+from marginloom.llm.workers import mapped
 from marginloom.session import materialize
 
-BLOCK = 16
-GRID = 2
-PIECE = 16384
+BLOCK = 32
+ORDERED = 8  # rotated coordinates that order the pieces
+PIECE = 8192
 SLACK = 1e-6  # room for rotated coordinates in single precision
 ROUNDING = 1e-5  # room for products in single precision
-ROWS = 256
+ROWS, WIDTH = 256, 512
 CHECKED = 1 << 16
+HELD = 1 << 20
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -77,133 +81,200 @@ def budgets(dim: int, threshold: float) -> np.ndarray:
     return np.array([(2 - 2 * threshold) * (s.stop - s.start) / dim for s in block_slices(dim)])
 
 
-def placed(classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, m, x, r, dim, block, cell, guest) for every cell that a vector goes to.
+def named(rows: DataFrame, threshold: float, whole: bool = True) -> DataFrame:
+    """(id, node) of every row; `whole`: (node, m, dim, place, x) of the distinct vectors of a batch.
 
-    `x` and `r` are the vector and its rotated unit vector as bytes. All groups use these coordinates,
-    so they agree on which block finds a pair first.
+    `x` holds the vector in single precision, if that is exact, or else in double.
     """
+    def vectors(batch: pa.RecordBatch) -> Iterator[tuple]:
+        lists = batch.column(1)
+        ends, values = np.asarray(lists.offsets), np.asarray(lists.values) + 0.0  # no negative zeros
+        length = np.diff(ends)
+        for dim in np.unique(length):
+            rows_ = np.flatnonzero(length == dim)
+            x = values[(ends[rows_][:, None] + np.arange(dim)).reshape(-1)].reshape(len(rows_), dim)
+            with np.errstate(over="ignore"):
+                short = (x.astype(np.float32) == x).all(axis=1)
+            cells = [(v.astype("<f4") if s else v.astype("<f8")).tobytes() for v, s in zip(x, short)]
+            salt = [int(dim).to_bytes(16, "little"), b""]
+            node = np.frombuffer(b"".join(blake2b(c, digest_size=8, salt=salt[0]).digest() for c in cells), "<i8")
+            yield rows_, int(dim), x, cells, node
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows_, _, _, _, node in vectors(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_)), pa.array(node)], ["id", "node"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.sqrt(2 - 2 * threshold + SLACK)
         for batch in batches:
-            lists = batch.column(2)
-            ends, values = np.asarray(lists.offsets), np.asarray(lists.values)
-            length = np.diff(ends)
-            for dim in np.unique(length):
-                rows = np.flatnonzero(length == dim)
-                x = values[(ends[rows][:, None] + np.arange(dim)).reshape(-1)].reshape(len(rows), dim)
-                r = rotated(scaled(x))
-                with np.errstate(over="ignore"):
-                    short = (x.astype(np.float32) == x).all(axis=1)
-                whole = [(v.astype("<f4") if s else v.astype("<f8")).tobytes() for v, s in zip(x, short)]
-                taken = batch.select([0, 1]).take(pa.array(rows))
-                taken = [*taken.columns, pa.array(whole, pa.binary()), pa.array(
-                    [v.tobytes() for v in r], pa.binary()), pa.array(np.full(len(rows), dim, np.int32))]
-                for b, (part, budget) in enumerate(zip(block_slices(dim), budgets(dim, threshold))):
-                    yield from cells(taken, r[:, part][:, :GRID].astype(float), np.sqrt(budget + SLACK), int(dim), b)
-
-    def cells(taken, at, radius, dim, block):
-        width = 2 * radius
-        home = np.floor(at / width).astype(np.int64)
-        for step in product((-1, 0, 1), repeat=at.shape[1]):
-            if step < (0,) * len(step):
-                continue
-            cell = home + np.array(step)
-            near = np.ones(len(at), bool)
-            for k, s in enumerate(step):
-                gap = cell[:, k] * width - at[:, k] if s > 0 else at[:, k] - (cell[:, k] + 1) * width
-                if s:
-                    near &= gap <= radius + SLACK
-            chosen = np.flatnonzero(near)
-            names = pa.array(["/".join(map(str, (dim, block, *c))) for c in cell[chosen].tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*[c.take(pa.array(chosen)) for c in taken], pa.array(np.full(len(chosen), block, np.int32)), names,
-                 pa.array(np.full(len(chosen), any(step)))],
-                ["node", "m", "x", "r", "dim", "block", "cell", "guest"])
-
-    return classes.select("node", "m", "v").mapInArrow(
-        run, "node bigint, m bigint, x binary, r binary, dim int, block int, cell string, guest boolean")
-
-
-def whole_vectors(cells: list[bytes], dim: int) -> np.ndarray:
-    """Scaled vectors from their bytes, which hold single or double precision."""
+            for _, dim, x, cells, node in vectors(batch):
+                node, first, count = np.unique(node, return_index=True, return_counts=True)
+                grid = np.floor(rotated(scaled(x[first]))[:, :ORDERED] / width).clip(-100, 100).astype(np.int8)
+                place = (grid.astype(np.int16) + 128).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array(count.astype(np.int64)), pa.array(np.full(len(node), dim, np.int32)),
+                     pa.array([p.tobytes() for p in place], pa.binary()), pa.array([cells[i] for i in first], pa.binary())],
+                    ["node", "m", "dim", "place", "x"])
+
+    if not whole:
+        return mapped(rows, ids, "id bigint, node bigint")
+    return mapped(rows, run, "node bigint, m bigint, dim int, place binary, x binary")
+
+
+def packed(distinct: DataFrame, parts: int) -> DataFrame:
+    """(piece, dim, short, node, m, x, lo, hi): vectors near each other, each once, as arrays in bytes.
+
+    `lo` and `hi` are the corners of the box of their rotated unit vectors.
+    """
+    def piece(dim: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        node, m, cells = zip(*rows)
+        short = all(len(c) == 4 * dim for c in cells)
+        x = unpacked(cells, dim)
+        r = rotated(scaled(x))
+        return pa.RecordBatch.from_pylist([{
+            "piece": min(node), "dim": dim, "short": short, "node": np.array(node, "<i8").tobytes(),
+            "m": np.array(m, "<i8").tobytes(), "x": x.astype("<f4" if short else "<f8").tobytes(),
+            "lo": r.min(axis=0).tolist(), "hi": r.max(axis=0).tolist()}], pa.schema([
+                ("piece", pa.int64()), ("dim", pa.int32()), ("short", pa.bool_()), ("node", pa.binary()), ("m", pa.binary()),
+                ("x", pa.binary()), ("lo", pa.list_(pa.float32())), ("hi", pa.list_(pa.float32()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        of = None
+        for batch in batches:
+            node, m, dim, x = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "m", "dim", "x"))
+            for row in zip(node, m, dim, x):
+                if held and row[2] == of and held[-1][0] == row[0]:
+                    held[-1][1] += row[1]
+                    continue
+                if held and (row[2] != of or len(held) >= PIECE):
+                    yield piece(of, held)
+                    held = []
+                of = row[2]
+                held.append([row[0], row[1], row[3]])
+        if held:
+            yield piece(of, held)
+
+    order = ["dim", "place", "node"]
+    return mapped(distinct.repartitionByRange(parts, *order).sortWithinPartitions(*order), run, (
+        "piece bigint, dim int, short boolean, node binary, m binary, x binary, lo array<float>, hi array<float>"))
+
+
+def unpacked(cells: tuple[bytes, ...], dim: int) -> np.ndarray:
+    """Vectors from their bytes, which hold single or double precision."""
     out = np.empty((len(cells), dim))
     size = np.array([len(c) for c in cells])
     for width, kind in ((4, "<f4"), (8, "<f8")):
         some = np.flatnonzero(size == width * dim)
         out[some] = np.frombuffer(b"".join(cells[i] for i in some), kind).reshape(len(some), dim)
-    return scaled(out)
-
-
-def compare(x: np.ndarray, r: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, block: int,
-            threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions) of left and right that `block` is the first to find."""
-    parts, budget = block_slices(x.shape[1]), budgets(x.shape[1], threshold)
-    norm = norms(x)
-    own = r[:, parts[block]]
-    square = np.einsum("ij,ij->i", own, own)[:, None]
-    one = np.ones_like(square)
-    # The product of these rows is the squared distance.
-    ours = np.hstack([own[left], square[left], one[left]])
-    theirs = np.ascontiguousarray(np.hstack([-2 * own[right], one[right], square[right]]).T)
-    limit = np.float32(budget[block] + SLACK + ROUNDING)
-    out = []
-    for lo in range(0, len(left), ROWS):
-        first = lo if same else 0  # within one piece, each pair is looked at once
-        apart = ours[lo:lo + ROWS] @ theirs[:, first:]
-        found = np.flatnonzero((apart <= limit).reshape(-1))
-        i, j = left[lo + found // apart.shape[1]], right[first + found % apart.shape[1]]
-        if same:
-            i, j = i[i < j], j[i < j]
-        for at in range(0, len(i), CHECKED):
-            a, b = i[at:at + CHECKED], j[at:at + CHECKED]
-            within = [((r[a, p].astype(float) - r[b, p]) ** 2).sum(axis=1) <= budget[k] + SLACK
-                      for k, p in enumerate(parts[:block + 1])]
-            new = within[block] & ~np.any(within[:block], axis=0) if block else within[0]
-            a, b = a[new], b[new]
-            linked = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
-            out.append((a[linked], b[linked]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return out
+
+
+class Side:
+    """One of two pieces that meet."""
+
+    def __init__(self, dim: int, short: bool, node: bytes, m: bytes, x: bytes):
+        self.node, self.m = np.frombuffer(node, "<i8"), np.frombuffer(m, "<i8")
+        self.x = scaled(np.frombuffer(x, "<f4" if short else "<f8").reshape(len(self.node), dim).astype(float))
+        self.r = rotated(self.x)
+        self.norm = norms(self.x)
+        self.lo, self.hi = self.r.min(axis=0).astype(float), self.r.max(axis=0).astype(float)
+
+    def near(self, other: Side, limits: np.ndarray) -> list[np.ndarray]:
+        """For each block, the vectors that the other's box is within the limits of, there and on the whole."""
+        gap = np.maximum(np.maximum(self.r - other.hi, other.lo - self.r), 0) ** 2
+        apart = np.add.reduceat(gap, [s.start for s in block_slices(gap.shape[1])], axis=1)
+        whole = apart.sum(axis=1) <= limits.sum()
+        return [np.flatnonzero(whole & (apart[:, b] <= limit)) for b, limit in enumerate(limits)]
+
+
+def compare(left: Side, right: Side, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (positions in left and right) of two pieces, or of one with itself."""
+    dim, same = left.x.shape[1], left is right
+    parts, budget = block_slices(dim), budgets(dim, threshold)
+    ours, theirs = (s.near(o, budget + SLACK) for s, o in ((left, right), (right, left)))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for block, (rows, others) in enumerate(zip(ours, theirs)):
+        p, q = left.r[rows, parts[block]], right.r[others, parts[block]]
+        one, square, squares = np.ones((len(p), 1), np.float32), (p * p).sum(axis=1), (q * q).sum(axis=1)
+        # The product of these rows is the squared distance.
+        p = np.hstack([p, square[:, None], one])
+        q = np.vstack([-2 * q.T, np.ones((1, len(q)), np.float32), squares[None]])
+        tiles = [(at, np.ascontiguousarray(q[:, at:at + WIDTH])) for at in range(0, q.shape[1], WIDTH)]
+        limit = np.float32(budget[block] + SLACK + ROUNDING)
+        for lo, (at, tile) in product(range(0, len(p), ROWS), tiles):
+            if same and rows[lo] >= others[min(at + WIDTH, len(others)) - 1]:
+                continue  # within one piece, each pair is looked at once
+            apart = p[lo:lo + ROWS] @ tile
+            if apart.min() > limit:
+                continue
+            found = np.flatnonzero((apart <= limit).reshape(-1))
+            i, j = rows[lo + found // apart.shape[1]], others[at + found % apart.shape[1]]
+            if same:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), CHECKED):
+                a, b = i[k:k + CHECKED], j[k:k + CHECKED]
+                within = [((left.r[a, s].astype(float) - right.r[b, s]) ** 2).sum(axis=1) <= budget[n] + SLACK
+                          for n, s in enumerate(parts[:block + 1])]
+                new = within[block] & ~np.any(within[:block], axis=0) if block else within[0]
+                a, b = a[new], b[new]
+                linked = np.einsum("ij,ij->i", left.x[a], right.x[b]) / (left.norm[a] * right.norm[b]) >= threshold
+                out.append((a[linked], b[linked]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def links(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root) from every meeting of two pieces."""
-    counts = rows.groupBy("cell").agg(
-        F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("guest")) / PIECE)).cast("int").alias("homes"),
-        F.ceil(F.count_if("guest") / PIECE).cast("int").alias("guests"))
-    cut = rows.join(counts, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.when(
-        F.col("guest"), F.col("guests")).otherwise(F.col("homes"))).cast("int"))
-    # A meeting is (i, j): home pieces i <= j, or the guests' piece i, counted on behind, with home j.
-    met = F.when(F.col("guest"), F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda j: F.struct(
-        (F.col("homes") + F.col("own")).alias("i"), j.alias("j")))).otherwise(F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda j: F.struct(
-                F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))),
-            F.transform(F.filter(F.sequence(F.lit(0), F.col("guests")), lambda g: g < F.col("guests")),
-                        lambda g: F.struct((F.col("homes") + g).alias("i"), F.col("own").alias("j")))))
-    meetings = cut.withColumn("met", F.explode(met)).select(
-        "cell", "met.i", "met.j", "block", "dim", "guest", "own", "node", "m", "x", "r")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        node, m, own, guest = (group[c].to_numpy() for c in ("node", "m", "own", "guest"))
-        i, j, block, dim = (int(group[c].iloc[0]) for c in ("i", "j", "block", "dim"))
-        x = whole_vectors(group["x"].tolist(), dim)
-        r = np.frombuffer(b"".join(group["r"]), "<f4").reshape(len(node), dim)
-        everything = np.arange(len(node))
-        if guest.any():
-            left, right, same = everything[guest], everything[~guest], False
-        elif i == j:
-            left, right, same = everything, everything, True
-        else:
-            left, right, same = everything[own == i], everything[own == j], False
-        a, b = compare(x, r, left, right, same, block, threshold)
-        count = np.bincount(a, m[b], len(node)) + np.bincount(b, m[a], len(node))
-        some, root = forest(a, b)
-        return pd.DataFrame({"node": node[some], "links": count[some].astype(np.int64), "root": node[root]})
-
-    # Every meeting has its place; the pieces of a cell are not one task.
-    return meetings.repartition("cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(
-        run, "node bigint, links bigint, root bigint")
+def within_reach(threshold: float) -> Column:
+    """The boxes of pieces a and b are near enough for a link."""
+    over, under = (F.zip_with(x, y, lambda p, q: p.cast("double") - q) for x, y in (
+        ("a_lo", "b_hi"), ("b_lo", "a_hi")))
+    gaps = F.zip_with(over, under, lambda p, q: F.greatest(p, q, F.lit(0.0)))
+    whole = F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
+    return whole <= 2 - 2 * threshold + 1e-3
+
+
+def links(pieces: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, root) from the meetings of pieces in a task."""
+    def summed(found: list[tuple]) -> pa.RecordBatch:
+        node, count, root = (np.concatenate(c) for c in zip(*found))
+        some, at = np.unique(node, return_inverse=True)
+        total = np.zeros(len(some), np.int64)
+        np.add.at(total, at, count)
+        names, roots = forest(node, root)
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(total), pa.array(
+            roots[np.searchsorted(names, some)])], ["node", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left, found = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["a_piece"] != last:
+                    last, left = row["a_piece"], Side(*(row["a_" + c] for c in ("dim", "short", "node", "m", "x")))
+                right = left if row["b_piece"] == last else Side(*(row["b_" + c] for c in ("dim", "short", "node", "m", "x")))
+                i, j = compare(left, right, threshold)
+                if not len(i):
+                    continue
+                size = len(left.node)
+                if left is right:
+                    nodes, j_ = left.node, j
+                else:
+                    nodes, j_ = np.concatenate([left.node, right.node]), size + j
+                count = np.bincount(i, right.m[j], len(nodes)) + np.bincount(j_, left.m[i], len(nodes))
+                some, root = forest(nodes[i], nodes[j_])
+                order = np.argsort(nodes)
+                found.append((some, count[order[np.searchsorted(nodes, some, sorter=order)]].astype(np.int64), root))
+                if sum(len(f[0]) for f in found) > HELD:
+                    yield summed(found)
+                    found = []
+        if found:
+            yield summed(found)
+
+    a, b = (pieces.select(*[F.col(c).alias(f"{side}_{c}") for c in pieces.columns]) for side in "ab")
+    # Every partition of pieces meets every other one; nothing is shuffled or broadcast. The lengths of
+    # vectors are no join key, as there are few.
+    met = a.join(b.hint("shuffle_replicate_nl"), (F.col("a_piece") <= F.col("b_piece")) & (
+        F.col("a_dim") <= F.col("b_dim")) & (F.col("a_dim") >= F.col("b_dim")) & within_reach(threshold))
+    return mapped(met.drop("a_lo", "a_hi", "b_lo", "b_hi"), run, "node bigint, links bigint, root bigint")
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id",
@@ -213,18 +284,20 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, vec_id: str = "vec
     good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (
         F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
-    # Named by the smallest id; a class without any id gets a negative number of its own.
-    classes = materialize(rows.filter(good).groupBy("v").agg(F.count("*").alias("m"), F.coalesce(
-        F.min("id"), -1 - F.abs(F.xxhash64("v") % (1 << 62))).alias("node")), "classes")
-    found = materialize(links(placed(classes, threshold), threshold), "vector-links")
+    parts = max(1, -(-table.count() // PIECE))
+    pieces = materialize(packed(named(rows.filter(good), threshold), parts), "pieces")
+    found = materialize(links(pieces, threshold), "vector-links")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     per = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.join(per, "node", "left").join(roots, "node", "left").select(
-        "v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("root", "node").alias("component"))
-    joined = rows.filter(good).join(known, "v").select("id", "n_links", "component")
-    smallest = joined.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = joined.join(smallest, "component").select("id", "n_links", "component_id")
+    ids = named(rows.filter(good), threshold, whole=False)
+    # No table of classes or rows is broadcast: all of them grow with the vectors.
+    classes = ids.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("least")).join(
+        per.hint("merge"), "node", "left").join(roots.hint("merge"), "node", "left")
+    known = materialize(classes.select("node", "least", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+                                       F.coalesce("root", "node").alias("component")), "classes")
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(smallest.hint("merge"), "component").select("node", "n_links", "component_id")
+    linked = ids.join(known.hint("merge"), "node").select("id", "n_links", "component_id")
     alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(vec_id), "n_links", "component_id", F.coalesce(
         F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -267,6 +267,19 @@ def test_vectors_at_the_threshold_and_in_pieces(spark, monkeypatch):
         assert [got[i] for i in range(len(x))] == expected
 
 
+def test_vectors_lie_in_one_piece_and_are_not_shuffled_to_meet(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(vectors, "PIECE", 10)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(100)] + [(200 + i, [1.0, -0.0]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    pieces = vectors.packed(vectors.named(frame, 0.9), 6).localCheckpoint()
+    assert sum(len(r.node) // 8 for r in pieces.collect()) == 101
+    assert max(len(r.node) // 8 for r in pieces.collect()) <= 10
+    plan = vectors.links(pieces, 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_toxicity(spark):
     ship(spark)
     rows = [(i, f"a quiet text about topic {i % 7}" + (" you scum" if i % 4 == 0 else ""), int(i % 4 == 0))
