@@ -20,6 +20,9 @@ half of the shorter one's letters is at the same place in both, so the words of
 A word's form is its most frequent near word, if that is at least twice as frequent. Counts at least
 double from form to form, so there are no cycles, and roots are found by doubling the steps.
 
+Words, signatures and forms grow with the texts, but their compressed files look small enough for a broadcast
+that the driver cannot hold, so their joins carry a merge hint.
+
 Words are counted in the tasks first, then by the plain aggregation. Unusual rows: a null text has no
 words; a row with a null id keeps its words unchanged, as do rows without letters; repeated rows count
 again. Further columns are not looked at.
@@ -160,7 +163,7 @@ def near_pairs(words: DataFrame, parts: int = 1, pieces: int = 7) -> DataFrame:
     """(a, na, b, nb): all near pairs a < b of distinct words with their counts."""
     rows = signed_words(words, parts, pieces)
     sizes = materialize(rows.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1"), "signatures")
-    rows = materialize(rows.join(sizes, "sig"), "signed")
+    rows = materialize(rows.join(sizes.hint("merge"), "sig"), "signed")
     small, large = rows.filter(F.col("m") <= BUCKET), rows.filter(F.col("m") > BUCKET)
     # Words that share several signatures are found several times.
     return joined(small, ["sig"]).union(joined(halves(large), ["sig", "size", "side", "half"])).distinct()
@@ -171,7 +174,7 @@ def roots(forms: DataFrame) -> DataFrame:
     steps = forms.select("word", F.col("form").alias("root"))
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = materialize(steps.join(ahead, "root", "left").select(
+        moved = materialize(steps.join(ahead.hint("merge"), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         steps = moved.select("word", "root")
         if moved.filter("moved").isEmpty():
@@ -188,10 +191,10 @@ def spelling_groups(documents: DataFrame, least_length: int = 5, least_count: in
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(
         F.struct((-F.col("m")).alias("m"), "near")).alias("best"))
     best = materialize(best.select("word", "n_near", F.col("best.near").alias("form"), (-F.col("best.m")).alias(
-        "form_n")).join(words, "word").withColumn("has", F.col("form_n") >= 2 * F.col("n")), "near")
+        "form_n")).join(words.hint("merge"), "word").withColumn("has", F.col("form_n") >= 2 * F.col("n")), "near")
     top = roots(best.filter("has").select("word", "form"))
-    found = best.join(top, "word", "left").select("word", "n_near", "root", *[
+    found = best.join(top.hint("merge"), "word", "left").select("word", "n_near", "root", *[
         F.when(F.col("has"), F.col(c)).alias(c) for c in ("form", "form_n")])
-    return words.join(found, "word", "left").select(
+    return words.join(found.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n",
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")

@@ -78,6 +78,19 @@ def test_spelling(docs, monkeypatch):
         assert sorted(map(tuple, got), key=str) == expected
 
 
+def test_spelling_broadcasts_no_table(docs, monkeypatch):
+    plans, store = [], spelling.materialize
+
+    def kept(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, purpose)
+
+    monkeypatch.setattr(spelling, "materialize", kept)
+    plans.append(spelling.spelling_groups(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_form_chains(spark):
     words = ["aaaaa"] * 3 + ["aaaab"] * 6 + ["aaabb"] * 12 + ["aabbb"] * 24 + ["abbbb"] * 48 + ["bbbbb"] * 95
     rows = [(None, " ".join(words))]
