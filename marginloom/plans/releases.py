@@ -153,16 +153,20 @@ def artifact_rows(inventory: DataFrame, release: str) -> DataFrame:
         "release_id", F.lit(release)), "artifacts_v2")
 
 
-def manifest_columns(df: DataFrame) -> list[F.Column]:
-    """Aggregates `rows` and `content`, the sum of 60 bits of each row's hash, which knows no order."""
-    bits = F.conv(F.substring(row_digest(*df.columns), 1, 15), 16, 10).cast("decimal(38,0)")
-    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("content")]
+def manifest_of(df: DataFrame, *keys: str) -> DataFrame:
+    """For each key, `rows` and `content`, the sum of 60 bits of each row's hash, which knows no order."""
+    bits = F.conv(F.substring(row_digest(*df.columns), 1, 15), 16, 10).cast("long")
+    # Both halves are summed as longs; a decimal is made once a group, not once a row.
+    high, low = (F.coalesce(F.sum(half), F.lit(0)).cast("decimal(19,0)") for half in (
+        F.shiftright("_bits", 30), F.col("_bits").bitwiseAND(F.lit((1 << 30) - 1))))
+    content = high * F.lit(1 << 30).cast("decimal(10,0)") + low
+    return df.select(*keys, bits.alias("_bits")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), content.cast("string").alias("content"))
 
 
 def table_manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and an order-free digest per table."""
-    frames = [df.agg(*manifest_columns(df)).select(F.lit(name).alias("table"), "rows", "content")
-              for name, df in tables.items()]
+    frames = [manifest_of(df).select(F.lit(name).alias("table"), "rows", "content") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, frames)
 
 

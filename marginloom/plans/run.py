@@ -79,10 +79,11 @@ def run(spark: SparkSession, margins: Margins, reference: str, folder: str,
     missing = margins.locality.select("province").distinct().join(
         stored_provinces(spark, path), "province", "left_anti")
     if missing.isEmpty():
+        # The gates and the report read the same stored profile.
+        profile = audit.person_profile(result.persons, margins, reference)
         guarded(audit.record_gates(result.persons, result.households, margins, reference,
-                                   result.individuals, domestic), f"{path}/quarantine", spark)
-        write_report(audit.summary(result.persons, result.households, margins, reference,
-                                   domestic=domestic), f"{path}/report")
+                                   result.individuals, domestic, profile), f"{path}/quarantine", spark)
+        write_report(audit.profile_summary(profile, result.households, margins, domestic), f"{path}/report")
         # The manifest is written last: a run without one is not finished.
         recorded_manifest(completed(spark, path)).coalesce(1).write.mode("overwrite").parquet(
             f"{path}/manifest")
@@ -106,8 +107,7 @@ def stored_provinces(spark: SparkSession, path: str) -> DataFrame:
 
 def batch_manifest(tables: dict[str, DataFrame], batch: str) -> DataFrame:
     """Rows and an order-free digest for each table and batch."""
-    frames = [df.groupBy(batch).agg(*releases.manifest_columns(df)).withColumn("table", F.lit(name))
-              for name, df in tables.items()]
+    frames = [releases.manifest_of(df, batch).withColumn("table", F.lit(name)) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -142,14 +142,14 @@ def _generate(margins: Margins, reference: str, path: str, domestic: str, todo:
     spark = cells.persons.sparkSession
     schema = _individual_schema(cells.countries is not None)
     write_sorted(synthesize.individuals(part, reference, domestic, sizing),
-                 f"{path}/individuals", ["person_id"], ["province"])
+                 f"{path}/individuals", ["person_id"], ["province"], dense_id="person_id")
     # Households are assigned to the stored individuals: the audit can then show that stage four
     # changed nothing, and the lineage ends here.
     stored = only(spark.read.schema(schema).parquet(f"{path}/individuals"))
     write_sorted(synthesize.assign_households(stored, part, reference, sizing),
-                 f"{path}/persons", ["person_id"], ["province"])
+                 f"{path}/persons", ["person_id"], ["province"], dense_id="person_id")
     write_sorted(synthesize.households(part, sizing), f"{path}/households", ["household_id"],
-                 ["province"])
+                 ["province"], dense_id="household_id")
 
 
 def load(spark: SparkSession, path: str, with_citizenship: bool = True) -> Run:

@@ -12,6 +12,7 @@ from marginloom.plans import audit, releases, run, star, synthesize
 from marginloom.plans.margins import Cells
 from marginloom.registry import audit as registered
 from marginloom.session import materialize, materialize_all
+from marginloom.sources.sinks import write_sorted
 
 
 def plan(df) -> str:
@@ -118,3 +119,43 @@ def test_the_draw_moves_no_expanded_person(spark, monkeypatch):
     cells = Cells.build(margins(spark))
     assert synthesize.individuals(cells, REFERENCE).count() == 60
     assert len(plans) == 1 and plans[0].count("Window [") == 1 and plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_a_manifest_makes_no_decimal_for_each_row(spark):
+    """Digests are summed as two longs; the sum is that of 60 bits of each row's sha256, as before."""
+    df = spark.range(500).selectExpr("id", "id % 3 as province", "if(id % 7 = 0, null, concat('\"', id)) as t")
+    digest = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+    bits = sum(int(r.d[:15], 16) for r in df.select(digest.alias("d")).collect())
+    manifest = releases.table_manifest({"t": df})
+    assert [tuple(r) for r in manifest.collect()] == [("t", 500, str(bits))]
+    assert "decimal(38,0)" not in plan(manifest) and releases.table_manifest({"t": df.limit(0)}).first().content == "0"
+
+
+def test_the_report_of_a_run_is_read_from_its_profile(spark):
+    m = margins(spark)
+    cells = Cells.build(m)
+    persons = materialize(synthesize.assign_households(synthesize.individuals(cells, REFERENCE), cells, REFERENCE), "persons")
+    homes = materialize(synthesize.households(cells), "households")
+    profile = audit.person_profile(persons, m, REFERENCE)
+    assert audit.profile_summary(profile, homes, m).collect() == audit.summary(persons, homes, m, REFERENCE).collect()
+
+
+def test_pairs_move_hashes_and_count_like_a_full_join(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(audit, "materialize", lambda df, purpose: plans.append(plan(df)) or materialize(df, purpose))
+    shape = "person_id long, y short, u short, t string"
+    before = spark.createDataFrame([(1, 1923, None, "a"), (2, 5, 6, "b"), (3, 1, 1, "c"), (3, 1, 1, "c"), (5, 1, 1, "e"),
+                                    (None, 1, 1, "n"), (7, 2, 2, None)], shape)
+    after = spark.createDataFrame([(1, None, 1923, "a"), (2, 5, 6, "b"), (3, 1, 1, "c"), (3, 1, 2, "c"), (6, 1, 1, "e"),
+                                   (None, 1, 1, "n"), (7, 2, 2, None)], shape)
+    found = audit.paired(before, after).first()
+    assert (found.changed, found.distinct_before, found.distinct_after) == (7, 6, 6)
+    assert "SortMergeJoin" not in plans[0]
+
+
+def test_blocks_of_ids_are_written_without_a_sample(spark, tmp_path):
+    df = spark.range(250_000).selectExpr("id", "cast(id div 150000 as string) as p")
+    write_sorted(df, f"{tmp_path}/t", ["id"], ["p"], dense_id="id")
+    files = spark.read.parquet(f"{tmp_path}/t").select("id", F.input_file_name().alias("f"))
+    assert files.count() == 250_000 and files.select("f").distinct().count() <= 4
+    assert files.groupBy("f").agg(F.max("id") - F.min("id")).count() >= 2
