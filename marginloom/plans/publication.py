@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from marginloom.plans import audit, publish
 from marginloom.plans.margins import DOMESTIC, Margins
 from marginloom.plans.releases import table_manifest
 from marginloom.plans.run import Run
+from marginloom.session import path_exists
 from marginloom.sources import commits
 
 ORDER = {
@@ -22,13 +25,22 @@ ORDER = {
 }
 
 
-def source_digest(result: Run) -> str:
-    """Digest of the rows of a run's tables, in any order."""
-    rows = table_manifest({"persons": result.persons, "households": result.households})
-    return rows.agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(
+def source_digest(manifest: DataFrame) -> str:
+    """Digest of the rows of a run's tables, in any order, from their manifest."""
+    return manifest.agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(
         ":", "table", F.col("rows").cast("string"), "content")))), 256)).first()[0]
 
 
+def run_report(result: Run, source: str, margins: Margins, reference: str, domestic: str = DOMESTIC) -> DataFrame:
+    """The report that the run has stored, if it is about these very rows; otherwise it is made again."""
+    spark = result.persons.sparkSession
+    made = audit.summary(result.persons, result.households, margins, reference, domestic=domestic)
+    if not all(path_exists(spark, f"{result.path}/{name}") for name in ("manifest", "report")):
+        return made
+    recorded = spark.read.parquet(f"{result.path}/manifest").filter(F.col("table").isin("persons", "households"))
+    return spark.read.schema(made.schema).json(f"{result.path}/report") if source_digest(recorded) == source else made
+
+
 def next_snapshot(spark: SparkSession, root: str) -> int:
     """One more than the largest published snapshot; ids are in the release names."""
     numbers = commits.commits(spark, root).select(
@@ -42,17 +54,18 @@ def published_snapshot(spark: SparkSession, root: str, run_id: str) -> str | Non
     return None if found is None else found["release"]
 
 
-def population_tables(result: Run, margins: Margins, reference: str, snapshot: int,
-                      names: DataFrame | None = None, points: DataFrame | None = None) -> dict[str, DataFrame]:
-    persons = publish.published_persons(result.persons, snapshot, reference)
-    households = publish.published_households(result.households, snapshot)
-    places = publish.municipalities(margins, snapshot, names, points)
-    cells = publish.population_cells(persons, places)
+def population_tables(result: Run, margins: Margins, reference: str, snapshot: int, names: DataFrame | None = None,
+                      points: DataFrame | None = None) -> dict[str, DataFrame | Callable[[commits.Tables], DataFrame]]:
+    """Tables in the order in which they are written; what is counted is counted from those written before."""
     return {
-        "population_persons": persons, "population_households": households,
-        "population_municipalities": places, "population_provinces": publish.provinces(places),
-        "population_regions": publish.regions(places), "population_cells": cells,
-        "population_validation": publish.population_validation(margins, cells, households, snapshot),
+        "population_persons": publish.published_persons(result.persons, snapshot, reference),
+        "population_households": publish.published_households(result.households, snapshot),
+        "population_municipalities": publish.municipalities(margins, snapshot, names, points),
+        "population_provinces": lambda t: publish.provinces(t["population_municipalities"]),
+        "population_regions": lambda t: publish.regions(t["population_municipalities"]),
+        "population_cells": lambda t: publish.population_cells(t["population_persons"], t["population_municipalities"]),
+        "population_validation": lambda t: publish.population_validation(
+            margins, t["population_cells"], t["population_households"], snapshot),
     }
 
 
@@ -63,12 +76,12 @@ def publish_population(spark: SparkSession, root: str, result: Run, margins: Mar
                        domestic: str = DOMESTIC) -> str:
     """Publish a run as the next snapshot and give the name of its release.
 
-    The gates read the tables as they were written; the snapshot row with their report is written with
+    The gates read the tables as they were written, once; the snapshot row with their report is written with
     the commit. A run that is published already keeps its snapshot and nothing is written; if its
     tables have changed since, it is refused.
     """
     publish.refuse_fixture(is_fixture, allow_fixture)
-    source = source_digest(result)
+    source = source_digest(table_manifest({"persons": result.persons, "households": result.households}))
     release = published_snapshot(spark, root, result.run_id)
     snapshot = next_snapshot(spark, root) if release is None else int(release.rsplit("-", 1)[1])
     release = release or f"population-{result.run_id}-{snapshot}"
@@ -81,11 +94,15 @@ def publish_population(spark: SparkSession, root: str, result: Run, margins: Mar
 
     if provenance is None:
         provenance = spark.createDataFrame([], "name string, url string, sha256 string, bytes long")
-    checks = check(tables).frame()
-    report = audit.summary(result.persons, result.households, margins, reference, domestic=domestic)
-    tables["population_snapshots"] = publish.snapshot_record(
-        report, snapshot, result.run_id, source, reference, household_reference, is_fixture, provenance, checks)
-    commits.commit_release(spark, root, release, source, tables, ORDER, check)
+
+    def records(checks: list[gates.Check]) -> commits.Tables:
+        rows = spark.createDataFrame([(c.name, c.passed, c.violations) for c in checks],
+                                     "check_name string, passed boolean, violations bigint")
+        return {"population_snapshots": publish.snapshot_record(
+            run_report(result, source, margins, reference, domestic), snapshot, result.run_id, source, reference,
+            household_reference, is_fixture, provenance, rows)}
+
+    commits.commit_release(spark, root, release, source, tables, ORDER, check, records)
     return release
 
 

@@ -50,14 +50,20 @@ def read_table(spark: SparkSession, root: str, release: str, table: str, schema:
         *schema.names)
 
 
+Tables = dict[str, DataFrame]
+
+
 def commit_release(spark: SparkSession, root: str, release: str, source: str,
-                   tables: dict[str, DataFrame], order: dict[str, Sequence[str]] | None = None,
-                   gates: Callable[[dict[str, DataFrame]], Gates] | None = None):
+                   tables: dict[str, DataFrame | Callable[[Tables], DataFrame]],
+                   order: dict[str, Sequence[str]] | None = None,
+                   gates: Callable[[Tables], Gates] | None = None,
+                   records: Callable[[list[Check]], Tables] | None = None):
     """Write the tables, check what was written, and commit; the commit's row.
 
     `source` is the digest of what the release is made from. A release that is committed already is
     not written again; another source under its name is refused. `order` sorts a table's files, so that
-    their statistics prune reads. `gates` get the tables as stored; if they fail, nothing is committed.
+    their statistics prune reads. A table may be a function of those before it, as stored. `gates` get the
+    tables as stored; if they fail, nothing is committed. `records` are tables made from the passed checks.
     """
     known = committed(spark, root, release)
     if known is not None:
@@ -67,15 +73,20 @@ def commit_release(spark: SparkSession, root: str, release: str, source: str,
     attempt = uuid.uuid4().hex
     folder = _folder(root, release, attempt)
     stored = {}
-    for name, df in tables.items():
+
+    def store(name: str, df: DataFrame) -> None:
         keys = (order or {}).get(name)
         if keys:
             write_sorted(df, f"{folder}/{name}", keys)
         else:
             df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         stored[name] = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-    if gates is not None:
-        guarded(gates(stored), f"{root}/quarantine", spark)
+
+    for name, df in tables.items():
+        store(name, df(dict(stored)) if callable(df) else df)
+    checks = [] if gates is None else guarded(gates(stored), f"{root}/quarantine", spark)
+    for name, df in ({} if records is None else records(checks)).items():
+        store(name, df)
     manifest = table_manifest(stored).agg(F.array_sort(F.collect_list(F.struct(
         "table", "rows", "content"))).alias("tables"))
     manifest.select(F.lit(release).alias("release"), F.lit(source).alias("source"), F.lit(attempt).alias("attempt"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from fixtures import REFERENCE, margins, rows
 from pyspark.sql import functions as F
 
 from marginloom import schemas
 from marginloom.operators.gates import Gates, QualityError
-from marginloom.plans import publication, run
+from marginloom.plans import audit, publication, releases, run
 from marginloom.session import materialize
 from marginloom.sources import commits
 
@@ -97,3 +99,24 @@ def test_a_damaged_batch_is_named(spark, finished):
     with pytest.raises(QualityError) as error:
         run.verify(spark, again.path, m, REFERENCE)
     assert "batches" in {c.name for c in error.value.checks if not c.passed}
+
+
+def test_gates_of_a_publication_run_once_on_what_was_written(spark, finished, tmp_path, monkeypatch):
+    """Checks in the snapshot are those of the stored tables, and the report is the run's own."""
+    m, result, _ = finished
+    read, gates, summary = [], publication.publish.publication_gates, audit.summary
+
+    def seen(persons, *rest):
+        read.append(persons.inputFiles())
+        return gates(persons, *rest)
+
+    monkeypatch.setattr(publication.publish, "publication_gates", seen)
+    root = f"{tmp_path}/published"
+    release = publication.publish_population(spark, root, result, m, REFERENCE, "2024-12-31", is_fixture=True, allow_fixture=True)
+    assert len(read) == 1 and all("/published/" in f for f in read[0])
+    record = publication.population_table(spark, root, release, "population_snapshots").first()
+    assert len(json.loads(record.publication_checks)) == 7 and json.loads(record.report)["persons"] == 60
+    rows = releases.table_manifest({"persons": result.persons, "households": result.households})
+    monkeypatch.setattr(publication.audit, "summary", lambda *a, **b: summary(*a, **b).filter("false"))
+    kept = publication.run_report(result, publication.source_digest(rows), m, REFERENCE)
+    assert kept.collect() == audit.profile_summary(audit.person_profile(result.persons, m, REFERENCE), result.households, m).collect()
